@@ -455,8 +455,8 @@ def peer_average(peers: DataFrame, metrics: Sequence[str], score: str, key: str
 def compare_sites(rows: DataFrame, side: str = "side", score: str = "score") -> DataFrame:
     """Average score of own pages and of peers and their clamped difference."""
     means = rows.groupBy().agg(
-        F.coalesce(F.avg(F.when(F.col(side) == "user", F.col(score))), F.lit(0.0)).alias("u"),
-        F.coalesce(F.avg(F.when(F.col(side) == "competitor", F.col(score))), F.lit(0.0)).alias("c"),
+        F.coalesce(stable_mean(F.when(F.col(side) == "user", F.col(score)), 4), F.lit(0.0)).alias("u"),
+        F.coalesce(stable_mean(F.when(F.col(side) == "competitor", F.col(score)), 4), F.lit(0.0)).alias("c"),
     )
     return means.select(
         rnd(F.col("u"), 4).alias("user_average_score"), rnd(F.col("c"), 4).alias("competitor_average_score"),

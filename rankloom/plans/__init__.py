@@ -1,5 +1,5 @@
 """Registered queries: each key maps to a Spark callable and, where SQL can say it, an oracle."""
 
-from rankloom.plans import peer_queries
+from rankloom.plans import peer_queries, relevance_queries
 
-FAMILIES = (peer_queries,)
+FAMILIES = (peer_queries, relevance_queries)

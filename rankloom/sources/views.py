@@ -56,12 +56,12 @@ _ROW_FEATURES = {
     "keyword_coverage_ratio": "l_quantity / 5e1",
     "semantic_similarity": "(l_discount + 0e0) * 1e1",
     "technical_seo_score": "(l_tax + 0e0) * 12.5e0",
-    "query_prominence_score": _unit(3, 5, 1),
+    "query_prominence_score": f"{_mix(3, 5, 1, 101)} / 1e2 * (1e0 - (l_linenumber % 3) * 4e-1)",
     "title_heading_keyword_alignment": _unit(5, 7, 2),
     "early_query_coverage_ratio": _unit(11, 3, 1),
     "query_semantic_alignment": _unit(2, 9, 3),
-    "title_semantic_alignment": _unit(13, 1, 2),
-    "heading_semantic_alignment": _unit(6, 11, 1),
+    "title_semantic_alignment": f"{_mix(13, 1, 2, 101)} / 1e2 * (1e0 - (l_orderkey % 3) * 48e-2)",
+    "heading_semantic_alignment": f"{_mix(6, 11, 1, 101)} / 1e2 * (1e0 - (l_orderkey % 3) * 48e-2)",
     "content_depth_semantic_score": _unit(9, 4, 5),
     "semantic_content_richness": _unit(4, 13, 7),
     "conversion_signal_score": f"{_mix(1, 3, 1, 5)} / 4e0",
@@ -81,14 +81,14 @@ _ROW_FEATURES = {
     "title_keyword_coverage_ratio": _unit(18, 7, 3),
     "meta_keyword_coverage_ratio": _unit(19, 4, 1),
     "heading_query_coverage_ratio": _unit(20, 1, 6),
-    "query_density": f"{_mix(21, 3, 2, 90)} / 1e3",
+    "query_density": f"{_mix(21, 3, 2, 90)} / 1e4",
     "unique_word_ratio": _unit(22, 5, 3),
     "text_to_html_ratio": f"{_mix(23, 2, 1, 70)} / 1e2",
     "keyword_balance_score": _unit(24, 6, 1),
     "cta_semantic_score": _unit(25, 1, 9),
     "title_length_quality": _unit(26, 3, 4),
     "meta_length_quality": _unit(27, 8, 2),
-    "query_core_keyword_coverage_ratio": f"{_mix(28, 5, 1, 5)} / 4e0",
+    "query_core_keyword_coverage_ratio": f"CASE WHEN l_linenumber = 5 THEN CAST(NULL AS DOUBLE) ELSE {_mix(28, 5, 1, 5)} / 4e0 END",
     "query_intent_modifier_coverage_ratio": f"{_mix(29, 1, 2, 3)} / 2e0",
     "query_geo_modifier_coverage_ratio": f"{_mix(30, 2, 7, 3)} / 2e0",
     "mobile_optimization_score": _unit(31, 1, 3),
@@ -101,18 +101,23 @@ _ROW_FEATURES = {
     "text_length_chars": "l_quantity * 2.5e2",
     "sentence_count": f"CAST({_mix(37, 2, 3, 80)} AS DOUBLE)",
     "paragraph_count": f"CAST({_mix(38, 5, 1, 40)} AS DOUBLE)",
+    "value_proposition_present": _bit(61, 3, 1, 3),
+    "intent_is_commercial": "CASE WHEN p_type = 'ECONOMY' THEN 1 ELSE 0 END",
+    "intent_is_local_commercial": "CASE WHEN p_type = 'STANDARD' THEN 1 ELSE 0 END",
+    "intent_is_informational": "CASE WHEN p_type = 'PROMO' THEN 1 ELSE 0 END",
+    "redirect_count": f"CAST({_mix(36, 1, 1, 4)} AS DOUBLE)",
     "heading_count": f"CAST({_mix(39, 1, 4, 12)} AS DOUBLE)",
     "h1_count": f"CAST({_mix(40, 3, 1, 3)} AS DOUBLE)",
     "link_count": f"CAST({_mix(41, 7, 2, 120)} AS DOUBLE)",
     "image_count": f"CAST({_mix(42, 4, 3, 15)} AS DOUBLE)",
-    "exact_query_count": f"CAST({_mix(43, 5, 1, 9)} AS DOUBLE)",
+    "exact_query_count": f"CASE WHEN {_mix(43, 5, 1, 9)} < 6 THEN 0e0 ELSE CAST({_mix(43, 5, 1, 9)} AS DOUBLE) END",
     "query_term_count": f"CAST({_mix(44, 1, 2, 60)} AS DOUBLE)",
     "query_terms_in_headings": f"CAST({_mix(45, 2, 1, 7)} AS DOUBLE)",
     "first_200_words_query_term_count": f"CAST({_mix(46, 9, 4, 12)} AS DOUBLE)",
     "title_query_term_count": f"CAST({_mix(47, 3, 8, 5)} AS DOUBLE)",
     "meta_query_term_count": f"CAST({_mix(48, 6, 1, 5)} AS DOUBLE)",
     "query_core_phrase_count": f"CAST({_mix(49, 1, 5, 4)} AS DOUBLE)",
-    "query_core_term_count": f"CAST({_mix(50, 4, 1, 20)} AS DOUBLE)",
+    "query_core_term_count": f"CASE WHEN l_linenumber = 2 THEN CAST(NULL AS DOUBLE) ELSE CAST({_mix(50, 4, 1, 6)} AS DOUBLE) END",
     "title_length": f"CAST({_mix(51, 3, 2, 110)} AS DOUBLE)",
     "meta_description_length": f"CAST({_mix(52, 5, 4, 240)} AS DOUBLE)",
     "http_status_code": "CASE WHEN l_linenumber = 7 AND l_suppkey % 3 = 0 THEN 404 WHEN l_linenumber = 6 AND l_suppkey % 5 = 0 THEN 503 ELSE 200 END",
@@ -121,8 +126,8 @@ _ROW_FEATURES = {
     "page_indexable": f"CASE WHEN {_mix(1, 5, 3, 17)} = 0 THEN 0 ELSE 1 END",
     "title_present": _bit(3, 1, 5, 9),
     "meta_description_present": _bit(5, 2, 1, 4),
-    "query_in_title": _bit(7, 3, 1),
-    "query_in_text": _bit(9, 1, 3, 3),
+    "query_in_title": f"CASE WHEN {_mix(7, 3, 1, 5)} = 0 THEN 1 ELSE 0 END",
+    "query_in_text": f"CASE WHEN {_mix(9, 1, 3, 4)} = 0 THEN 1 ELSE 0 END",
     "viewport_present": _bit(11, 4, 1, 5),
     "lang_present": _bit(13, 1, 7, 6),
     "canonical_present": _bit(15, 2, 3, 3),
@@ -144,8 +149,8 @@ _ROW_FEATURES = {
     "query_primary_core_term_present": _bit(47, 1, 3, 4),
     "query_primary_core_term_in_title": _bit(49, 3, 1, 3),
     "query_primary_core_term_in_headings": _bit(51, 1, 2),
-    "modifier_or_geo_only_match": f"CASE WHEN {_mix(53, 2, 1, 8)} = 0 THEN 1 ELSE 0 END",
-    "core_missing_but_geo_present": f"CASE WHEN {_mix(55, 1, 5, 11)} = 0 THEN 1 ELSE 0 END",
+    "modifier_or_geo_only_match": f"CASE WHEN {_mix(53, 2, 1, 8)} < 4 THEN 1 ELSE 0 END",
+    "core_missing_but_geo_present": f"CASE WHEN {_mix(55, 1, 5, 11)} < 6 THEN 1 ELSE 0 END",
     "semantic_provider_code": f"CAST({_mix(57, 1, 1, 3)} AS DOUBLE)",
     "semantic_embedding_failure": f"CASE WHEN {_mix(59, 3, 1, 23)} = 0 THEN 1 ELSE 0 END",
 }
