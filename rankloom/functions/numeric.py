@@ -128,3 +128,21 @@ def first_by_hash(df: DataFrame, groups: Sequence[str], hash_col: str, wanted: C
     chosen_inside = inside.withColumn("chosen", position + F.col("_before") <= F.col("_wanted"))
     chosen_rest = rest.withColumn("chosen", F.col("_before") < F.col("_wanted"))
     return chosen_inside.unionByName(chosen_rest).drop("_bucket", "_n", "_before", "_wanted")
+
+
+def numbered_by_hash(df: DataFrame, groups: Sequence[str], hash_col: str, name: str) -> DataFrame:
+    """0-based position by hash order inside each group, without sorting a whole group in one task.
+
+    Bucket counts (at most 65,536 per group) give each bucket its offset;
+    rows are then numbered inside (group, bucket).
+    """
+    bucketed = df.withColumn("_bucket", F.substring(hash_col, 1, 4))
+    counts = bucketed.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*groups, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*groups, "_bucket").orderBy(hash_col))
+    return (
+        bucketed.join(offsets, [*groups, "_bucket"])
+        .withColumn(name, inside + F.col("_before") - 1)
+        .drop("_bucket", "_before")
+    )

@@ -1,5 +1,5 @@
 """Registered queries: each key maps to a Spark callable and, where SQL can say it, an oracle."""
 
-from rankloom.plans import evaluation_queries, peer_queries, relevance_queries
+from rankloom.plans import dataset_queries, evaluation_queries, history_queries, peer_queries, relevance_queries
 
-FAMILIES = (peer_queries, relevance_queries, evaluation_queries)
+FAMILIES = (peer_queries, relevance_queries, evaluation_queries, dataset_queries, history_queries)
