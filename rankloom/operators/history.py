@@ -174,8 +174,8 @@ def competitor_coverage(audits: DataFrame, keys: Sequence[str] = ()) -> DataFram
 
 
 def recent_window(audits: DataFrame, now: str, days: int) -> DataFrame:
-    """Audits of the last ``days`` days (1 to 90); a literal bound, so it reaches the scan."""
-    held = min(max(days, 1), 90)
+    """Audits of the last ``days`` days (1 to 365); a literal bound, so it reaches the scan."""
+    held = min(max(days, 1), 365)
     return audits.filter(F.col("created_at") >= F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {held} DAYS"))
 
 

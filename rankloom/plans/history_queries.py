@@ -111,7 +111,7 @@ def competitor_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return history.competitor_coverage(_audits(spark, folder), ["domain"])
 
 
-@CATALOG.query("model_usage", _AUD + "," + _SCORED.replace("FROM au", f"FROM au WHERE created_at >= TIMESTAMP '{_RUNS_NOW}' - INTERVAL 90 DAY AND model_key IS NOT NULL") + f""",
+@CATALOG.query("model_usage", _AUD + "," + _SCORED.replace("FROM au", f"FROM au WHERE created_at >= TIMESTAMP '{_RUNS_NOW}' - INTERVAL 120 DAY AND model_key IS NOT NULL") + f""",
 us AS (SELECT model_key, {big('count(*)')} AS audit_count, {', '.join(big(f"count(*) FILTER (status = '{s}')") + f' AS status_{s}' for s in ('queued', 'processing', *history.TERMINAL_STATUSES))},
   {big("count(*) FILTER (status = 'completed_with_warnings' OR warning_messages > 0)")} AS warning_count, {big('sum(warning_messages)')} AS warning_message_count, {big("count(*) FILTER (status = 'failed')")} AS failure_count, max(created_at) AS last_audit_at FROM sc GROUP BY model_key)
 SELECT us.*, d.* EXCLUDE (model_key), c.* EXCLUDE (model_key, sample_size), us.model_key = '2-HIGH' AS is_active_model FROM us JOIN {_dist_sql('sc', 'model_key')} d ON us.model_key = d.model_key JOIN {_cov_sql('sc', 'model_key')} c ON us.model_key = c.model_key""")
