@@ -53,4 +53,9 @@ def phrase_count(needle: Column, haystack: Column) -> Column:
 def scan_text(*parts: Column) -> Column:
     """Parts joined, whitespace collapsed, lower-cased."""
     joined = F.concat_ws(" ", *parts)
-    return F.lower(F.trim(F.regexp_replace(joined, r"\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(joined, r"(?U)\s+", " ")))
+
+
+def strip(text: Column) -> Column:
+    """Remove whitespace of every kind from both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

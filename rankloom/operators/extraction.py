@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from rankloom.functions import urls
 from rankloom.functions.numeric import flag, rnd
+from rankloom.functions.text import strip
 from rankloom.functions.urls import literal_alternation
 
 # --- fixed values -----------------------------------------------------------
@@ -188,7 +189,7 @@ def extract_documents(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def _filled(column: Column) -> Column:
-    return F.nullif(F.trim(F.coalesce(column, F.lit(""))), F.lit(""))
+    return F.nullif(strip(F.coalesce(column, F.lit(""))), F.lit(""))
 
 
 def build_snapshots(crawl: DataFrame) -> DataFrame:

@@ -18,11 +18,11 @@ from rankloom.functions.urls import literal_alternation
 from rankloom.operators.extraction import key_present, resource_counts, schema_types, type_present
 
 # --- fixed values -----------------------------------------------------------
-PHONE_PATTERN = r"((?:\+?[\p{Nd}][\p{Nd}\s\-()]{8,}[\p{Nd}]))"
+PHONE_PATTERN = r"(?U)((?:\+?\d[\d\s\-()]{8,}\d))"
 EMAIL_PATTERN = r"((?i)[A-Z0-9._%+\-]+@[A-Z0-9.\-]+\.[A-Z]{2,})"
 CURRENCY_PATTERN = r"(?:₽|р\.|руб(?:\.|лей)?|€|eur|usd|\$)"
-PRICE_PATTERN = r"(?:от\s+)?[\p{Nd}][\p{Nd}\s]{1,12}(?:[.,][\p{Nd}]{1,2})?\s?" + CURRENCY_PATTERN
-RATING_PATTERN = r"(?:ratingvalue|рейтинг|rating)[^\p{Nd}]{0,12}([1-5](?:[.,][\p{Nd}])?)"
+PRICE_PATTERN = r"(?U)(?:от\s+)?\d[\d\s]{1,12}(?:[.,]\d{1,2})?\s?" + CURRENCY_PATTERN
+RATING_PATTERN = r"(?U)(?:ratingvalue|рейтинг|rating)\D{0,12}([1-5](?:[.,]\d)?)"
 KEYWORDS = {
     "address": ("адрес", "ул.", "улица", "проспект", "пр-т", "дом ", "офис", "строение", "корпус", "street", "avenue", "suite"),
     "business_hours": (
@@ -87,7 +87,7 @@ def text_stats(pages: DataFrame) -> DataFrame:
     """
     heading = F.concat_ws(" ", "document.h1_texts", "document.h2_texts", "document.h3_texts")
     base = pages.select(
-        "*", F.coalesce(F.nullif(F.trim(_text("text")), F.lit("")), F.col("document.text"), F.lit("")).alias("_body"),
+        "*", F.coalesce(F.nullif(tx.strip(_text("text")), F.lit("")), F.col("document.text"), F.lit("")).alias("_body"),
         F.col("document.title").alias("_title"), F.col("document.meta_description").alias("_meta"), F.trim(heading).alias("_heading"),
     )
     base = base.select("*", tx.tokens(F.col("_body")).alias("_words"), tx.stemmed_tokens(F.col("_body")).alias("_tokens"))
@@ -335,7 +335,7 @@ def commercial_trust(snapshots: DataFrame) -> DataFrame:
     base = base.select("*", scan.alias("_scan"), F.concat_ws(" ", _text("text"), F.array_join("_hrefs", " ")).alias("_contact_text"))
     says = lambda name: F.col("_scan").rlike(literal_alternation(KEYWORDS[name]))
     digits = F.filter(
-        F.transform(F.regexp_extract_all("_contact_text", F.lit(PHONE_PATTERN), F.lit(1)), lambda m: F.regexp_replace(m, r"[^\p{Nd}]", "")), lambda d: F.length(d) >= 10
+        F.transform(F.regexp_extract_all("_contact_text", F.lit(PHONE_PATTERN), F.lit(1)), lambda m: F.regexp_replace(m, r"(?U)\D", "")), lambda d: F.length(d) >= 10
     )
     clickable = F.concat("document.button_texts", "_link_texts")
     calls = F.size(F.filter(clickable, lambda t: F.lower(t).rlike(literal_alternation(KEYWORDS["cta"]))))

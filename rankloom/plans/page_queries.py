@@ -450,7 +450,8 @@ def _says(name: str) -> str:
 _G0, _G2, _B0, _B1, _B2 = "page_id % 4 = 0", "page_id % 4 = 2", "page_id % 5 = 0", "page_id % 5 = 1", "page_id % 5 = 2"
 _CUR_SQL = "(?:₽|р\\.|руб(?:\\.|лей)?|€|eur|usd|\\$)"
 _TRUST = {
-    "phone_count": f"CASE WHEN {_B0} THEN 1 ELSE 0 END + CASE WHEN {_G0} THEN 1 ELSE 0 END", "email_present": _B0, "address_present": f"{_says('address')}", "business_hours_present": f"{_says('business_hours')}",
+    "phone_count": f"len(list_distinct(list_filter(list_transform(regexp_extract_all(ctx, '\\+?\\d[\\d\\s\\-()]{{8,}}\\d'), lambda x: regexp_replace(x, '\\D', '', 'g')), lambda x: length(x) >= 10))) + CASE WHEN {_G0} THEN 1 ELSE 0 END",
+    "email_present": "regexp_matches(ctx, '(?i)[A-Z0-9._%+\\-]+@[A-Z0-9.\\-]+\\.[A-Z]{2,}')", "address_present": f"{_says('address')}", "business_hours_present": f"{_says('business_hours')}",
     "price_present": f"{_G0} OR regexp_matches(sc, '(?:от\\s+)?\\d[\\d\\s]{{1,12}}(?:[.,]\\d{{1,2}})?\\s?{_CUR_SQL}')", "currency_present": f"{_G0} OR regexp_matches(sc, '{_CUR_SQL}')",
     "delivery_info_present": _says("delivery"), "payment_info_present": _says("payment"), "warranty_info_present": _says("warranty"), "returns_info_present": _says("returns"), "reviews_present": _says("reviews"),
     "rating_present": "regexp_matches(sc, '(?:ratingvalue|рейтинг|rating)\\D{0,12}([1-5](?:[.,]\\d)?)')", "faq_present": f"{_says('faq')} OR {_G2}", "messenger_present": _says("messenger"),
@@ -458,7 +459,7 @@ _TRUST = {
 }
 _TRUST_SQL = SNAP_SQL + f""",
 lk AS (SELECT *, regexp_extract_all(html, '(?s)<a href="([^"]*)">(.*?)</a>', 2) AS lt FROM pg),
-c0 AS (SELECT *, lower({_squeezed("concat_ws(' ', text, array_to_string(list_transform(lt, lambda x: " + _unescaped('x') + "), ' '), CASE WHEN " + _B0 + " THEN 'Купить сейчас' END, html)")}) AS sc FROM lk),
+c0 AS (SELECT *, text || ' ' || array_to_string(list_transform(regexp_extract_all(html, '(?s)<a href="([^"]*)">', 1), lambda x: lower(x)), ' ') AS ctx, lower({_squeezed("concat_ws(' ', text, array_to_string(list_transform(lt, lambda x: " + _unescaped('x') + "), ' '), CASE WHEN " + _B0 + " THEN 'Купить сейчас' END, html)")}) AS sc FROM lk),
 c1 AS (SELECT *, {', '.join((e if n == 'phone_count' else f'CASE WHEN {e} THEN 1 ELSE 0 END') + f' AS {n}' for n, e in _TRUST.items())},
   len(list_filter(lt, lambda x: {' OR '.join(f"contains(lower(x), '{w}')" for w in pf.KEYWORDS['cta'])})) + CASE WHEN {_B0} THEN 1 ELSE 0 END AS calls FROM c0),
 c2 AS (SELECT *, CASE WHEN phone_count > 0 THEN 1 ELSE 0 END AS phone_present, CASE WHEN calls = 0 AND {_B2} THEN 1 ELSE calls END AS cta_count, CASE WHEN legal_requisites_present = 1 OR {_G0} THEN 1 ELSE 0 END AS company_identity_present FROM c1),
