@@ -16,6 +16,7 @@ from rankloom.functions.lexicons import (
 from rankloom.functions.numeric import clip, flag, num, ratio, rnd
 from rankloom.functions.urls import literal_alternation
 from rankloom.operators.extraction import key_present, resource_counts, schema_types, type_present
+from rankloom.operators.relevance import with_missing
 
 # --- fixed values -----------------------------------------------------------
 PHONE_PATTERN = r"(?U)((?:\+?\d[\d\s\-()]{8,}\d))"
@@ -506,7 +507,8 @@ def intent_alignment(rows: DataFrame, label: str = "intent_label") -> DataFrame:
         + clip(num("heading_count") / 6.0, 0.0, 1.0) * F.lit(0.2) + num("faq_present") * F.lit(0.15)
     )
     unit = lambda c: clip(c, 0.0, 1.0)
-    base = rows.select(
+    needed = {*COMMON_ALIGNMENT, *COMMERCIAL_SUPPORT, *LOCAL_SUPPORT, *TECHNICAL_SUPPORT, "content_depth_semantic_score", "semantic_content_richness", "heading_count", "faq_present"}
+    base = with_missing(rows, sorted(needed)).select(
         "*", unit(common * F.lit(0.45) + commercial * F.lit(0.4) + technical * F.lit(0.15)).alias("_ac"),
         unit(common * F.lit(0.3) + commercial * F.lit(0.25) + local * F.lit(0.3) + technical * F.lit(0.15)).alias("_al"),
         unit(common * F.lit(0.45) + informational * F.lit(0.4) + technical * F.lit(0.15)).alias("_ai"),

@@ -87,7 +87,8 @@ _TEMPLATE_ROWS = ", ".join(f"('{c}', '{g}', '{m}')" for c, (g, ms) in recommend.
 _ASSESSED = _DRAFTS + f""",
 wt AS (SELECT * FROM (VALUES {_WEIGHTS}) w(metric, imp, ctl)), tp AS (SELECT * FROM (VALUES {_TEMPLATE_ROWS}) t(code, grp, metric)),
 g0 AS ({' UNION ALL '.join(_gap_row(m) for m in ('page_score', *_HAVE, *_RELATIVE))}),
-g1 AS (SELECT g0.*, imp, ctl, greatest(gap / greatest(abs(bench), sc), 0e0) AS ratio FROM g0 JOIN wt USING (metric) WHERE gap > tol),
+g00 AS (SELECT * REPLACE ({rnd('gap', 9)} AS gap) FROM g0),
+g1 AS (SELECT g00.*, imp, ctl, greatest(gap / greatest(abs(bench), sc), 0e0) AS ratio FROM g00 JOIN wt USING (metric) WHERE gap > tol),
 g2 AS (SELECT *, {rnd('least(1e2, least(ratio, 1e0) * (imp * 72e-2 + ctl * 28e-2) * 1e2)', 4)} AS score FROM g1),
 g3 AS (SELECT *, CASE WHEN score >= 42 OR (imp >= 85e-2 AND ctl >= 65e-2 AND ratio >= 35e-2) THEN 0 WHEN score >= 18 OR (imp >= 7e-1 AND ctl >= 55e-2 AND ratio >= 18e-2) THEN 1 ELSE 2 END AS r0 FROM g2),
 g4 AS (SELECT *, CASE WHEN r0 = 0 AND imp < 55e-2 THEN 1 WHEN r0 = 1 AND imp < 4e-1 THEN 2 ELSE r0 END AS rk FROM g3)"""
