@@ -199,14 +199,21 @@ def score_response(spark: SparkSession, folder: str) -> DataFrame:
     return models.score_response(fitted["RandomForestRegressor"], validation, _MATRIX)
 
 
+_LATENESS = "60 days"
+
+
 # --- streams: the events table as a file stream, run to completion ---------------
 def _event_stream(spark: SparkSession, folder: str, markers: int = 0) -> DataFrame:
-    """The event view written once in time order and read back as a stream of files, optionally ended by later marker events."""
+    """The event view written once and read back as a stream of files, optionally ended by later marker events.
+
+    Files arrive in any order, so the queries allow a lateness longer than the
+    log; the markers then move the watermark past everything.
+    """
     target = _scratch(spark, "events")
     rows = load_view(spark, folder, "v_events").select("id", "audit_id", F.col("created_at").cast("timestamp").alias("created_at"), "duration_ms", "event", "stage")
-    rows.repartitionByRange(4, "created_at").sortWithinPartitions("created_at").write.mode("overwrite").parquet(target)
+    rows.write.mode("overwrite").parquet(target)
     for day in range(1, markers + 1):
-        later = rows.groupBy().agg((F.max("created_at") + F.expr(f"INTERVAL {day} DAYS")).alias("created_at")).select(
+        later = rows.groupBy().agg((F.max("created_at") + F.expr(f"INTERVAL {day * 100} DAYS")).alias("created_at")).select(
             F.lit(-day).cast("bigint").alias("id"), F.lit(-1).cast("bigint").alias("audit_id"), "created_at", F.lit(None).cast("double").alias("duration_ms"),
             F.lit("completed").alias("event"), F.lit("finalize").alias("stage"),
         )
@@ -224,17 +231,18 @@ def _run(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append"
 _ROLLUP_STAGE = "CASE stage WHEN 'app.process_audit_fetch_target' THEN 'fetch' ELSE stage END"
 
 
-@CATALOG.query("stream_stage_rollup", view_cte("v_events") + f""", m AS (SELECT max(created_at) AS hi FROM v_events) SELECT CAST(date_trunc('hour', created_at) AS TIMESTAMP) AS window_start, {_ROLLUP_STAGE} AS stage, event, {big('count(*)')} AS events,
-  sum(round_even(duration_ms * 1e2, 0)) / 1e2 AS total_duration_ms, max(duration_ms) AS max_duration_ms FROM v_events, m WHERE date_trunc('hour', created_at) + INTERVAL 1 HOUR <= hi GROUP BY ALL""")
+@CATALOG.query("stream_stage_rollup", view_cte("v_events") + f""" SELECT CAST(date_trunc('hour', created_at) AS TIMESTAMP) AS window_start, {_ROLLUP_STAGE} AS stage, event, {big('count(*)')} AS events,
+  sum(round_even(duration_ms * 1e2, 0)) / 1e2 AS total_duration_ms, max(duration_ms) AS max_duration_ms FROM v_events GROUP BY ALL""")
 def stream_stage_rollup(spark: SparkSession, folder: str) -> DataFrame:
-    return _run(spark, stream_events.stage_rollup(_event_stream(spark, folder), lateness="0 seconds"), "rollup")
+    rolled = _run(spark, stream_events.stage_rollup(_event_stream(spark, folder, markers=3), lateness=_LATENESS), "rollup")
+    return rolled.filter(F.col("window_start") < F.lit("2024-04-01").cast("timestamp"))
 
 
 @CATALOG.query("stream_dedupe", view_cte("v_events") + f" SELECT event, {big('count(*)')} AS n FROM v_events GROUP BY event")
 def stream_dedupe(spark: SparkSession, folder: str) -> DataFrame:
     stream = _event_stream(spark, folder)
     twice = stream.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    return _run(spark, stream_events.dedupe(twice, "1 hour"), "dedupe").groupBy("event").agg(F.count(F.lit(1)).alias("n"))
+    return _run(spark, stream_events.dedupe(twice, _LATENESS), "dedupe").groupBy("event").agg(F.count(F.lit(1)).alias("n"))
 
 
 @CATALOG.query("stream_stuck_runs", view_cte("v_events") + """, l AS (SELECT audit_id, max(created_at) AS last_event_at, arg_max(event, (created_at, id)) AS last_event FROM v_events GROUP BY audit_id)
@@ -245,7 +253,7 @@ def stream_stuck_runs(spark: SparkSession, folder: str) -> DataFrame:
     before = spark.conf.get(key)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        found = _run(spark, stream_events.stuck_runs_stream(_event_stream(spark, folder, markers=3)), "stuck")
+        found = _run(spark, stream_events.stuck_runs_stream(_event_stream(spark, folder, markers=3), _LATENESS), "stuck")
         return found.filter(F.col("audit_id") >= 0)
     finally:
         spark.conf.set(key, before)

@@ -46,13 +46,13 @@ class _StuckRun(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "at_ms long, event string")
+        self.last = handle.getValueState("last", "at_us long, event string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         known = self.last.get() if self.last.exists() else None
         at, event = (known[0], known[1]) if known else (-1, "")
         for batch in rows:
-            times = batch["created_at"].astype("datetime64[ms]").astype("int64")
+            times = batch["created_at"].astype("datetime64[us]").astype("int64")
             newest = times.idxmax()
             if int(times[newest]) > at:
                 at, event = int(times[newest]), str(batch["event"][newest])
@@ -61,12 +61,12 @@ class _StuckRun(StatefulProcessor):
         self.last.update((at, event))
         if event not in TERMINAL_EVENTS:
             # a run that is already older than the limit is reported at the next watermark step
-            self.handle.registerTimer(max(at + _STUCK_MS, timerValues.getCurrentWatermarkInMs() + 1))
+            self.handle.registerTimer(max(at // 1000 + _STUCK_MS, timerValues.getCurrentWatermarkInMs() + 1))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at, event = self.last.get()
-        yield pd.DataFrame({"audit_id": [key[0]], "last_event_at": [pd.Timestamp(at, unit="ms")], "last_event": [event]})
+        yield pd.DataFrame({"audit_id": [key[0]], "last_event_at": [pd.Timestamp(at, unit="us")], "last_event": [event]})
 
     def close(self) -> None:
         pass
