@@ -355,45 +355,37 @@ def leave_one_out(rows: DataFrame, key: str = "query") -> DataFrame:
     histogram of its group: counts come from running sums, mean and variance
     by subtracting the own value, top and median from positions. Input is
     the long form of ``group_values``; values have 6 digits, so a histogram
-    has at most about a million entries however many rows the group has.
+    has at most about a million entries however many rows the group has. One
+    shuffle after map-side counting; all windows share it. Sums run over
+    whole millionths, which add exactly.
     """
     keys = [key, "grp"]
     hist = value_histogram(rows, keys, "value")
+    group = Window.partitionBy(*keys)
     first_middle = F.floor((F.col("n_total") - 2) / 2)
-    covers = lambda position: (F.col("n_below") <= position) & (F.col("n_below") + F.col("n_equal") > position)
-    value_at = lambda position: F.max(F.when(covers(position), F.col("value")))
-    # 0-based positions of the middle rows once one row is left out
-    middle = F.floor(F.col("n_total") / 2)
-    stats = hist.groupBy(*keys).agg(
-        F.max("n_total").alias("n"),
-        F.sum(F.col("value") * F.col("n_equal")).alias("total"),
-        F.max("value").alias("best"),
-        F.max(F.when(F.col("n_below") + F.col("n_equal") < F.col("n_total"), F.col("value"))).alias("second"),
-        value_at(first_middle).alias("m0"),
-        value_at(first_middle + 1).alias("m1"),
-        value_at(first_middle + 2).alias("m2"),
-    )
-    centered = hist.join(stats, keys).withColumn("centre", F.col("total") / F.col("n"))
-    spread = centered.groupBy(*keys).agg(
-        F.sum(F.pow(F.col("value") - F.col("centre"), 2) * F.col("n_equal")).alias("squares")
-    )
-    joined = centered.join(spread, keys).filter(F.col("n") > 1)
-    n, own = F.col("n").cast("double"), F.col("value")
-    others = n - 1.0
-    own_dev = own - F.col("centre")
-    variance = (F.col("squares") - own_dev * own_dev * n / others) / others
+    value_at = lambda position: F.max(
+        F.when((F.col("n_below") <= position) & (F.col("n_below") + F.col("n_equal") > position), F.col("value"))
+    ).over(group)
+    units = F.rint(F.col("value") * 1e6)
+    stats = hist.filter(F.col("n_total") > 1).select(
+        "*",
+        F.sum(units * F.col("n_equal")).over(group).alias("total"), F.sum(units * units * F.col("n_equal")).over(group).alias("squares"),
+        F.max("value").over(group).alias("best"),
+        F.max(F.when(F.col("n_below") + F.col("n_equal") < F.col("n_total"), F.col("value"))).over(group).alias("second"),
+        value_at(first_middle).alias("m0"), value_at(first_middle + 1).alias("m1"), value_at(first_middle + 2).alias("m2"),
+    )
+    others = (F.col("n_total") - 1).cast("double")
+    rest, rest_squares = F.col("total") - units, F.col("squares") - units * units
+    variance = (rest_squares - rest * rest / others) / others / 1e12
     # position k of the rest is position k of the whole below the own row, k + 1 from it on
     rest_at = lambda position, here, after: F.when(F.col("n_below") + F.col("n_equal") - 1 <= position, after).otherwise(here)
-    low = rest_at(F.floor((F.col("n") - 2) / 2), F.col("m0"), F.col("m1"))
-    high = rest_at(F.floor((F.col("n") - 2) / 2) + 1, F.col("m1"), F.col("m2"))
-    odd_rest = F.col("n") % 2 == 0
-    shaped = joined.select(
-        *keys, "value",
-        (F.col("n") - 1).alias("peers"),
-        F.when((own == F.col("best")) & (F.col("n_equal") == 1), F.col("second")).otherwise(F.col("best")).alias("top_value"),
-        F.when(odd_rest, low).otherwise((low + high) / 2.0).alias("median_value"),
-        ((F.col("total") - own) / others).alias("mean_value"),
-        F.when(variance < 1e-12, F.lit(0.0)).otherwise(variance).alias("variance"),
+    low = rest_at(first_middle, F.col("m0"), F.col("m1"))
+    high = rest_at(first_middle + 1, F.col("m1"), F.col("m2"))
+    shaped = stats.select(
+        *keys, "value", (F.col("n_total") - 1).alias("peers"),
+        F.when((F.col("value") == F.col("best")) & (F.col("n_equal") == 1), F.col("second")).otherwise(F.col("best")).alias("top_value"),
+        F.when(F.col("n_total") % 2 == 0, low).otherwise((low + high) / 2.0).alias("median_value"),
+        (rest / others / 1e6).alias("mean_value"), F.when(variance < 1e-12, F.lit(0.0)).otherwise(variance).alias("variance"),
         F.col("n_below").alias("below"), (F.col("n_equal") - 1).alias("equal"),
     )
     return shaped.select(*keys, "value", "peers", *_relative_columns())

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rankloom.session import tune
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -26,11 +29,19 @@ class Catalog:
         return register
 
 
+def _tuned(function: Query) -> Query:
+    @wraps(function)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return function(tune(spark), folder)
+
+    return run
+
+
 def full_catalog() -> Catalog:
     from rankloom.plans import FAMILIES
 
     whole = Catalog()
     for family in FAMILIES:
         for key, function in family.CATALOG.queries.items():
-            whole.query(key, family.CATALOG.oracles.get(key))(function)
+            whole.query(key, family.CATALOG.oracles.get(key))(_tuned(function))
     return whole

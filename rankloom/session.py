@@ -7,6 +7,18 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Feature rows are wide, and the JVM does not compile methods above 8,000
+# bytes. Past that size Spark should split the work instead of fusing it.
+TUNING = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Session settings the wide feature projections need to run compiled; safe to repeat."""
+    for key, value in TUNING.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def build_session(app_name: str = "rankloom", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -17,6 +29,7 @@ def build_session(app_name: str = "rankloom", master: str | None = None, **conf:
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        **TUNING,
     }
     settings.update({key.replace("__", "."): value for key, value in conf.items()})
     for key, value in settings.items():
