@@ -17,7 +17,7 @@ from rankloom.operators import datasets, extraction
 from rankloom.operators import page_features as pf
 from rankloom.plans.oracle_text import big, clip, host, rnd
 from rankloom.plans.registry import Catalog
-from rankloom.sources.tables import read_table
+from rankloom.sources.tables import read_table, spread
 from rankloom.sources.views import load_view, view_cte
 
 CATALOG = Catalog()
@@ -58,7 +58,7 @@ _COLUMNS = {
 
 
 def snapshots(spark: SparkSession, folder: str) -> DataFrame:
-    crawl = read_table(spark, folder, "pages").select(*[F.expr(e).alias(n) for n, e in _COLUMNS.items()])
+    crawl = spread(read_table(spark, folder, "pages")).select(*[F.expr(e).alias(n) for n, e in _COLUMNS.items()])
     hops = F.transform(F.sequence(F.lit(0), F.col("hops")), lambda i: F.struct(F.concat(F.lit(" http://hop/"), i.cast("string")).alias("url"), F.lit(301).alias("status_code")))
     chain = F.slice(hops, 1, F.col("hops").cast("int"))
     headers = F.when(F.col("x_robots") != "", F.create_map(F.lit(" X-Robots-Tag "), F.col("x_robots"), F.lit(" "), F.lit("x")))

@@ -7,3 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Deal rows out when the input has fewer splits than the cluster has cores.
+
+    A file of one row group is one task, and everything up to the first
+    exchange would run in it. Inputs with enough splits are left alone, so
+    large tables pay nothing.
+    """
+    wanted = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(wanted) if rows.rdd.getNumPartitions() * 2 <= wanted else rows

@@ -11,7 +11,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.sources.tables import read_table
+from rankloom.sources.tables import read_table, spread
 
 _TABLE = re.compile(r"\{(\w+)\}")
 
@@ -261,6 +261,9 @@ VIEWS: dict[str, tuple[dict[str, str], str]] = {
 }
 
 
+_DRIVING = {"v_rows": "lineitem", "v_raw_serp": "lineitem", "v_events": "events"}
+
+
 def _select(name: str) -> str:
     columns, source = VIEWS[name]
     body = ",\n  ".join(f"{expression} AS {alias}" for alias, expression in columns.items())
@@ -269,7 +272,9 @@ def _select(name: str) -> str:
 
 def load_view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     text = _select(name)
-    tables = {table: read_table(spark, folder, table) for table in sorted(set(_TABLE.findall(text)))}
+    names = sorted(set(_TABLE.findall(text)))
+    # only the table the rows come from is worth dealing out
+    tables = {t: spread(read_table(spark, folder, t)) if t == _DRIVING.get(name) else read_table(spark, folder, t) for t in names}
     return spark.sql(text, **tables)
 
 
