@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import urls
 from rankloom.functions.numeric import (
-    clip, first_by_hash, flag, floor_position, index_percentile, nearest_position, num, numbered_by_hash, ratio, rnd,
-    stable_mean, value_histogram,
+    clip, first_by_hash, floor_position, index_percentile, nearest_position, num, numbered_by_hash, ratio, rnd,
+    value_histogram,
 )
 from rankloom.operators.evaluation import check_rows
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.functions.numeric import clip, flag, num, ratio, rnd, stable_mean, value_histogram
+from rankloom.functions.numeric import flag, num, ratio, rnd, stable_mean
 from rankloom.functions.urls import is_aggregator
 
 # --- fixed values -----------------------------------------------------------

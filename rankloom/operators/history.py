@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.functions.numeric import flag, num, ratio, rnd, stable_mean, stable_sum
+from rankloom.functions.numeric import num, ratio, rnd, stable_mean, stable_sum
 
 # --- fixed values -----------------------------------------------------------
 STAGE_ORDER = (

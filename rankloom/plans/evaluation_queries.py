@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions.numeric import rnd as rnd_column
-from rankloom.functions.numeric import stable_mean
 from rankloom.operators import evaluation, peers, preferences, release, relevance
 from rankloom.plans import relevance_queries as rq
 from rankloom.plans.oracle_text import big, clip, mean, rnd

@@ -314,20 +314,27 @@ def _words(terms) -> str:
     return "[" + ", ".join(f"'{t}'" for t in terms) + "]"
 
 
-_MOSCOW = DEFAULT_LEXICON.geo_aliases["moscow"]
-_PRICE = DEFAULT_LEXICON.intent_aliases["price"]
-_ALIASED = lambda term, group: f"CASE WHEN list_contains(b, '{term}') THEN len(list_filter(b, lambda x: x = '{term}')) ELSE len(list_filter(b, lambda x: list_contains({_words(group)}, x))) END"
+def _alias_rows(aliases) -> str:
+    return "MAP {" + ", ".join(f"'{t}': {_words(g)}" for t, g in aliases.items()) + "}"
+
+
+_ALIASED = lambda terms, aliases: (
+    f"list_transform({terms}, lambda t: CASE WHEN list_contains(b, t) THEN len(list_filter(b, lambda x: x = t)) "
+    f"ELSE len(list_filter(b, lambda x: list_contains(coalesce({aliases}[t], [t]), x))) END)"
+)
 _CORE_SQL = _PQ_SQL + f""",
 q2 AS (SELECT *, list_filter(q, lambda t: NOT list_contains({_words(DEFAULT_LEXICON.non_core_terms)}, t)) AS core, list_filter(q, lambda t: list_contains({_words(DEFAULT_LEXICON.intent_terms)}, t)) AS it,
-  list_filter(q, lambda t: list_contains({_words(DEFAULT_LEXICON.geo_terms)}, t)) AS ge, {_ALIASED('price', _PRICE)} AS ic, {_ALIASED('moscow', _MOSCOW)} AS gc FROM q1),
-q3 AS (SELECT *, CASE WHEN len(core) > 0 THEN core ELSE q END AS nd, core[len(core)] AS pr, len(list_filter(core, lambda t: list_contains(b, t))) AS cm, coalesce(list_sum(list_transform(core, lambda t: len(list_filter(b, lambda x: x = t)))), 0) AS cc FROM q2),
+  list_filter(q, lambda t: list_contains({_words(DEFAULT_LEXICON.geo_terms)}, t)) AS ge, {_alias_rows(DEFAULT_LEXICON.intent_aliases)} AS im, {_alias_rows(DEFAULT_LEXICON.geo_aliases)} AS gm FROM q1),
+q2b AS (SELECT *, {_ALIASED('it', 'im')} AS il, {_ALIASED('ge', 'gm')} AS gl FROM q2),
+q2c AS (SELECT *, coalesce(list_sum(il), 0) AS ic, coalesce(list_sum(gl), 0) AS gc, len(list_filter(il, lambda c: c > 0)) AS im_n, len(list_filter(gl, lambda c: c > 0)) AS gm_n FROM q2b),
+q3 AS (SELECT *, CASE WHEN len(core) > 0 THEN core ELSE q END AS nd, core[len(core)] AS pr, len(list_filter(core, lambda t: list_contains(b, t))) AS cm, coalesce(list_sum(list_transform(core, lambda t: len(list_filter(b, lambda x: x = t)))), 0) AS cc FROM q2c),
 q4 AS (SELECT *, len(list_filter(nd, lambda t: list_contains(b, t))) * 1e0 / len(nd) AS ccov,
   CASE WHEN len(nd) > len(b) THEN 0 ELSE len(list_filter(generate_series(1, len(b) - len(nd) + 1), lambda i: b[i:i + len(nd) - 1] = nd)) END AS pc,
   CASE WHEN list_contains(b, pr) THEN 1 ELSE 0 END AS pp, CASE WHEN list_contains(ti, pr) THEN 1 ELSE 0 END AS pt, CASE WHEN list_contains(hd, pr) THEN 1 ELSE 0 END AS phd FROM q3)"""
 _CORE = {
     "query_core_term_count": big("cc"), "query_core_term_matches": big("cm"), "query_core_phrase_count": big("pc"), "query_intent_modifier_count": big("ic"), "query_geo_modifier_count": big("gc"),
-    "query_core_keyword_coverage_ratio": rnd("ccov", 6), "query_intent_modifier_coverage_ratio": "CASE WHEN ic > 0 THEN 1e0 / len(it) ELSE 0e0 END",
-    "query_geo_modifier_coverage_ratio": "CASE WHEN gc > 0 THEN 1e0 / len(ge) ELSE 0e0 END", "query_primary_core_term_present": "pp", "query_primary_core_term_in_title": "pt", "query_primary_core_term_in_headings": "phd",
+    "query_core_keyword_coverage_ratio": rnd("ccov", 6), "query_intent_modifier_coverage_ratio": rnd("CASE WHEN len(it) > 0 THEN im_n * 1e0 / len(it) ELSE 0e0 END", 6),
+    "query_geo_modifier_coverage_ratio": rnd("CASE WHEN len(ge) > 0 THEN gm_n * 1e0 / len(ge) ELSE 0e0 END", 6), "query_primary_core_term_present": "pp", "query_primary_core_term_in_title": "pt", "query_primary_core_term_in_headings": "phd",
     "core_missing_but_geo_present": "CASE WHEN gc > 0 AND pp = 0 AND ccov < 75e-2 THEN 1 ELSE 0 END", "modifier_or_geo_only_match": "CASE WHEN tm > 0 AND pp = 0 AND ccov < 75e-2 AND (ic > 0 OR gc > 0) THEN 1 ELSE 0 END",
 }
 

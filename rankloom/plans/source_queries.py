@@ -12,16 +12,13 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.functions import text as tx
-from rankloom.operators import datasets, evaluation, extraction, models
+from rankloom.operators import datasets, evaluation, models
 from rankloom.operators import page_features as pf
-from rankloom.operators import preferences
 from rankloom.plans import dataset_queries as dq
 from rankloom.plans import evaluation_queries as eq
 from rankloom.plans import page_queries as pq
 from rankloom.plans.oracle_text import big, rnd
 from rankloom.plans.registry import Catalog
-from rankloom.session import materialise
 from rankloom.sources import scans
 from rankloom.sources.views import load_view, view_cte
 from rankloom.streaming import events as stream_events
@@ -35,7 +32,10 @@ def _scratch(spark: SparkSession, name: str) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder and "://" in folder and not folder.startswith("file:"):
         return f"{folder.rstrip('/')}/rankloom-{name}-{os.getpid()}-{os.urandom(4).hex()}"
-    return tempfile.mkdtemp(prefix=f"rankloom-{name}-", dir=folder.removeprefix("file:") if folder else None)
+    local = folder.removeprefix("file://").removeprefix("file:") if folder else None
+    if local:
+        os.makedirs(local, exist_ok=True)
+    return tempfile.mkdtemp(prefix=f"rankloom-{name}-", dir=local)
 
 
 _TEXTUAL = {
@@ -187,8 +187,8 @@ SELECT model, top_feature, top_group, critical, important, supporting, {rnd('sup
 def feature_dominance(spark: SparkSession, folder: str) -> DataFrame:
     from rankloom.sources.tables import read_table
 
-    read_table(spark, folder, "part").createOrReplaceTempView("part")
-    summed = spark.sql(_IMPORTANCE).groupBy("model", "feature").agg(F.sum("importance").cast("double").alias("importance"))
+    listed = spark.sql(_IMPORTANCE.replace("FROM part", "FROM {part}"), part=read_table(spark, folder, "part"))
+    summed = listed.groupBy("model", "feature").agg(F.sum("importance").cast("double").alias("importance"))
     return models.feature_dominance(summed)
 
 
