@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import licenses, mixing, sketches
+from rankloom.llm import discriminant, licenses, mixing, quality, sketches, tokenfiles
 from rankloom.llm.common import read
 from rankloom.plans.registry import Catalog
 
 CATALOG = Catalog()
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @CATALOG.query("op1_pareto_mix")
 def op1_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
@@ -27,3 +33,19 @@ def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 @CATALOG.query("op4_bottom_k")
 def op4_bottom_k(spark: SparkSession, folder: str) -> DataFrame:
     return sketches.fingerprint_edits(read(spark, folder, "documents"))
+
+
+@CATALOG.query("op3_ngram_ratio")
+def op3_ngram_ratio(spark: SparkSession, folder: str) -> DataFrame:
+    trusted = read(spark, folder, "labels").filter("quality = 1")
+    return quality.quality_rules(read(spark, folder, "documents"), trusted)
+
+
+@CATALOG.query("op5_token_files")
+def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenfiles.token_table(read(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+@CATALOG.query("op6_discriminant")
+def op6_discriminant(spark: SparkSession, folder: str) -> DataFrame:
+    return discriminant.classify(read(spark, folder, "documents"), read(spark, folder, "labels"))
