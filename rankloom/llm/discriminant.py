@@ -28,8 +28,8 @@ _LETTER = np.array([chr(b).isalpha() and b < 128 or b >= 0xC2 for b in range(256
 def statistics(data: bytes) -> np.ndarray:
     """The transformed statistics of a text, all 0 for one without words.
 
-    Counts are logs, shares are logits with one event added on both sides, so
-    that a share of 0 in a short text is not as certain as in a long one.
+    Counts are logs, shares are logits pulled away from 0 and 1 by two
+    hundredths, so that a share of 0 is the same point at every length.
     """
     buffer = np.frombuffer(data, np.uint8)
     solid = ~IS_BLANK[buffer]
@@ -50,7 +50,8 @@ def statistics(data: bytes) -> np.ndarray:
     lines = [line for line in data.split(b"\n") if line.strip(BLANKS)]
 
     def logit(part: float, whole: float) -> float:
-        return float(np.log((part + 1.0) / (max(whole - part, 0) + 1.0)))
+        share = min(part / max(whole, 1), 1.0)
+        return float(np.log((share + 0.02) / (1.02 - share)))
 
     return np.array([
         np.log1p(n), np.log(lengths.mean()), np.log1p(lengths.std()), logit(counts[1] + accented, letters), logit(counts[2], points), logit(counts[3], points), logit(counts[4], points),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import discriminant, licenses, mixing, quality, sketches, tokenfiles
+from rankloom.llm import discriminant, licenses, mixing, pagetext, quality, sketches, tokenfiles
 from rankloom.llm.common import read
 from rankloom.plans.registry import Catalog
 
@@ -49,3 +49,8 @@ def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
 @CATALOG.query("op6_discriminant")
 def op6_discriminant(spark: SparkSession, folder: str) -> DataFrame:
     return discriminant.classify(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+@CATALOG.query("op8_main_text")
+def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return pagetext.main_text(read(spark, folder, "pages"))
