@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import discriminant, licenses, mixing, pagetext, quality, sketches, tokenfiles
+from rankloom.llm import discriminant, licenses, linetemplates, mixing, pagetext, quality, sketches, tokenfiles
 from rankloom.llm.common import read
 from rankloom.plans.registry import Catalog
 
@@ -54,3 +54,9 @@ def op6_discriminant(spark: SparkSession, folder: str) -> DataFrame:
 @CATALOG.query("op8_main_text")
 def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return pagetext.main_text(read(spark, folder, "pages"))
+
+
+@CATALOG.query("op10_line_templates")
+def op10_line_templates(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    return linetemplates.drop_recurring_lines(docs).select("doc_id", "n_lines", "n_dropped", "n_chars", "text")
