@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import discriminant, licenses, linetemplates, mixing, pagetext, quality, sketches, tokenfiles
+from rankloom.llm import discriminant, jaccardjoin, licenses, linetemplates, mixing, pagetext, quality, sketches, tokenfiles
 from rankloom.llm.common import read
 from rankloom.plans.registry import Catalog
 
@@ -60,3 +60,8 @@ def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
 def op10_line_templates(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     return linetemplates.drop_recurring_lines(docs).select("doc_id", "n_lines", "n_dropped", "n_chars", "text")
+
+
+@CATALOG.query("op9_jaccard_join")
+def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccardjoin.jaccard_classes(read(spark, folder, "documents")).select("doc_id", "class_id", "n_links", "keeper")
