@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import discriminant, jaccardjoin, licenses, linetemplates, mixing, pagetext, quality, sketches, tokenfiles
+from rankloom.llm import discriminant, jaccardjoin, licenses, linetemplates, mixing, pagetext, pieces, quality, sketches, tokenfiles
 from rankloom.llm.common import read
 from rankloom.plans.registry import Catalog
 
@@ -65,3 +65,8 @@ def op10_line_templates(spark: SparkSession, folder: str) -> DataFrame:
 @CATALOG.query("op9_jaccard_join")
 def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccardjoin.jaccard_classes(read(spark, folder, "documents")).select("doc_id", "class_id", "n_links", "keeper")
+
+
+@CATALOG.query("op7_piece_lattice")
+def op7_piece_lattice(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encode(read(spark, folder, "documents"), tokenizer_file("piece_bpe_32k.model"))
