@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import urls
-from rankloom.functions.numeric import clip, flag, present_mean, ratio, rnd, stable_mean, tie_percentile, value_histogram
+from rankloom.functions.numeric import clip, flag, present_mean, ratio, rnd, stable_mean, stable_sum, tie_percentile, value_histogram
 
 # --- fixed values -----------------------------------------------------------
 BOT_BLOCK_CODES = (
@@ -437,11 +437,11 @@ def peer_benchmark(peers: DataFrame, lower_is_better: Sequence[str], higher_is_b
 
 
 def peer_average(peers: DataFrame, metrics: Sequence[str], score: str, key: str = "query") -> DataFrame:
-    """Mean per feature where an absent feature counts as 0; mean score over scored peers."""
+    """Mean per feature where an absent feature counts as 0; mean score over scored peers. Six digits are added as whole numbers."""
     means = [
-        rnd(F.sum(F.coalesce(F.col(m).cast("double"), F.lit(0.0))) / F.count(F.lit(1)), 4).alias(f"avg_{m}") for m in metrics
+        rnd(stable_sum(F.coalesce(F.col(m).cast("double"), F.lit(0.0)), 6) / F.count(F.lit(1)), 4).alias(f"avg_{m}") for m in metrics
     ]
-    return peers.groupBy(key).agg(F.count(F.lit(1)).alias("peers"), *means, rnd(F.avg(score), 4).alias("average_peer_score"))
+    return peers.groupBy(key).agg(F.count(F.lit(1)).alias("peers"), *means, rnd(stable_mean(F.col(score), 6), 4).alias("average_peer_score"))
 
 
 def compare_sites(rows: DataFrame, side: str = "side", score: str = "score") -> DataFrame:

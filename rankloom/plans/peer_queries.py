@@ -231,16 +231,16 @@ def serp_relative_all(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _target_and_peers(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Rank 1 to 20 of a query with the best-ranked page of each query as the audited page."""
-    rows = load_view(spark, folder, "v_rows").filter(F.col("rank") <= 20).withColumn("audit_id", F.col("query"))
+    """All rows of a query with the best-ranked page of each query as the audited page."""
+    rows = load_view(spark, folder, "v_rows").withColumn("audit_id", F.col("query"))
     features = sorted({c for cols in peers.SERP_RELATIVE_GROUPS.values() for c in cols})
     own_url = rows.groupBy("audit_id").agg(F.min_by("url", F.struct("rank", "url")).alias("own_url"))
     joined = rows.join(own_url, "audit_id").select("audit_id", "url", "own_url", *features)
     return joined.filter(F.col("url") == F.col("own_url")), joined.filter(F.col("url") != F.col("own_url"))
 
 
-_TARGET_ORACLE = view_cte("v_rows") + "," + _LONG.replace("FROM v_rows", "FROM v_rows WHERE rank <= 20") + f""",
-o_own AS (SELECT query, arg_min(url, (rank, url)) AS own_url FROM v_rows WHERE rank <= 20 GROUP BY query),
+_TARGET_ORACLE = view_cte("v_rows") + "," + _LONG + f""",
+o_own AS (SELECT query, arg_min(url, (rank, url)) AS own_url FROM v_rows GROUP BY query),
 o_peer AS (SELECT a.query, a.grp, any_value(a.value) AS own, count(b.url) AS peers, max(b.value) AS top_value, median(b.value) AS median_value,
   avg(b.value) AS mean_value, var_pop(b.value) AS variance, count(*) FILTER (b.value < a.value) AS below, count(*) FILTER (b.value = a.value) AS equal
   FROM o_long a JOIN o_own o ON a.query = o.query AND a.url = o.own_url
@@ -277,8 +277,8 @@ def peer_benchmark(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @CATALOG.query("peer_average", view_cte("v_rows") + f""" SELECT query, {big('count(*)')} AS peers,
-  {', '.join(rnd("sum(CASE WHEN fetch_status = 'failed' THEN 0e0 ELSE " + m + " END) / count(*)", 4) + f" AS avg_{m}" for m in (*_HIGHER, *_LOWER))},
-  {rnd("avg(target_score) FILTER (fetch_status <> 'failed')", 4)} AS average_peer_score FROM v_rows GROUP BY query""")
+  {', '.join(rnd("sum(CASE WHEN fetch_status = 'failed' THEN 0 ELSE round_even(CAST(" + m + " AS DOUBLE) * 1e6, 0) END) / 1e6 / count(*)", 4) + f" AS avg_{m}" for m in (*_HIGHER, *_LOWER))},
+  {rnd(mean('target_score', 6, "fetch_status <> 'failed'"), 4)} AS average_peer_score FROM v_rows GROUP BY query""")
 def peer_average(spark: SparkSession, folder: str) -> DataFrame:
     ok = F.col("fetch_status") != "failed"
     rows = load_view(spark, folder, "v_rows").select(

@@ -1,4 +1,4 @@
-"""Recommendation queries: the best-ranked page of a query is audited against its other pages on the first two result pages."""
+"""Recommendation queries: the best-ranked page of a query is audited against its other pages."""
 
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ _RELATIVE = [m for m, spec in recommend.METRICS.items() if spec[3] is not None]
 
 
 def prepared(spark: SparkSession, folder: str) -> DataFrame:
-    rows = load_view(spark, folder, "v_rows").filter(F.col("rank") <= 20).withColumn("audit_id", F.col("query"))
+    rows = load_view(spark, folder, "v_rows").withColumn("audit_id", F.col("query"))
     lead = rows.groupBy("audit_id").agg(F.min_by("url", F.struct("rank", "url")).alias("own_url"))
     joined = rows.join(lead, "audit_id")
     own, others = joined.filter(F.col("url") == F.col("own_url")), joined.filter(F.col("url") != F.col("own_url"))
@@ -35,7 +35,7 @@ _HEAD, _TAIL = _TARGET_ORACLE.split("\nSELECT query AS audit_id", 1)
 _BASE = _HEAD + ",\nrel AS (SELECT query AS audit_id" + _TAIL + ")," + rq.TM_SQL + f""",
 ow AS (SELECT t3.*, target_score AS page_score, high AND kw >= 99e-2 AS sure, rel.* EXCLUDE (audit_id) FROM t3 JOIN o_own o ON t3.query = o.query AND t3.url = o.own_url JOIN rel ON rel.audit_id = t3.query),
 bn AS (SELECT v.query, count(*) AS pc, CASE WHEN count(*) >= 2 THEN avg(target_score) END AS ca, {', '.join(f"CASE WHEN count(*) >= 2 THEN quantile_cont({rnd(m, 4)}, {'75e-2' if recommend.METRICS[m][0] == 'up' else '25e-2'}) END AS b_{m}" for m in _HAVE)}
-  FROM v_rows v JOIN o_own o ON v.query = o.query AND v.url <> o.own_url WHERE rank <= 20 GROUP BY v.query),
+  FROM v_rows v JOIN o_own o ON v.query = o.query AND v.url <> o.own_url GROUP BY v.query),
 pp AS (SELECT ow.*, coalesce(pc, 0) AS pc, ca, {', '.join(f'b_{m}' for m in _HAVE)} FROM ow LEFT JOIN bn ON ow.query = bn.query)"""
 
 _B = lambda m: f"coalesce(b_{m}, 0e0)"

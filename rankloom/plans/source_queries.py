@@ -6,8 +6,7 @@ them back through the same typing code the file readers use.
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +18,7 @@ from rankloom.plans import evaluation_queries as eq
 from rankloom.plans import page_queries as pq
 from rankloom.plans.oracle_text import big, rnd
 from rankloom.plans.registry import Catalog
+from rankloom.session import shared_folder
 from rankloom.sources import scans
 from rankloom.sources.views import load_view, view_cte
 from rankloom.streaming import events as stream_events
@@ -28,14 +28,8 @@ CATALOG = Catalog()
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder beside the checkpoints, which every executor can reach."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder and "://" in folder and not folder.startswith("file:"):
-        return f"{folder.rstrip('/')}/rankloom-{name}-{os.getpid()}-{os.urandom(4).hex()}"
-    local = folder.removeprefix("file://").removeprefix("file:") if folder else None
-    if local:
-        os.makedirs(local, exist_ok=True)
-    return tempfile.mkdtemp(prefix=f"rankloom-{name}-", dir=local)
+    """A new folder inside the shared one, named for what it holds."""
+    return f"{shared_folder(spark)}/rankloom-{name}-{uuid.uuid4().hex}"
 
 
 _TEXTUAL = {
@@ -206,8 +200,9 @@ _LATENESS = "60 days"
 def _event_stream(spark: SparkSession, folder: str, markers: int = 0) -> DataFrame:
     """The event view written once and read back as a stream of files, optionally ended by later marker events.
 
-    Files arrive in any order, so the queries allow a lateness longer than the
-    log; the markers then move the watermark past everything.
+    A batch takes all files that are there. Files arrive in any order, so the
+    queries allow a lateness longer than the log; the markers then move the
+    watermark past everything.
     """
     target = _scratch(spark, "events")
     rows = load_view(spark, folder, "v_events").select("id", "audit_id", F.col("created_at").cast("timestamp").alias("created_at"), "duration_ms", "event", "stage")
@@ -215,10 +210,10 @@ def _event_stream(spark: SparkSession, folder: str, markers: int = 0) -> DataFra
     for day in range(1, markers + 1):
         later = rows.groupBy().agg((F.max("created_at") + F.expr(f"INTERVAL {day * 100} DAYS")).alias("created_at")).select(
             F.lit(-day).cast("bigint").alias("id"), F.lit(-1).cast("bigint").alias("audit_id"), "created_at", F.lit(None).cast("double").alias("duration_ms"),
-            F.lit("completed").alias("event"), F.lit("finalize").alias("stage"),
+            F.lit("marker").alias("event"), F.lit("finalize").alias("stage"),
         )
         later.coalesce(1).write.mode("append").parquet(target)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(target)
+    return spark.readStream.schema(rows.schema).parquet(target)
 
 
 def _run(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -235,7 +230,7 @@ _ROLLUP_STAGE = "CASE stage WHEN 'app.process_audit_fetch_target' THEN 'fetch' E
   sum(round_even(duration_ms * 1e2, 0)) / 1e2 AS total_duration_ms, max(duration_ms) AS max_duration_ms FROM v_events GROUP BY ALL""")
 def stream_stage_rollup(spark: SparkSession, folder: str) -> DataFrame:
     rolled = _run(spark, stream_events.stage_rollup(_event_stream(spark, folder, markers=3), lateness=_LATENESS), "rollup")
-    return rolled.filter(F.col("window_start") < F.lit("2024-04-01").cast("timestamp"))
+    return rolled.filter(F.col("event") != "marker")
 
 
 @CATALOG.query("stream_dedupe", view_cte("v_events") + f" SELECT event, {big('count(*)')} AS n FROM v_events GROUP BY event")
@@ -263,8 +258,8 @@ def stream_stuck_runs(spark: SparkSession, folder: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     source, target = _scratch(spark, "crawl"), _scratch(spark, "stored")
     rows = load_view(spark, folder, "v_raw_serp").select("query", "url", "position")
-    rows.repartition(3).write.mode("overwrite").parquet(source)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    rows.write.mode("overwrite").parquet(source)
+    stream = spark.readStream.schema(rows.schema).parquet(source)
     ingest(stream, f"{target}/rows", f"{target}/state").trigger(availableNow=True).start().awaitTermination()
     stored = read_ingested(spark, f"{target}/rows")
     return stored.groupBy("query").agg(F.count(F.lit(1)).alias("urls"))
