@@ -254,11 +254,17 @@ def _sorted_parameters(url: Column) -> Column:
 
 
 def _without_dots(route: Column) -> Column:
-    """Path with "." steps removed and up to five ".." steps resolved."""
-    plain = F.regexp_replace(route, r"/(?:\./)+", "/")
-    for _ in range(5):
-        plain = F.regexp_replace(plain, r"/(?!\.\./)[^/?#]+/\.\./", "/")
-    return F.regexp_replace(plain, r"^(/\.\.)+/", "/")
+    """Path with "." steps removed and every ".." step resolved, however many there are."""
+    head = F.regexp_extract(route, "^[^?#]*", 0)
+    steps = F.split(F.substring(head, F.lit(2), F.length(head)), "/")
+
+    def walk(done: Column, step: Column) -> Column:
+        return (
+            F.when(step == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(step == ".", done).otherwise(F.concat(done, F.array(step)))
+        )
+
+    walked = F.aggregate(steps, F.array().cast("array<string>"), walk)
+    return F.concat(F.lit("/"), F.array_join(walked, "/"), F.substring(route, F.length(head) + 1, F.length(route)))
 
 
 def canonical_matches(canonical: Column, final: Column) -> Column:

@@ -164,7 +164,7 @@ LABELS_SQL = f"""
 l AS (SELECT query, url, rank, category, {rnd('target_score', 4)} AS page_target_score, {rnd(f'62e-2 * target_score + 23e-2 * {_PRIOR} + 15e-2 * ({_CRIT})', 4)} AS ranking_target_score,
   {rnd(_CRIT, 4)} AS critical_search_score, {rnd(_PRIOR, 4)} AS rank_prior_score,
   CASE WHEN {rnd('target_score', 4)} >= 85 THEN 'high' WHEN {rnd('target_score', 4)} >= 65 THEN 'medium' WHEN {rnd('target_score', 4)} >= 40 THEN 'low' ELSE 'blocked' END AS quality_band FROM v_rows)"""
-_COLLECTED = "k AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY query ORDER BY rank, url) <= 20)"
+_COLLECTED = "k AS MATERIALIZED (SELECT query, url, rank, ranking_target_score FROM l)"
 _MARGIN = rnd("abs(a.ranking_target_score - b.ranking_target_score)", 4)
 PAIRS_SQL = f"""
 o_pair AS (SELECT a.query, a.ranking_target_score >= b.ranking_target_score AS aw, a.url AS au, b.url AS bu, a.rank AS ar, b.rank AS br, {_MARGIN} AS target_margin,
@@ -181,7 +181,7 @@ def labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return preferences.preference_pairs(preferences.collected_pages(labels(spark, folder)))
+    return preferences.preference_pairs(labels(spark, folder))
 
 
 @CATALOG.query("page_labels", view_cte("v_rows") + "," + LABELS_SQL + " SELECT * FROM l")

@@ -153,12 +153,13 @@ def train_pointwise(spark: SparkSession, folder: str) -> DataFrame:
 
 @CATALOG.query("train_pairwise")
 def train_pairwise(spark: SparkSession, folder: str) -> DataFrame:
-    train, _ = _split_rows(spark, folder)
-    rows = load_view(spark, folder, "v_rows")
+    """Fitted and scaled on training queries, measured on the pairs of validation queries."""
+    train, validation = _split_rows(spark, folder)
     pairs = eq.pairs(spark, folder)
-    _, scored = models.train_pairwise(pairs, rows.select("query", "url", *_MATRIX), _MATRIX)
+    held = pairs.join(validation.select("query").distinct(), "query", "left_semi")
+    _, scored = models.train_pairwise(pairs, train, validation, _MATRIX)
     ranked = scored.select("query", "url", F.lit("pairwise").alias("model"), F.col("ranker_score").alias("prediction"))
-    return evaluation.preference_accuracy(pairs, ranked)
+    return evaluation.preference_accuracy(held, ranked)
 
 
 @CATALOG.query("feature_importance")
