@@ -79,33 +79,30 @@ def printed(sketch: Column) -> Column:
     return F.base64(F.unhex(F.array_join(F.transform(sketch, lambda h: F.lpad(F.hex(h), 12, "0")), "")))
 
 
-def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """Adds next_<column> of the document that follows in ascending doc_id (null ids first, ties by text); after the last, the first.
+def in_ranges(docs: DataFrame) -> DataFrame:
+    """Adds _range and _ghost to doc_id and text: ascending ranges of ids, each ending in a copy of the row that follows it.
 
-    Ids are dealt into ranges by quantiles of a sketch of all ids, four ranges
-    a partition, so no task holds more than a few ranges however the ids lie.
-    The first row of each range, one row a range, closes the gap to the range
-    before it. Texts are shuffled once.
+    Ranges are quantiles of a sketch of all ids, four ranges a partition, so
+    no task holds more than a few ranges however the ids lie. The first row
+    of each range (one row a range) is copied behind the range before it; the
+    last range is followed by the first. Null ids come first, ties go by text.
     """
-    spark = docs.sparkSession
-    wanted = 4 * partitions(spark)
+    wanted = 4 * partitions(docs.sparkSession)
     cuts = docs.agg(F.percentile_approx("doc_id", [k / wanted for k in range(1, wanted)], 10 * wanted).alias("cuts")).first()["cuts"] or []
-    cuts = sorted(set(cuts))
-    bounds = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>")
+    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<bigint>")
     ranged = docs.withColumn("_range", F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(bounds, lambda c: c < F.col("doc_id")))))
-    order = ["doc_id", "text"]
-    over = Window.partitionBy("_range").orderBy(*order)
-    here = F.struct(*[F.col(c) for c in carried])
-    followed = ranged.withColumn("_next", F.lead(here).over(over)).withColumn("_last", F.lead(F.lit(1)).over(over).isNull())
-    first = ranged.groupBy("_range").agg(F.min_by(here, F.struct(*order)).alias("_first"))
+    first = ranged.groupBy("_range").agg(F.min(F.struct("doc_id", "text")).alias("_first"))
     ring = Window.orderBy("_range")
-    after = cut(first.select(
-        F.col("_range").alias("_of"), F.coalesce(F.lead("_first").over(ring), F.first("_first").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_other")
-    ))
-    inside = followed.filter(~F.col("_last")).drop("_last")
-    edges = followed.filter("_last").drop("_last", "_next").join(after, F.col("_range") == F.col("_of")).withColumnRenamed("_other", "_next").drop("_of")
-    whole = inside.unionByName(edges)
-    return whole.select(*docs.columns, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in carried])
+    beginning = F.first("_first").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ghosts = cut(first.select("_range", F.coalesce(F.lead("_first").over(ring), beginning).alias("_other"))).select("_other.doc_id", "_other.text", "_range", F.lit(True).alias("_ghost"))
+    return ranged.withColumn("_ghost", F.lit(False)).unionByName(ghosts)
+
+
+def with_next(ranged: DataFrame, carried: list[str]) -> DataFrame:
+    """Adds next_<column> of the row that follows; rows are shuffled once, by range."""
+    over = Window.partitionBy("_range").orderBy("_ghost", "doc_id", "text")
+    followed = ranged.withColumn("_next", F.lead(F.struct(*[F.col(c) for c in carried])).over(over)).filter(~F.col("_ghost"))
+    return followed.select(*[c for c in ranged.columns if c not in ("_range", "_ghost")], *[F.col(f"_next.{c}").alias(f"next_{c}") for c in carried])
 
 
 def fingerprint_edits(docs: DataFrame, *, k: int = K, width: int = WIDTH) -> DataFrame:
@@ -115,8 +112,8 @@ def fingerprint_edits(docs: DataFrame, *, k: int = K, width: int = WIDTH) -> Dat
     its own last quarter. Null texts count as empty; two empty texts are alike
     (1). An empty table gives no rows; a table of one row is followed by itself.
     """
-    plain = with_sketch(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "sketch", k=k, width=width)
-    pairs = with_next(plain, ["text", "sketch"])
+    ranged = in_ranges(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    pairs = with_next(with_sketch(ranged, "text", "sketch", k=k, width=width), ["text", "sketch"])
     size = F.length("text")
     tail = F.floor(size / 4).cast("int")
     edited = pairs.withColumn("n_chars", size.cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), size - tail), F.substring("next_text", F.lit(1), tail)))
