@@ -118,7 +118,7 @@ def recurring_lines(docs: DataFrame, *, min_docs: int = 3, long_tokens: int = 30
         .groupBy("leaf", "hash")
         .agg(
             F.bit_xor(F.xxhash64("place", F.when(F.col("fixed"), F.col("token")).otherwise(F.lit(0)))).alias("shape"),
-            (F.sum(F.col("fixed").cast("int")) / F.count("*")).alias("share"),
+            (F.sum((F.col("fixed") & (F.col("token") != int(_FIELD))).cast("int")) / F.count("*")).alias("share"),
         )
         .filter(F.col("share") >= constant)
         .select("hash", F.xxhash64("leaf", "shape").alias("template"))

@@ -66,6 +66,7 @@ def pareto_mix(
     seed: int = 17,
     size: Column | None = None,
     importance: Column | None = None,
+    content: Column | None = None,
 ) -> DataFrame:
     """One row per document: its columns ``doc_id``, ``source`` and size, source_size, target, copies, taken, rank_value, content.
 
@@ -89,7 +90,7 @@ def pareto_mix(
     measured = size if size is not None else word_count(F.col("text"))
     wanted = importance if importance is not None else F.lit(1.0)
     slim = cut(
-        docs.select("doc_id", "source", measured.alias("size"), wanted.cast("double").alias("importance"), F.col("content") if "content" in docs.columns else row_hash("doc_id", "text", "source").alias("content"))
+        docs.select("doc_id", "source", measured.alias("size"), wanted.cast("double").alias("importance"), (content if content is not None else row_hash("doc_id", "text", "source")).alias("content"))
     )
     by_source = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("importance")).alias("mass"))
     shares = source_targets(by_source.select("source", "source_size"), weights, most)
@@ -170,9 +171,8 @@ def mixed_copies(docs: DataFrame, **options) -> DataFrame:
     Rows are told apart by content; of equal rows as many copies come out as
     the mix gave them together.
     """
-    keyed = docs.withColumn("content", row_hash("doc_id", "text", "source"))
-    counts = pareto_mix(keyed, **options).groupBy("content").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    named = keyed.withColumnRenamed("content", "_content")
+    named = docs.withColumn("_content", row_hash("doc_id", "text", "source"))
+    counts = pareto_mix(named, content=F.col("_content"), **options).groupBy("content").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
     order = F.xxhash64("_content")
     joined = named.join(counts.withColumnRenamed("content", "_content"), "_content")
     # equal rows share their copies evenly; the remainder goes to the first of them

@@ -64,48 +64,56 @@ def repeat_cover(words: np.ndarray, width: int = 5) -> int:
 
 
 def bucket_counts(docs: DataFrame, trusted: DataFrame, bits: int = BITS) -> DataFrame:
-    """Per bucket: n-grams of all documents (``raw``) and of trusted ones that pass the base rules (``target``).
+    """Per bucket: n-grams of all documents (``raw``) and of two halves of the trusted ones that pass the base rules.
 
     Every task adds its documents up and sends its buckets once, so what is
     shuffled beside the texts is bounded by tasks times buckets.
     """
     # null ids get keys that match nothing and do not meet in one task
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.xxhash64("text").cast("string")))
-    good = trusted.select(F.col("doc_id").cast("string").alias("_key")).filter(F.col("_key").isNotNull()).distinct().withColumn("_good", F.lit(True))
-    flagged = docs.select("text", key.alias("_key")).join(good.hint("shuffle_hash"), "_key", "left").select("text", F.coalesce("_good", F.lit(False)).alias("good"))
+    good = trusted.select(F.col("doc_id").cast("string").alias("_key")).filter(F.col("_key").isNotNull()).distinct().withColumn("_good", F.pmod(F.xxhash64(F.lit(3), "_key"), F.lit(2)).cast("int") + 1)
+    flagged = docs.select("text", key.alias("_key")).join(good.hint("shuffle_hash"), "_key", "left").select("text", F.coalesce("_good", F.lit(0)).alias("good"))
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        raw, target = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+        raw, *target = np.zeros((3, 1 << bits), np.int64)
         for batch in batches:
             for data, good in zip(bytes_of(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 found = ngram_buckets(data, bits)
                 np.add.at(raw, found, 1)
                 if good and not base_statistics(data)[5]:
-                    np.add.at(target, found, 1)
+                    np.add.at(target[good - 1], found, 1)
         used = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used]), pa.array(target[used])], ["bucket", "raw", "target"])
+        yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(a[used]) for a in (raw, *target)]], ["bucket", "raw", "first", "second"])
 
-    counted = flagged.mapInArrow(count, "bucket long, raw long, target long")
-    return counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    counted = flagged.mapInArrow(count, "bucket long, raw long, first long, second long")
+    return counted.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("raw", "first", "second")])
 
 
 def log_ratios(counts: DataFrame, bits: int = BITS, weight: float = 1.0) -> np.ndarray:
-    """log p_target - log p_raw of every bucket; 2^bits numbers, whatever the corpus.
+    """log p_target - log p_raw of every bucket, less what trusted texts have on average; 2^bits numbers, whatever the corpus.
 
     The target is smoothed toward the raw distribution by ``weight`` n-grams a
-    bucket, so a bucket seldom seen says little. Without trusted n-grams all
-    ratios are 0.
+    bucket in use, so a bucket seldom seen says little. The average is taken
+    over each half of the trusted texts with the ratios of the other half; so
+    0 is what a good text has that was not trusted itself, also where one
+    text or a group of copies makes up much of the corpus. Without trusted
+    n-grams all ratios are 0.
     """
-    raw, target = np.zeros(1 << bits), np.zeros(1 << bits)
+    raw, first, second = np.zeros((3, 1 << bits))
     for row in counts.collect():
-        raw[row["bucket"]], target[row["bucket"]] = row["raw"], row["target"]
-    if not target.sum():
+        raw[row["bucket"]], first[row["bucket"]], second[row["bucket"]] = row["raw"], row["first"], row["second"]
+    if not (first.sum() + second.sum()):
         return np.zeros(1 << bits)
     chance = (raw + weight) / (raw.sum() + weight * len(raw))
-    pull = weight * len(raw)
-    return np.log((target + pull * chance) / (target.sum() + pull)) - np.log(chance)
+    pull = weight * np.count_nonzero(raw)
+
+    def ratios(target: np.ndarray) -> np.ndarray:
+        return np.log((target + pull * chance) / (target.sum() + pull)) - np.log(chance)
+
+    crossed = [float((ratios(a) * b).sum() / b.sum()) for a, b in ((first, second), (second, first)) if b.sum()]
+    return ratios(first + second) - float(np.mean(crossed))
 
 
 SCORED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, llr double"
