@@ -157,13 +157,15 @@ def label_coverage(rows: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def score_stats(scores: DataFrame, keys: Sequence[str], value: str, rule: str = "nearest") -> DataFrame:
+def score_stats(scores: DataFrame, keys: Sequence[str], value: str, rule: str = "nearest", nullable: bool = True) -> DataFrame:
     """min, p25, mean, p50, p75, p90, max per key by the nearest-rank or the floor-rank rule.
 
     Values are rounded to 4 digits and counted first, so every percentile is
-    read from a bounded histogram.
+    read from a bounded histogram. A value that is never null needs no filter,
+    which the optimizer would write out over the whole expression behind it.
     """
-    rounded = scores.filter(F.col(value).isNotNull()).select(*keys, rnd(F.col(value), 4).alias("_v"))
+    present = scores.filter(F.col(value).isNotNull()) if nullable else scores
+    rounded = present.select(*keys, rnd(F.col(value), 4).alias("_v"))
     hist = value_histogram(rounded, keys, "_v")
     position = nearest_position if rule == "nearest" else floor_position
     at = lambda q: index_percentile(hist, keys, "_v", position(F.col("n_total"), q))

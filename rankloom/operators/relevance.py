@@ -396,7 +396,8 @@ def explain(scored: DataFrame) -> DataFrame:
     rows = scored.withColumn("all_factors", F.array_compact(F.concat(F.col("factors"), F.array(extra))))
     indexed = lambda order: F.array_sort(F.transform("all_factors", lambda f, i: _keyed(f, order(f), i)))
     positives = F.filter(indexed(lambda f: -f["impact"]), lambda f: f["impact"] > 0)
-    rows = rows.withColumn("_positive", positives)
+    # one sort by size serves all groups
+    rows = rows.withColumn("_positive", positives).withColumn("_by_size", indexed(lambda f: -F.abs(f["impact"])))
     support = F.slice(
         F.filter(
             F.slice("_positive", 6, 30),
@@ -431,11 +432,11 @@ def explain(scored: DataFrame) -> DataFrame:
         F.concat(F.slice("_positive", 1, 5), support).alias("positive_factors"),
         F.slice(F.concat(F.slice(negatives, 1, 5), limiting), 1, 5).alias("negative_factors"),
         *[
-            F.slice(F.filter(indexed(lambda f: -F.abs(f["impact"])), _noticeable(keys)), 1, 4).alias(f"group_{name}")
+            F.slice(F.filter("_by_size", _noticeable(keys)), 1, 4).alias(f"group_{name}")
             for name, keys in FACTOR_GROUPS.items()
         ],
     )
-    return rows.drop("_positive", "all_factors")
+    return rows.drop("_positive", "_by_size", "all_factors")
 
 
 def explanation_keys(explained: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -225,7 +225,7 @@ def rubric_histograms(labels: DataFrame) -> DataFrame:
 
 
 def rubric_distribution(labels: DataFrame) -> DataFrame:
-    return score_stats(labels.withColumn("scope", F.lit("all")), ["scope"], "expert_target_score").drop("p90")
+    return score_stats(labels.withColumn("scope", F.lit("all")), ["scope"], "expert_target_score", nullable=False).drop("p90")
 
 
 def rubric_examples(labels: DataFrame, k: int = 3) -> DataFrame:
