@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import BLANKS, IS_BLANK, byte_classes, bytes_of, runs, span_hashes, windows, word_hashes
 
 BITS = 16
-THRESHOLD = -0.3
+THRESHOLD = -0.35
 _SIGNS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
 _TOKENS = byte_classes(bytes(b for b in range(256) if b not in BLANKS and b not in _SIGNS), _SIGNS)
 _SYMBOL = byte_classes(b"#*$%&|<>") == 1
