@@ -176,43 +176,72 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     wanted = max(partitions(spark), int(chars // _BUCKET_CHARS) + 1)
-    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.pmod(row_hash("doc_id", "text"), F.lit(wanted)).cast("int").alias("bucket")).repartition(partitions(spark), "bucket")
+    bucketed = docs.select(F.pmod(row_hash("doc_id", "text"), F.lit(wanted)).cast("int").alias("bucket"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    dealt = bucketed.mapInArrow(_pack, "bucket int, packet binary").repartition(partitions(spark), "bucket")
 
     def ask(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            asked: dict[int, set[str]] = {}
-            for bucket, text in zip(batch.column("bucket").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                asked.setdefault(bucket, set()).update(u for u in set(units(text)) if len(u) <= LONGEST_UNIT)
-            for bucket, found in asked.items():
+            for bucket, packet in zip(batch.column("bucket").to_pylist(), batch.column("packet"), strict=True):
+                found = {u for text in _unpack(packet.as_py()).column("text").to_pylist() for u in set(units(text)) if len(u) <= LONGEST_UNIT}
                 yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(found), pa.int32()), pa.array(list(found), pa.string())], ["bucket", "word"])
 
-    asked = dealt.select("bucket", "text").mapInArrow(ask, "bucket int, word string").groupBy("word").agg(F.collect_set("bucket").alias("buckets"))
+    asked = dealt.mapInArrow(ask, "bucket int, word string").groupBy("word").agg(F.collect_set("bucket").alias("buckets"))
     answers = encoded_words(asked, path).select(F.explode("buckets").alias("bucket"), "word", "ids")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def spell(texts, words):
+    def spell(packets, words):
         import pyarrow as pa
 
         known, _, byte_ids, _ = vocabulary(path)
         spelt = dict(zip(words.column("word").to_pylist(), words.column("ids").to_pylist(), strict=True))
-        rows, crcs, trips = [], [], []
-        for text in texts.column("text").to_pylist():
-            ids: list[int] = []
-            for u in units(text):
-                ids += spelt[u] if len(u) <= LONGEST_UNIT else merge_unit(u, known, byte_ids)
-            rows.append(np.array(ids, np.int32))
-            crcs.append(zlib.crc32(rows[-1].astype("<u4").tobytes()))
-            trips.append(decode_ids(ids, path) == text)
-        return pa.Table.from_arrays(
-            [texts.column("doc_id"), pa.array(rows, pa.list_(pa.int32())), pa.array([len(r) for r in rows], pa.int64()), pa.array(crcs, pa.int64()), pa.array(trips)],
-            ["doc_id", "ids", "n_pieces", "ids_crc32", "round_trip"],
-        )
+        tables = []
+        for packet in packets.column("packet"):
+            texts = _unpack(packet.as_py())
+            rows, crcs, trips = [], [], []
+            for text in texts.column("text").to_pylist():
+                ids: list[int] = []
+                for u in units(text):
+                    ids += spelt[u] if len(u) <= LONGEST_UNIT else merge_unit(u, known, byte_ids)
+                rows.append(np.array(ids, np.int32))
+                crcs.append(zlib.crc32(rows[-1].astype("<u4").tobytes()))
+                trips.append(decode_ids(ids, path) == text)
+            tables.append(pa.Table.from_arrays(
+                [texts.column("doc_id"), pa.array(rows, pa.list_(pa.int32())), pa.array([len(r) for r in rows], pa.int64()), pa.array(crcs, pa.int64()), pa.array(trips)],
+                ["doc_id", "ids", "n_pieces", "ids_crc32", "round_trip"],
+            ))
+        return pa.concat_tables(tables)
 
     return dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(spell, f"doc_id {kind}, ids array<int>, n_pieces long, ids_crc32 long, round_trip boolean")
 
 
+def _pack(batches: Iterator) -> Iterator:
+    """Documents of one bucket of a batch as one compressed packet, which is less to shuffle than its rows."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        order = pc.sort_indices(batch.column("bucket"))
+        rows = batch.take(order)
+        buckets = np.array(rows.column("bucket"))
+        starts = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]])) if len(buckets) else np.empty(0, np.int64)
+        packets = []
+        for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(buckets)], strict=True) if len(starts) else []:
+            sink = pa.BufferOutputStream()
+            part = rows.slice(start, stop - start).select(["doc_id", "text"])
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(part)
+            packets.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(buckets[starts].astype(np.int32)), pa.array(packets, pa.binary())], ["bucket", "packet"])
+
+
+def _unpack(packet: bytes):
+    import pyarrow as pa
+
+    return pa.ipc.open_stream(packet).read_all()
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with its columns and text, decoded from ids; null ids give null."""
 
