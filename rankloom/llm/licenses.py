@@ -106,33 +106,34 @@ def votes(docs: DataFrame, known: list[Template]) -> DataFrame:
 
 
 def spans(voted: DataFrame, known: list[Template], *, gap: int = 3, least: float = 0.75, short: int = 10) -> DataFrame:
-    """Verified spans: doc_id, content, template, label, exact, start, stop (word positions), coverage.
+    """Verified spans: doc_id, content, template, label, exact, start, stop (word positions), coverage, hits; ends of texts pass through.
 
     A phrase needs all its pairs on one diagonal. For a notice, diagonals at most ``gap`` apart are one
     span; it needs ``least`` of the notice's words (all of them for notices of
     up to ``short`` words, which differ from one another in one word) and may
     be no longer than the notice and half as much again.
     """
-    about = docs_of_templates(voted.sparkSession, known)
+    about = _about(voted.sparkSession, known)
     order = Window.partitionBy("doc_id", "content", "template").orderBy("diagonal")
     steps = (
-        voted.filter(F.col("template") >= 0)
-        .join(F.broadcast(about), "template")
+        voted.join(F.broadcast(about), "template")
         .withColumn("opens", (F.col("exact") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > gap, F.lit(True))).cast("int"))
         .withColumn("run", F.sum("opens").over(order))
     )
     covered = F.expr("bit_count(bits | shiftleft(bits, 1))")
     return (
         steps.groupBy("doc_id", "content", "template", "label", "exact", "n_words", "run")
-        .agg(F.bit_or("bits").alias("bits"), F.min("low").alias("start"), (F.max("high") + 2).alias("stop"))
+        .agg(F.bit_or("bits").alias("bits"), F.min("low").alias("start"), (F.max("high") + 2).alias("stop"), F.sum("hits").alias("hits"))
         .withColumn("coverage", covered / F.col("n_words"))
         .filter(F.when(F.col("exact"), F.expr("bit_count(bits)") == F.col("n_words") - 1).otherwise((F.col("coverage") >= F.when(F.col("n_words") <= short, 1.0).otherwise(least)) & (F.col("stop") - F.col("start") <= 1.5 * F.col("n_words") + gap)))
-        .select("doc_id", "content", "template", "label", "exact", "start", "stop", "coverage")
+        .select("doc_id", "content", "template", "label", "exact", "start", "stop", "coverage", "hits")
     )
 
 
-def docs_of_templates(spark: SparkSession, known: list[Template]) -> DataFrame:
-    return spark.createDataFrame([(k, t.label, t.exact, len(t.words)) for k, t in enumerate(known)], "template int, label string, exact boolean, n_words int")
+def _about(spark: SparkSession, known: list[Template]) -> DataFrame:
+    """Label, kind and length of every template; the end of a text is one of a single pair."""
+    rows = [(k, t.label, t.exact, len(t.words)) for k, t in enumerate(known)]
+    return spark.createDataFrame([(-1, None, True, 2), *rows], "template int, label string, exact boolean, n_words int")
 
 
 def scan_licenses(docs: DataFrame, known: list[Template] | None = None, *, gap: int = 3, least: float = 0.75) -> DataFrame:
@@ -145,19 +146,13 @@ def scan_licenses(docs: DataFrame, known: list[Template] | None = None, *, gap:
     shuffled.
     """
     known = templates() if known is None else known
-    voted = votes(docs, known)
-    found = spans(voted, known, gap=gap, least=least).select(
-        "doc_id", "content", "label", "exact", F.col("start").cast("long").alias("start"), "coverage", F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("long").alias("copies")
-    )
-    ends = voted.filter(F.col("template") == -1).select(
-        "doc_id", "content", F.lit(None).cast("string").alias("label"), F.lit(None).cast("boolean").alias("exact"), F.lit(None).cast("long").alias("start"),
-        F.lit(None).cast("double").alias("coverage"), F.col("diagonal").cast("long").alias("n_words"), F.col("hits").alias("copies"),
-    )
-    base = F.when(F.col("exact"), F.col("start"))
-    whole = found.unionByName(ends).groupBy("doc_id", "content").agg(
-        F.max("n_words").alias("n_words"), F.max("copies").alias("copies"), F.count(base).alias("n_base"), F.min(base).alias("first_word"), F.max(base).alias("last_word"),
+    found = spans(votes(docs, known), known, gap=gap, least=least).withColumn("end", F.col("template") == -1)
+    base = F.when(F.col("exact") & ~F.col("end"), F.col("start").cast("long"))
+    whole = found.groupBy("doc_id", "content").agg(
+        F.max(F.when(F.col("end"), F.col("start").cast("long"))).alias("n_words"), F.max(F.when(F.col("end"), F.col("hits"))).alias("copies"),
+        F.count(base).alias("n_base"), F.min(base).alias("first_word"), F.max(base).alias("last_word"),
         F.array_join(F.sort_array(F.collect_set(F.when(F.col("exact"), F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"),
-        F.coalesce(F.max("coverage"), F.lit(0.0)).alias("score"), F.count("label").alias("n_spans"),
+        F.coalesce(F.max(F.when(~F.col("end"), F.col("coverage"))), F.lit(0.0)).alias("score"), F.count("label").alias("n_spans"),
     )
     return whole.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("_", "copies", "content")
