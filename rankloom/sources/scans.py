@@ -34,8 +34,9 @@ def typed_dataset(raw: DataFrame, numeric: Sequence[str]) -> DataFrame:
     return raw.filter(status != "failed").withColumns(typed)
 
 
-def scan_dataset(spark: SparkSession, path: str, schema: T.StructType, numeric: Sequence[str]) -> DataFrame:
-    return typed_dataset(spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"'), numeric)
+def scan_dataset(spark: SparkSession, path: str, schema: T.StructType, numeric: Sequence[str], multi_line: bool = False) -> DataFrame:
+    """Dataset CSV files. ``multi_line`` reads line breaks inside quotes and makes each file one task."""
+    return typed_dataset(spark.read.schema(schema).csv(path, header=True, multiLine=multi_line, escape='"'), numeric)
 
 
 def typed_seeds(raw: DataFrame, default_top_n: int = 10) -> DataFrame:
@@ -71,8 +72,9 @@ def typed_labels(raw: DataFrame, order: str, strict: bool = False) -> DataFrame:
 
 
 def scan_labels(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """Label files read whole; the position inside the file set decides which line is last."""
-    raw = spark.read.schema(LABEL_SCHEMA).csv(path, header=True).withColumn("line_no", F.monotonically_increasing_id())
+    """Label files; files by name, then splits by where they start, then lines decide which label is last."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+    raw = spark.read.schema(LABEL_SCHEMA).csv(path, header=True).withColumn("line_no", place)
     return typed_labels(raw, "line_no", strict)
 
 
@@ -95,6 +97,18 @@ def attach_snapshots(rows: DataFrame, snapshots: DataFrame, path_column: str = "
     return named.join(snapshots, "artifact_name", "left").drop("artifact_name")
 
 
+def read_stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """A stored table, or None where nothing was written yet; every other fault is raised."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.option("basePath", path).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def append_new_rows(results: DataFrame, spark: SparkSession, target: str, failures: str | None = None) -> int:
     """Append results whose (query, url) is in neither target; a second run with the same input adds nothing.
 
@@ -112,12 +126,8 @@ def append_new_rows(results: DataFrame, spark: SparkSession, target: str, failur
 
 
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(path).select("query", "url")
-    except AnalysisException:
-        return None
+    stored = read_stored(spark, path)
+    return None if stored is None else stored.select("query", "url")
 
 
 def rewrite_version(rows: DataFrame, dataset_version: str, path: str | None = None, feature_schema_version: str | None = None, label_schema_version: str | None = None) -> DataFrame:

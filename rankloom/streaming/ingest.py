@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from rankloom.sources.scans import read_stored
+
 
 def ingest(stream: DataFrame, target: str, checkpoint: str) -> DataStreamWriter:
     """Append each micro-batch's new (query, url) rows to ``target``.
@@ -27,9 +29,4 @@ def ingest(stream: DataFrame, target: str, checkpoint: str) -> DataStreamWriter:
 
 
 def read_ingested(spark, target: str) -> DataFrame | None:
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.option("basePath", target).parquet(target)
-    except AnalysisException:
-        return None
+    return read_stored(spark, target)
