@@ -10,11 +10,10 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Deal rows out when the input has fewer splits than the cluster has cores.
+    """Deal out the rows of an input that is one single split.
 
     A file of one row group is one task, and everything up to the first
-    exchange would run in it. Inputs with enough splits are left alone, so
-    large tables pay nothing.
+    exchange would run in it. Any input of two splits or more is left alone,
+    whatever the cluster's size, so large tables pay nothing.
     """
-    wanted = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(wanted) if rows.rdd.getNumPartitions() * 2 <= wanted else rows
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if rows.rdd.getNumPartitions() == 1 else rows
