@@ -45,6 +45,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def limit_batches(spark: SparkSession) -> None:
+    """Bounds what Spark hands to a Python task at once to 16 MB of rows (or one row), as texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16777216")
+
+
 def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

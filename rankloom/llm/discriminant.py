@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import BLANKS, IS_BLANK, byte_classes, bytes_of, cut, runs, span_hashes
+from rankloom.llm.common import BLANKS, IS_BLANK, byte_classes, bytes_of, cut, limit_batches, runs, span_hashes
 from rankloom.llm.quality import repeat_cover
 
 FEATURES = (
@@ -61,6 +61,8 @@ def statistics(data: bytes) -> np.ndarray:
 
 
 def with_statistics(docs: DataFrame, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    limit_batches(docs.sparkSession)
+
     def measure(batches: Iterator) -> Iterator:
         import pyarrow as pa
 

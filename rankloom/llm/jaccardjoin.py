@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import bytes_of, cut, partitions, row_hash, shingles
+from rankloom.llm.common import bytes_of, cut, limit_batches, partitions, row_hash, shingles
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -235,6 +235,7 @@ def _blocks(members: DataFrame) -> DataFrame:
 def links(docs: DataFrame, *, threshold: float = THRESHOLD, width: int = WIDTH, tolerance: float = TOLERANCE, small: int = SMALL) -> tuple[DataFrame, DataFrame, DataFrame]:
     """documents (doc_id, content, cls), degree (cls, linked: documents of other classes linked), forest (a, b: links that connect classes)."""
     spark = docs.sparkSession
+    limit_batches(spark)
     measured = cut(classes_of(docs, width))
     classes = cut(
         measured.filter("n > 0").groupBy("cls").agg(F.count("*").alias("copies"), F.min("content").alias("content"), F.first("n").alias("n"), F.first("sig").alias("sig"))

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import let, partitions, row_hash
+from rankloom.llm.common import let, limit_batches, partitions, row_hash
 
 SPACE = "▁"
 LONGEST_UNIT = 60
@@ -174,6 +174,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     the bucket itself.
     """
     spark = docs.sparkSession
+    limit_batches(spark)
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     wanted = max(partitions(spark), int(chars // _BUCKET_CHARS) + 1)
     bucketed = docs.select(F.pmod(row_hash("doc_id", "text"), F.lit(wanted)).cast("int").alias("bucket"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))

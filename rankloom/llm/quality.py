@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import BLANKS, IS_BLANK, byte_classes, bytes_of, runs, span_hashes, windows, word_hashes
+from rankloom.llm.common import BLANKS, IS_BLANK, byte_classes, bytes_of, limit_batches, runs, span_hashes, windows, word_hashes
 
 BITS = 16
 THRESHOLD = -0.35
@@ -69,6 +69,7 @@ def bucket_counts(docs: DataFrame, trusted: DataFrame, bits: int = BITS) -> Data
     Every task adds its documents up and sends its buckets once, so what is
     shuffled beside the texts is bounded by tasks times buckets.
     """
+    limit_batches(docs.sparkSession)
     # null ids get keys that match nothing and do not meet in one task
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.xxhash64("text").cast("string")))
     good = trusted.select(F.col("doc_id").cast("string").alias("_key")).filter(F.col("_key").isNotNull()).distinct().withColumn("_good", F.pmod(F.xxhash64(F.lit(3), "_key"), F.lit(2)).cast("int") + 1)
