@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import BLANKS, IS_BLANK, _power_table, byte_classes, bytes_of, cut, mix, row_hash, runs, span_hashes
+from rankloom.llm.common import BLANKS, IS_BLANK, _power_table, byte_classes, bytes_of, cut, limit_batches, mix, row_hash, runs, span_hashes
 
 DEPTH = 3
 _DIGIT = byte_classes(b"0123456789") == 1
@@ -68,7 +68,7 @@ def _occurrences(docs: DataFrame, depth: int) -> DataFrame:
 
 
 def _field_tokens(docs: DataFrame, wanted: DataFrame, depth: int) -> DataFrame:
-    """leaf, hash, docs, place, token: the tokens of the wanted lines (content, line, docs)."""
+    """leaf, hash, docs, parts: the tokens of the wanted lines (content, line, docs), one row per different line."""
     lists = wanted.groupBy("content").agg(F.collect_list(F.struct("line", "docs")).alias("wanted"))
 
     def parse(batches: Iterator) -> Iterator:
@@ -85,8 +85,8 @@ def _field_tokens(docs: DataFrame, wanted: DataFrame, depth: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(line, pa.int64()), pa.array(docs_, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["leaf", "hash", "docs", "parts"])
 
     texts = docs.select("content", "text").join(lists, "content").select("text", "wanted")
-    lines = texts.mapInArrow(parse, "leaf long, hash long, docs long, parts array<long>").dropDuplicates(["leaf", "hash"])
-    return lines.select("leaf", "hash", "docs", F.size("parts").alias("tokens"), F.posexplode("parts").alias("place", "token"))
+    # equal rows of a document parse its lines twice
+    return texts.mapInArrow(parse, "leaf long, hash long, docs long, parts array<long>").dropDuplicates(["leaf", "hash"])
 
 
 def needed(tokens: Column, min_docs: int, long_tokens: int) -> Column:
@@ -102,6 +102,7 @@ def recurring_lines(docs: DataFrame, *, min_docs: int = 3, long_tokens: int = 30
     before the shuffle. Only lines of leaves that hold several different
     lines are looked at token by token.
     """
+    limit_batches(docs.sparkSession)
     seen = cut(_occurrences(docs, depth))
     # one row per different line: how many documents have it, and one place where it stands
     lines = seen.groupBy("leaf", "hash").agg(F.count_distinct("content").alias("docs"), F.min(F.struct("content", "line")).alias("place"), F.max("tokens").alias("tokens"))
@@ -110,7 +111,7 @@ def recurring_lines(docs: DataFrame, *, min_docs: int = 3, long_tokens: int = 30
         (F.col("different") > 1) & (F.col("all_docs") >= needed(F.col("leaf_tokens"), min_docs, long_tokens)) & (F.col("leaf_tokens") > depth)
     )
     wanted = lines.join(mixed.select("leaf"), "leaf", "left_semi").select("place.content", "place.line", "docs")
-    fields = cut(_field_tokens(docs, wanted, depth))
+    fields = cut(_field_tokens(docs, wanted, depth)).select("leaf", "hash", "docs", F.size("parts").alias("tokens"), F.posexplode("parts").alias("place", "token"))
     stable = fields.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("have")).filter(F.col("have") >= 2)
     named = (
         fields.join(stable, ["leaf", "place", "token"], "left")
