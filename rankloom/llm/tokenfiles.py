@@ -15,7 +15,7 @@ share of the block's differences fit into.
 
 from __future__ import annotations
 
-import re
+import os
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -24,10 +24,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import cut, partitions, shared_folder
+from rankloom.llm.common import cut, limit_batches, partitions, shared_folder
 
-BLOCK = 256
-_PIECES = re.compile(r"[^\x20\x09-\x0D]+")
+BLOCK = 1024
 MAGIC = b"RLPF"
 _HEAD = np.dtype([("magic", "S4"), ("version", "<u4"), ("block", "<u4"), ("documents", "<u8"), ("ids", "<u8")])
 _BLOCK_HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("exceptions", "<u2")])
@@ -40,8 +39,8 @@ def _bit_lengths(values: np.ndarray) -> np.ndarray:
 def pack_blocks(ids: np.ndarray, block: int = BLOCK, percentile: float = 0.9) -> tuple[np.ndarray, bytes]:
     """Byte offsets of all blocks and of the end, and the block area."""
     parts, offsets = [], [0]
-    for start in range(0, len(ids), block * 1024):
-        run = ids[start : start + block * 1024]
+    for start in range(0, len(ids), block * 256):
+        run = ids[start : start + block * 256]
         whole = -(-len(run) // block)
         # the last block is filled up with its last id; readers know the number of ids
         grid = np.concatenate([run, np.full(whole * block - len(run), run[-1], run.dtype)]).reshape(whole, block).astype(np.int64)
@@ -130,28 +129,46 @@ class TokenFile:
             k = stop
 
 
-def word_encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
-    """Encoder of texts with a tokenizers file whose tokens never span white space.
+def word_encoder(path: str, most: int = 400_000) -> Callable[[list[bytes]], list[np.ndarray]]:
+    """Encoder of UTF-8 texts with a tokenizers file whose tokens never span white space.
 
-    Pieces between white space repeat, so each batch encodes its distinct
-    pieces and looks the others up.
+    Pieces between white space repeat: each is encoded once and looked up from
+    then on, until ``most`` are known; later ones are encoded with the texts
+    that hold them. Pieces go to the tokenizer many at a time, kept apart by
+    one of its special tokens.
     """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core already
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    known: dict[str, np.ndarray] = {}
-
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        split = [_PIECES.findall(t) for t in texts]
-        missing = list({w for words in split for w in words if w not in known})
-        if len(known) + len(missing) > 200_000:
-            known.clear()
-            missing = list({w for words in split for w in words})
-        for start in range(0, len(missing), 4096):
-            group = missing[start : start + 4096]
-            for word, found in zip(group, tokenizer.encode_batch_fast(group, add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, np.uint32)
-        return [np.concatenate([known[w] for w in words]) if words else np.empty(0, np.uint32) for words in split]
+    kind = np.uint16 if tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+    width = np.dtype(kind).itemsize
+    apart = next(((i, t.content) for i, t in tokenizer.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)), None)
+    known: dict[bytes, bytes] = {}
+
+    def learn(words: list[bytes]) -> dict[bytes, bytes]:
+        # a piece that may hold a special token itself goes alone
+        alone = [w for w in words if not apart or apart[1][0].encode() in w]
+        plain = [w for w in words if apart and apart[1][0].encode() not in w]
+        out = {w: np.array(tokenizer.encode(w.decode(), add_special_tokens=False).ids, kind).tobytes() for w in alone}
+        groups = [plain[k : k + 1000] for k in range(0, len(plain), 1000)]
+        for group in groups:
+            ids = np.array(tokenizer.encode(apart[1].join(w.decode() for w in group), add_special_tokens=False).ids, kind)
+            stops = np.flatnonzero(ids == apart[0]) * width
+            data = ids.tobytes()
+            out.update(zip(group, (data[a:b] for a, b in zip([0, *(stops + width).tolist()], [*stops.tolist(), len(data)], strict=True)), strict=True))
+        return out
+
+    def encode(texts: list[bytes]) -> list[np.ndarray]:
+        split = [t.split() for t in texts]  # of bytes: at the six ASCII blanks only
+        fresh = learn(list(set().union(*split).difference(known)))
+        passing = len(known) + len(fresh) > most
+        known.update(fresh)
+        out = [np.frombuffer(b"".join(map(known.__getitem__, words)), kind).astype(np.uint32) for words in split]
+        if passing:
+            for word in fresh:
+                del known[word]
+        return out
 
     return encode
 
@@ -167,6 +184,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, *, end_id: int | None = 2
     folder unless given.
     """
     spark = docs.sparkSession
+    limit_batches(spark)
     target = folder or f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
 
@@ -196,7 +214,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, *, end_id: int | None = 2
 
         total = 0
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
             at = 0
             while at < len(doc_ids):
                 group, size = [], 0
