@@ -248,6 +248,31 @@ def test_main_text(spark):
     assert pagetext.main_text(pages.limit(0)).count() == 0
 
 
+def main_texts(spark, pages):
+    """Texts by page_id of (page_id, url, html)."""
+    got = {}
+    for r in rows(pagetext.main_text(spark.createDataFrame(pages, "page_id long, url string, html string"))):
+        assert got.setdefault(r["page_id"], r["text"]) == r["text"]
+    return got
+
+
+def test_copies_and_quotes_stay(spark):
+    own = {k: prose(300 + k, 30) for k in range(12)}
+    quote = "a saying of nine words that two pages quote"
+    copies = [(1, "http://a.example/1", f"<p>{own[0]}</p>"), (2, "http://a.example/2", f"<div class='x'>{own[0]}</div>")]
+    repeated = [(3, "http://b.example/3", f"<p>{own[1]}</p>")] * 2
+    edited = [(4, "http://c.example/4", f"<p>{own[2]}</p>"), (5, "http://c.example/5", f"<p>{own[2]} edited</p>")]
+    quoting = [(6, "http://d.example/6", f"<p>{own[3]} {quote} {own[4]}</p>"), (7, "http://d.example/7", f"<p>{own[5]} {quote} {own[6]}</p>")]
+    banner = "This very same banner stands on all pages of the host"
+    # a phrase at the head of two pages of a host with many
+    crowd = [(10 + k, f"http://e.example/{k}", f"<div>{banner}</div><p>{quote if k < 2 else ''} {prose(400 + k, 20)}</p>") for k in range(10)]
+    got = main_texts(spark, copies + repeated + edited + quoting + crowd)
+    assert got[1] == got[2] == own[0] and got[3] == own[1]
+    assert got[4] == own[2] and got[5] == f"{own[2]} edited"
+    assert got[6] == f"{own[3]} {quote} {own[4]}" and got[7] == f"{own[5]} {quote} {own[6]}"
+    assert got[10] == f"{quote} {prose(400, 20)}" and got[15] == prose(405, 20)
+
+
 # ---- 9: join -------------------------------------------------------------------------
 def near_copies():
     base = prose(50, 200, 10**5).split()
