@@ -273,6 +273,14 @@ def test_copies_and_quotes_stay(spark):
     assert got[10] == f"{quote} {prose(400, 20)}" and got[15] == prose(405, 20)
 
 
+def test_furniture_of_short_blocks_goes(spark):
+    menu = "<ul><li>Home<li>News and views<li>About us<li>Contact the shop</ul>"
+    foot = "<div>All rights reserved</div><div>Made in our town</div><div>Since 1999</div>"
+    own = {k: prose(500 + k, 20) for k in range(6)}
+    pages = [(k, f"http://h.example/{k}", f"<title>t{k}</title>{menu}<h2>Today</h2><p>The {own[k]}</p>{foot}") for k in range(6)]
+    assert main_texts(spark, pages) == {k: f"The {own[k]}" for k in range(6)}
+
+
 # ---- 9: join -------------------------------------------------------------------------
 def near_copies():
     base = prose(50, 200, 10**5).split()
