@@ -2,9 +2,13 @@
 
 The tree has a fixed depth: a line goes to the leaf of its number of tokens
 and its leading tokens, tokens with digits standing for any such token.
-Inside a leaf a token is constant at its position if enough documents have it
-there, and a variable field otherwise; a line whose tokens are mostly constant
-belongs to the template of its constants, any other line is its own template.
+Inside a leaf a token is constant at its position by its share of the leaf's
+documents there, and a variable field otherwise. Half of them is enough; where
+a line is not mostly constant by that, the share is lowered until it is, so
+that a rare template beside a common one is judged by its own constants, and
+values of its fields, however often they come, by their share against them. A
+line belongs to the template of its constants; one that is not mostly constant
+at any share of ``min_docs`` documents is its own template.
 Lines of a template that recurs across documents are dropped; its first line
 (by doc_id) stays, so that no passage leaves the corpus altogether.
 """
@@ -17,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import BLANKS, IS_BLANK, _power_table, byte_classes, bytes_of, cut, limit_batches, mix, row_hash, runs, span_hashes
+from rankloom.llm.common import BLANKS, IS_BLANK, _power_table, byte_classes, bytes_of, cut, let, limit_batches, mix, row_hash, runs, span_hashes
 
 DEPTH = 3
 _DIGIT = byte_classes(b"0123456789") == 1
@@ -68,8 +72,8 @@ def _occurrences(docs: DataFrame, depth: int) -> DataFrame:
 
 
 def _field_tokens(docs: DataFrame, wanted: DataFrame, depth: int) -> DataFrame:
-    """leaf, hash, docs, parts: the tokens of the wanted lines (content, line, docs), one row per different line."""
-    lists = wanted.groupBy("content").agg(F.collect_list(F.struct("line", "docs")).alias("wanted"))
+    """leaf, hash, docs, all_docs, parts: the tokens of the wanted lines (content, line, docs, all_docs), one row per different line."""
+    lists = wanted.groupBy("content").agg(F.collect_list(F.struct("line", "docs", "all_docs")).alias("wanted"))
 
     def parse(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -80,13 +84,13 @@ def _field_tokens(docs: DataFrame, wanted: DataFrame, depth: int) -> DataFrame:
                 found = Lines(data, depth)
                 for item in wanted:
                     k = int(np.searchsorted(found.numbers, item["line"]))
-                    rows.append((int(found.leaves[k].view(np.int64)), int(found.hashes[k].view(np.int64)), item["docs"], found.field_tokens(k).view(np.int64).tolist()))
-            leaf, line, docs_, tokens = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(line, pa.int64()), pa.array(docs_, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["leaf", "hash", "docs", "parts"])
+                    rows.append((int(found.leaves[k].view(np.int64)), int(found.hashes[k].view(np.int64)), item["docs"], item["all_docs"], found.field_tokens(k).view(np.int64).tolist()))
+            leaf, line, docs_, all_docs, tokens = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(line, pa.int64()), pa.array(docs_, pa.int64()), pa.array(all_docs, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["leaf", "hash", "docs", "all_docs", "parts"])
 
     texts = docs.select("content", "text").join(lists, "content").select("text", "wanted")
     # equal rows of a document parse its lines twice
-    return texts.mapInArrow(parse, "leaf long, hash long, docs long, parts array<long>").dropDuplicates(["leaf", "hash"])
+    return texts.mapInArrow(parse, "leaf long, hash long, docs long, all_docs long, parts array<long>").dropDuplicates(["leaf", "hash"])
 
 
 def needed(tokens: Column, min_docs: int, long_tokens: int) -> Column:
@@ -110,20 +114,23 @@ def recurring_lines(docs: DataFrame, *, min_docs: int = 3, long_tokens: int = 30
     mixed = lines.groupBy("leaf").agg(F.count("*").alias("different"), F.sum("docs").alias("all_docs"), F.max("tokens").alias("leaf_tokens")).filter(
         (F.col("different") > 1) & (F.col("all_docs") >= needed(F.col("leaf_tokens"), min_docs, long_tokens)) & (F.col("leaf_tokens") > depth)
     )
-    wanted = lines.join(mixed.select("leaf"), "leaf", "left_semi").select("place.content", "place.line", "docs")
-    fields = cut(_field_tokens(docs, wanted, depth)).select("leaf", "hash", "docs", F.size("parts").alias("tokens"), F.posexplode("parts").alias("place", "token"))
-    stable = fields.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("have")).filter(F.col("have") >= 2)
-    named = (
-        fields.join(stable, ["leaf", "place", "token"], "left")
-        .withColumn("fixed", F.coalesce(F.col("have") >= needed(F.col("tokens"), min_docs, long_tokens), F.lit(False)))
-        .groupBy("leaf", "hash")
-        .agg(
-            F.bit_xor(F.xxhash64("place", F.when(F.col("fixed"), F.col("token")).otherwise(F.lit(0)))).alias("shape"),
-            (F.sum((F.col("fixed") & (F.col("token") != int(_FIELD))).cast("int")) / F.count("*")).alias("share"),
-        )
-        .filter(F.col("share") >= constant)
-        .select("hash", F.xxhash64("leaf", "shape").alias("template"))
+    wanted = lines.join(mixed.select("leaf", "all_docs"), "leaf").select("place.content", "place.line", "docs", "all_docs")
+    fields = cut(_field_tokens(docs, wanted, depth)).select("leaf", "hash", "docs", "all_docs", F.size("parts").alias("tokens"), F.posexplode("parts").alias("place", "token"))
+    have = F.least(F.sum("docs"), F.ceil(F.max("all_docs") / 2))
+    stable = fields.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("docs"), have.alias("have"), F.max("tokens").alias("tokens")).filter(
+        F.col("docs") >= needed(F.col("tokens"), min_docs, long_tokens)
+    )
+    mark = F.struct("have", (F.col("token") != int(_FIELD)).alias("word"), F.xxhash64("place", "token").alias("code"))
+    marks = (
+        fields.select("leaf", "hash", "tokens", "place", "token").join(stable.select("leaf", "place", "token", "have"), ["leaf", "place", "token"])
+        .groupBy("leaf", "hash", "tokens").agg(F.collect_list(mark).alias("marks"))
     )
+    # so many constants make a line of a template; the last of them sets how many documents a constant of the line has
+    least = F.ceil(F.lit(constant) * F.col("tokens") - 1e-9).cast("int")
+    words = F.filter("marks", lambda m: m["word"])
+    enough = F.get(F.sort_array(F.transform(words, lambda m: m["have"]), asc=False), least - 1)
+    shape = let(enough, lambda e: F.aggregate("marks", F.lit(0).cast("long"), lambda a, m: a.bitwiseXOR(F.when(m["have"] >= e, m["code"]).otherwise(F.lit(0)))))
+    named = marks.filter(F.size(words) >= least).select("hash", F.xxhash64("leaf", shape).alias("template"))
     placed = cut(seen.join(named, "hash", "left").select("doc_id", "content", "line", "tokens", F.coalesce("template", "hash").alias("template")))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content", "line")
     by_document = placed.groupBy("template", "content").agg(F.min(order).alias("first"), F.max("tokens").alias("tokens"))

@@ -339,3 +339,15 @@ def test_recurring_lines_are_dropped_once(spark):
     assert own[110]["text"] == texts[10] and own[111]["text"] == texts[11]
     assert own[1]["text"] is None and own[2]["text"] == "" and own[5]["n_dropped"] == 0
     assert linetemplates.drop_recurring_lines(docs.limit(0)).count() == 0
+
+
+def test_word_fields_with_recurring_values(spark):
+    names, cities, days = [f"name{c}" for c in "abcdefghij"], [f"city{c}" for c in "abcdefghij"], "Monday Tuesday Wednesday Thursday Friday".split()
+    lines = [f"Written for our blog by {a} in {b}" for a in names for b in cities]
+    # a rarer template in the same leaf, its values recurring too
+    rare = [f"Written for our readers on {days[k % 5]} at {cities[k // 5]}" for k in range(20)]
+    texts = [f"{prose(2000 + k, 12)}\n{line}" for k, line in enumerate(lines + rare)]
+    got = {r["doc_id"]: r for r in rows(linetemplates.drop_recurring_lines(awkward(spark, texts)))}
+    left = [k for k in range(len(texts)) if got[100 + k]["n_dropped"] == 0]
+    assert left == [0, len(lines)]
+    assert all(got[100 + k]["text"] == prose(2000 + k, 12) for k in range(len(texts)) if k not in left)
