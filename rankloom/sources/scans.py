@@ -34,8 +34,11 @@ def typed_dataset(raw: DataFrame, numeric: Sequence[str]) -> DataFrame:
     return raw.filter(status != "failed").withColumns(typed)
 
 
-def scan_dataset(spark: SparkSession, path: str, schema: T.StructType, numeric: Sequence[str], multi_line: bool = False) -> DataFrame:
-    """Dataset CSV files. ``multi_line`` reads line breaks inside quotes and makes each file one task."""
+def scan_dataset(spark: SparkSession, path: str, schema: T.StructType, numeric: Sequence[str], multi_line: bool = True) -> DataFrame:
+    """Dataset CSV files, line breaks inside quotes included; each file is one task.
+
+    Files known to have no quoted line breaks can be split with ``multi_line=False``.
+    """
     return typed_dataset(spark.read.schema(schema).csv(path, header=True, multiLine=multi_line, escape='"'), numeric)
 
 

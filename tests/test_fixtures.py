@@ -203,3 +203,11 @@ def test_ndcg_of_a_perfect_order_is_one(spark):
     rows = spark.createDataFrame([("m", "q", f"u{i}", i + 1, 90.0 - i, 50.0 - i) for i in range(12)], "model string, query string, url string, rank int, target_score double, prediction double")
     assert evaluation.ndcg(rows).first().ndcg == pytest.approx(1.0)
     assert evaluation.spearman(rows).first().spearman == pytest.approx(1.0)
+
+
+def test_dataset_csv_keeps_quoted_line_breaks(spark, tmp_path):
+    from rankloom.sources import scans
+
+    (tmp_path / "rows.csv").write_text('query,title,word_count\nq1,"first line\nsecond ""line""",12\nq2,plain,x\n')
+    got = scans.scan_dataset(spark, str(tmp_path / "rows.csv"), "query string, title string, word_count string", ["word_count"])
+    assert sorted(map(tuple, got.collect())) == [("q1", 'first line\nsecond "line"', 12.0), ("q2", "plain", 0.0)]
