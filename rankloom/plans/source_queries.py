@@ -20,7 +20,7 @@ from rankloom.plans.oracle_text import big, rnd
 from rankloom.plans.registry import Catalog
 from rankloom.session import shared_folder
 from rankloom.sources import scans
-from rankloom.sources.views import load_view, view_cte
+from rankloom.sources.views import FEATURES, load_view, view_cte
 from rankloom.streaming import events as stream_events
 from rankloom.streaming.ingest import ingest, read_ingested
 
@@ -136,18 +136,15 @@ def feature_matrix(spark: SparkSession, folder: str) -> DataFrame:
 def _split_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     rows = load_view(spark, folder, "v_rows")
     noisy = rows.withColumn("target_score", F.least(F.lit(100.0), F.col("target_score") * 0.6 + F.col("technical_seo_score") * 20 + F.col("commercial_trust_score") * 20))
-    placed = datasets.with_partition(noisy.select("query", "url", "rank", "intent", "fetch_status", "target_score", *_MATRIX), datasets.group_split(rows))
+    placed = datasets.with_partition(noisy.select("query", "url", "rank", "intent", "fetch_status", "target_score", *FEATURES), datasets.group_split(rows))
     return placed.filter(F.col("partition") == "train").drop("partition"), placed.filter(F.col("partition") == "validation").drop("partition")
 
 
-_SMALL = {"trees": 8, "rounds": 4, "depth": 4}
-
-
 @CATALOG.query("train_pointwise")
 def train_pointwise(spark: SparkSession, folder: str) -> DataFrame:
     train, validation = _split_rows(spark, folder)
-    fitted = models.train_pointwise(train, _MATRIX, **_SMALL)
-    scored = [models.predict(model, validation, _MATRIX, name) for name, model in fitted.items()]
+    fitted = models.train_pointwise(train, FEATURES)
+    scored = [models.predict(model, validation, FEATURES, name) for name, model in fitted.items()]
     return evaluation.model_metrics(scored[0].unionByName(scored[1]))
 
 
@@ -157,7 +154,7 @@ def train_pairwise(spark: SparkSession, folder: str) -> DataFrame:
     train, validation = _split_rows(spark, folder)
     pairs = eq.pairs(spark, folder)
     held = pairs.join(validation.select("query").distinct(), "query", "left_semi")
-    _, scored = models.train_pairwise(pairs, train, validation, _MATRIX)
+    _, scored = models.train_pairwise(pairs, train, validation, FEATURES)
     ranked = scored.select("query", "url", F.lit("pairwise").alias("model"), F.col("ranker_score").alias("prediction"))
     return evaluation.preference_accuracy(held, ranked)
 
@@ -165,8 +162,8 @@ def train_pairwise(spark: SparkSession, folder: str) -> DataFrame:
 @CATALOG.query("feature_importance")
 def feature_importance(spark: SparkSession, folder: str) -> DataFrame:
     train, _ = _split_rows(spark, folder)
-    fitted = models.train_pointwise(train, _MATRIX, **_SMALL)
-    return models.feature_importance(fitted["RandomForestRegressor"], _MATRIX, "RandomForestRegressor")
+    fitted = models.train_pointwise(train, FEATURES)
+    return models.feature_importance(fitted["RandomForestRegressor"], FEATURES, "RandomForestRegressor")
 
 
 _IMPORTANCE = "SELECT p_brand AS model, CASE p_partkey % 12 WHEN 0 THEN 'word_count' WHEN 1 THEN 'semantic_similarity' WHEN 2 THEN 'technical_seo_score' WHEN 3 THEN 'link_count' WHEN 4 THEN 'my_title_signal' WHEN 5 THEN 'price_hint' WHEN 6 THEN 'other_thing' WHEN 7 THEN 'reviews_present' WHEN 8 THEN 'intent_alignment_score' WHEN 9 THEN 'image_count' WHEN 10 THEN 'phone_present' ELSE 'query_in_title' END AS feature, p_size AS importance FROM part"
@@ -190,8 +187,8 @@ def feature_dominance(spark: SparkSession, folder: str) -> DataFrame:
 @CATALOG.query("score_response")
 def score_response(spark: SparkSession, folder: str) -> DataFrame:
     train, validation = _split_rows(spark, folder)
-    fitted = models.train_pointwise(train, _MATRIX, **_SMALL)
-    return models.score_response(fitted["RandomForestRegressor"], validation, _MATRIX)
+    fitted = models.train_pointwise(train, FEATURES)
+    return models.score_response(fitted["RandomForestRegressor"], validation, FEATURES)
 
 
 _LATENESS = "60 days"

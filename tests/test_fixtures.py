@@ -211,3 +211,21 @@ def test_dataset_csv_keeps_quoted_line_breaks(spark, tmp_path):
     (tmp_path / "rows.csv").write_text('query,title,word_count\nq1,"first line\nsecond ""line""",12\nq2,plain,x\n')
     got = scans.scan_dataset(spark, str(tmp_path / "rows.csv"), "query string, title string, word_count string", ["word_count"])
     assert sorted(map(tuple, got.collect())) == [("q1", 'first line\nsecond "line"', 12.0), ("q2", "plain", 0.0)]
+
+
+@pytest.mark.parametrize("name", ["train_pointwise", "train_pairwise", "feature_importance", "score_response"])
+def test_model_queries_fit_all_features_with_defaults(spark, monkeypatch, name):
+    from rankloom.operators import models
+    from rankloom.plans import source_queries
+    from rankloom.sources.views import FEATURES
+
+    class Fitted(Exception):
+        pass
+
+    def fit(*args, **options):
+        assert tuple(args[-1]) == FEATURES and not options and set(FEATURES) <= set(args[-2].columns)
+        raise Fitted
+
+    monkeypatch.setattr(models, "train_pairwise" if name == "train_pairwise" else "train_pointwise", fit)
+    with pytest.raises(Fitted):
+        source_queries.CATALOG.queries[name](spark, "/root/testdata/sf0.001")
