@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write rows as Parquet to the shared folder and read them back, where later steps read only a part of them."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def limit_batches(spark: SparkSession) -> None:
     """Bounds what Spark hands to a Python task at once to 16 MB of rows (or one row), as texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16777216")

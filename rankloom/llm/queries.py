@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import discriminant, jaccardjoin, licenses, linetemplates, mixing, pagetext, pieces, quality, sketches, tokenfiles
+from rankloom.llm import conversations, discriminant, exactcopies, jaccardjoin, licenses, linetemplates, mixing, pagetext, pieces, quality, sketches, tokenfiles, whitening
 from rankloom.llm.common import read
 from rankloom.plans.registry import Catalog
 
@@ -70,3 +70,26 @@ def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 @CATALOG.query("op7_piece_lattice")
 def op7_piece_lattice(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode(read(spark, folder, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+_EXACT_COPIES = r"""
+with texts as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as content from documents),
+groups as (select content, min(doc_id) as keep_id, count(*) as group_size from texts group by content)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(content) as text_sha256
+from texts join groups using (content)
+"""
+
+
+@CATALOG.query("op11_exact_copies", _EXACT_COPIES)
+def op11_exact_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return exactcopies.exact_copies(read(spark, folder, "documents")).withColumnRenamed("digest", "text_sha256")
+
+
+@CATALOG.query("op12_block_whitening")
+def op12_block_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(read(spark, folder, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@CATALOG.query("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repairs(conversations.damaged(read(spark, folder, "conversations")))
