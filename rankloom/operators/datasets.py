@@ -395,43 +395,10 @@ def histogram(rows: DataFrame, keys: Sequence[str], value: Column, kind: str) ->
     return rows.groupBy(*keys, F.lit(kind).alias("kind"), value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def hard_negatives(rows: DataFrame, seeds: DataFrame, k: int = 2) -> DataFrame:
-    """For each seed, k pages of other categories, spread cyclically over categories and rows.
-
-    Seeds, rows and categories are numbered, rows and seeds in hash order
-    without a global sort. A draw is a number among the other categories
-    (numbers from the seed's own on are moved up by one); the pages are then
-    fetched by an equi join on (category, position), which spreads a hot
-    category over its positions.
-    """
-    usable = rows.filter(F.trim("category") != "").withColumn("_h", F.md5(F.concat_ws("|", "query", "url")))
-    numbered = numbered_by_hash(usable, ["category"], "_h", "_pos").drop("_h")
-    # one row per category: the numbering sees the distinct values only
-    counts = usable.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-    listed = counts.select("category", "n", (F.row_number().over(Window.orderBy("category")) - 1).alias("number"))
-    total = counts.groupBy().agg(F.count(F.lit(1)).alias("total"))
-    ordered = numbered_by_hash(seeds.select("query", "category", "intent", "city").withColumn("_h", F.md5("query")), [], "_h", "seed_no").drop("_h")
-    offered = (
-        ordered.join(listed.select("category", F.col("number").alias("own")), "category", "left").join(F.broadcast(total), F.lit(True))
-        .withColumn("others", F.col("total") - F.col("own").isNotNull().cast("int")).filter(F.col("others") > 0)
-    )
-    place = F.pmod(F.col("seed_no") * k + F.col("draw"), F.col("others"))
-    draws = (
-        offered.select(
-            F.col("query").alias("seed_query"), F.col("category").alias("seed_category"), F.col("intent").alias("seed_intent"), F.col("city").alias("seed_city"),
-            "seed_no", "own", "others", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(k), F.col("others")) - 1)).alias("draw"),
-        )
-        .withColumn("number", F.when(F.col("own").isNull() | (place < F.col("own")), place).otherwise(place + 1))
-        .join(listed, "number")
-        .select("seed_query", "seed_category", "seed_intent", "seed_city", "draw", "category", F.pmod(F.col("seed_no") + F.col("draw"), F.col("n")).alias("_pos"))
-    )
-    fetched = numbered.join(draws, ["category", "_pos"])
-    carried = [c for c in rows.columns if c not in ("query", "category", "intent", "city", "rank", "serp_page", "url")]
-    return fetched.select(
-        F.col("seed_query").alias("query"), F.col("seed_category").alias("category"), F.col("seed_intent").alias("intent"),
-        F.col("seed_city").alias("city"), "url", F.lit(999).alias("rank"), F.lit(-1).alias("serp_page"), F.lit(1).alias("hard_negative"),
-        F.col("query").alias("hard_negative_source_query"), F.col("category").alias("hard_negative_source_category"), *carried,
-    )
+def coverage_levels(rows: DataFrame, value: str) -> DataFrame:
+    """Least, floor-rank quartiles and 90th percentile, and largest value of a coverage column, in one row."""
+    stats = score_stats(rows.withColumn("_all", F.lit(0)), ["_all"], value, "floor")
+    return stats.select(*[rnd(F.col(c), 4).alias(f"coverage_{c}") for c in ("min", "p25", "p50", "p75", "p90", "max")])
 
 
 def controlled(name: str) -> Column:

@@ -8,8 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.functions import order
 from rankloom.functions.numeric import flag, num, ratio, rnd, stable_mean
 from rankloom.functions.urls import is_aggregator
+from rankloom.operators.preferences import STRONG_MARGIN, UNCERTAIN_MARGIN, WEAK_MARGIN, WEIGHTS, preference_summary
 
 # --- fixed values -----------------------------------------------------------
 TEXT_VOLUME_FEATURES = ("word_count", "text_length_chars", "paragraph_count", "sentence_count")
@@ -59,32 +61,20 @@ def ndcg(predictions: DataFrame, k: int = 10, keys: Sequence[str] = QUERY_KEYS)
     return both.select(*keys, ratio(F.col("dcg"), F.col("ideal")).alias("ndcg"))
 
 
-def _average_ranks(pairs: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    weighted = pairs.groupBy(*keys, value).agg(F.sum("n").alias("n_equal"))
-    running = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return weighted.select(
-        *keys, value, (F.sum("n_equal").over(running) - F.col("n_equal") + (F.col("n_equal") + 1) / 2.0).alias(name)
-    )
-
-
 def spearman(predictions: DataFrame, keys: Sequence[str] = QUERY_KEYS) -> DataFrame:
     """Rank correlation per group with average ranks for ties; null for constant or single-row groups.
 
-    Scores have 4 digits, so (target, prediction) pairs are counted first and
-    ranks are taken over distinct scores; a hot group shrinks to its distinct
-    values before any window sees it.
+    Ranks are those of the values as they are stored. (target, prediction)
+    pairs are counted first; ranks of distinct values come from ordered counts,
+    which cut a large group into ranges, and go back by joins on the value.
     """
     pairs = (
-        predictions.select(*keys, rnd(F.col("target_score"), 4).alias("t"), rnd(F.col("prediction"), 4).alias("p"))
+        predictions.select(*keys, F.col("target_score").cast("double").alias("t"), F.col("prediction").cast("double").alias("p"))
         .groupBy(*keys, "t", "p")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    sizes = pairs.groupBy(*keys).agg(F.sum("n").alias("total"))
-    ranked = (
-        pairs.join(_average_ranks(pairs, keys, "t", "rt"), [*keys, "t"])
-        .join(_average_ranks(pairs, keys, "p", "rp"), [*keys, "p"])
-        .join(sizes, list(keys))
-    )
+    ranks = lambda value, name: order.average_ranks(pairs.groupBy(*keys, value).agg(F.sum("n").alias("n_equal")), keys, value, name)
+    ranked = pairs.join(ranks("t", "rt").withColumnRenamed("n_total", "total"), [*keys, "t"]).join(ranks("p", "rp").drop("n_total"), [*keys, "p"])
     dt = F.col("rt") - (F.col("total") + 1) / 2.0
     dp = F.col("rp") - (F.col("total") + 1) / 2.0
     sums = ranked.groupBy(*keys).agg(
@@ -183,8 +173,8 @@ def top3_regressions(predictions: DataFrame, reference: str, candidate: str) ->
     and rank go to the later URL, as the reversed sort of the source does.
     """
     slim = predictions.select("model", "query", "url", "rank", "prediction")
-    order = [F.desc("prediction"), F.asc("rank"), F.desc("url")]
-    tops = _top(slim, QUERY_KEYS, order, 3).groupBy("query").agg(
+    reversed_ties = [F.desc("prediction"), F.asc("rank"), F.desc("url")]
+    tops = _top(slim, QUERY_KEYS, reversed_ties, 3).groupBy("query").agg(
         F.array_sort(F.collect_set(F.when(F.col("model") == reference, F.col("url")))).alias("ref_top"),
         F.array_sort(F.collect_set(F.when(F.col("model") == candidate, F.col("url")))).alias("cand_top"),
     )
@@ -274,15 +264,48 @@ def preference_accuracy(pairs: DataFrame, predictions: DataFrame) -> DataFrame:
     )
 
 
+def label_preference_accuracy(labels: DataFrame, predictions: DataFrame) -> DataFrame:
+    """``preference_accuracy`` over every pair that the labels imply, counted without building a pair.
+
+    Pairs whose targets differ by a margin or more are the preferences; those
+    ordered alike by the prediction are the hits. Both counts per margin are
+    dominance counts, so work grows with the pages and not with their pairs.
+    """
+    keys = ["model", "query"]
+    scores = predictions.filter(F.col("prediction").isNotNull()).select("model", "query", "url", F.col("prediction").cast("double").alias("prediction"))
+    points = scores.join(labels.select("query", "url", F.rint(F.col("ranking_target_score") * 1e4).cast("bigint").alias("target")), ["query", "url"])
+    # places stand for predictions: order and ties are all that counts
+    places = order.ordered_counts(points, keys, "prediction").select(*keys, "prediction", F.col("n_below").alias("place"))
+    placed = points.join(places, [*keys, "prediction"]).select(*keys, "target", "place")
+    margins = {"strong": STRONG_MARGIN, "weak": WEAK_MARGIN, "uncertain": UNCERTAIN_MARGIN}
+    hits = order.dominated(placed, keys, "target", "place", {name: int(m * 1e4) for name, m in margins.items()})
+    pairs = preference_summary(placed.select("model", "query", (F.col("target") / 1e4).alias("ranking_target_score")), keys)
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("strength"), F.col(f"{n}_pairs").alias("pairs")) for n in margins])).alias("e")
+    at = lambda name: F.coalesce(F.sum(F.when(F.col("margin") == name, F.col("hits"))), F.lit(0))
+    found = hits.groupBy("model").agg(at("strong").alias("s"), at("weak").alias("w"), at("uncertain").alias("u"))
+    total = pairs.select("model", each).groupBy("model").agg(*[F.sum(F.when(F.col("e.strength") == n, F.col("e.pairs"))).alias(f"n_{n}") for n in margins])
+    wide = total.join(found, "model", "left").na.fill(0, ["s", "w", "u"])
+    # counts of a margin include those of the larger ones
+    hit = {"strong": F.col("s"), "weak": F.col("w") - F.col("s"), "uncertain": F.col("u") - F.col("w")}
+    weight = {n: 1.0 if WEIGHTS[n] == 0 else WEIGHTS[n] for n in margins}
+    evaluated = F.col("n_strong") + F.col("n_weak") + F.col("n_uncertain")
+    weigh = lambda counts: reduce(lambda a, b: a + b, [counts[n] * F.lit(weight[n]) for n in margins])
+    return wide.filter(evaluated > 0).select(
+        "model", evaluated.alias("evaluated_preferences"), rnd(F.col("u") / evaluated, 6).alias("accuracy"),
+        rnd(weigh(hit) / weigh({n: F.col(f"n_{n}") for n in margins}), 6).alias("weighted_accuracy"),
+    )
+
+
 def prediction_delta(rows: DataFrame, primary: str, candidate: str) -> DataFrame:
-    """Summary of candidate minus primary over all rows; the quantile merges counts of 6-digit values."""
-    delta = rows.select(rnd(F.col(candidate) - F.col(primary), 6).alias("d"), F.col(candidate).alias("c"))
-    return delta.groupBy().agg(
-        F.count(F.lit(1)).alias("rows"), rnd(stable_mean(F.col("d"), 6), 6).alias("mean_delta"),
-        rnd(stable_mean(F.abs("d"), 6), 6).alias("mean_abs_delta"), rnd(F.percentile(F.abs("d"), 0.95), 6).alias("p95_abs_delta"),
-        F.max(F.abs("d")).alias("max_abs_delta"), F.count_if(F.col("c") < 0).alias("below_zero"),
-        F.count_if(F.col("c") > 100).alias("above_hundred"),
+    """Summary of candidate minus primary over all rows; the quantile is that of the unrounded differences."""
+    delta = rows.select((F.col(candidate) - F.col(primary)).alias("d"), F.col(candidate).alias("c"))
+    sums = delta.groupBy().agg(
+        F.count(F.lit(1)).alias("rows"), rnd(F.avg("d"), 6).alias("mean_delta"), rnd(F.avg(F.abs("d")), 6).alias("mean_abs_delta"),
+        rnd(F.max(F.abs("d")), 6).alias("max_abs_delta"), F.count_if(F.col("c") < 0).alias("below_zero"), F.count_if(F.col("c") > 100).alias("above_hundred"),
     )
+    spread = order.quantiles(delta.select(F.abs("d").alias("d")), [], "d", {"p95": 0.95}).select(rnd(F.col("p95"), 6).alias("p95_abs_delta"))
+    joined = sums.join(F.broadcast(spread), F.lit(True), "left")
+    return joined.select("rows", "mean_delta", "mean_abs_delta", "p95_abs_delta", "max_abs_delta", "below_zero", "above_hundred")
 
 
 def relative_consistency(rows: DataFrame, primary: str, candidate: str) -> DataFrame:

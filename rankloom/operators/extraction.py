@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
 from html import unescape
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from rankloom.functions import urls
+from rankloom.functions.markup import TolerantParser
 from rankloom.functions.numeric import flag, rnd
 from rankloom.functions.text import strip
 from rankloom.functions.urls import literal_alternation
@@ -57,7 +56,7 @@ def _squeeze(value: str) -> str:
     return re.sub(r"\s+", " ", unescape(value)).strip()
 
 
-class _Tape(HTMLParser):
+class _Tape(TolerantParser):
     """Records what the tokenizer sees: opened tags, closed tags and text."""
 
     def __init__(self) -> None:
@@ -167,25 +166,29 @@ def read_document(html: str | None) -> dict:
     }
 
 
+def document_of(html: Column) -> Column:
+    """Structured document of an html column.
+
+    An Arrow function of that one column: other columns stay in the JVM, those
+    nobody reads are not scanned, and filters on them run before it.
+    """
+    kind = document_type()
+    arrow = to_arrow_schema(T.StructType([T.StructField("document", kind)])).field("document").type
+
+    @F.arrow_udf(kind)
+    def parse(pages: pa.Array) -> pa.Array:
+        return pa.array([read_document(page.as_py()) for page in pages], type=arrow)
+
+    return parse(html)
+
+
 def extract_documents(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Adds ``document``, parsed in Arrow batches where the rows are: no shuffle, any number of pages.
+    """Adds ``document``, parsed where the rows are: no shuffle, any number of pages.
 
     Parsing nested markup is the one step SQL expressions cannot do; every
     later step reads the struct this returns.
     """
-    schema = T.StructType([*pages.schema.fields, T.StructField("document", document_type())])
-    arrow = to_arrow_schema(schema).field("document").type
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            source = batch.column(batch.schema.get_field_index(html))
-            # a few pages at a time keeps the parsed output of large pages small
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                documents = pa.array([read_document(page.as_py()) for page in source.slice(start, 256)], type=arrow)
-                yield pa.RecordBatch.from_arrays([*part.columns, documents], names=[*part.schema.names, "document"])
-
-    return pages.mapInArrow(parse, schema)
+    return pages.withColumn("document", document_of(F.col(html)))
 
 
 def _filled(column: Column) -> Column:

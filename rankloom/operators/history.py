@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.functions import order
 from rankloom.functions.numeric import num, ratio, rnd, stable_mean, stable_sum
 
 # --- fixed values -----------------------------------------------------------
@@ -281,19 +282,22 @@ def load_summary(records: DataFrame, duration_seconds: float) -> DataFrame:
     """Admission rates, throughput per minute and latency percentiles of a load run."""
     admitted = lambda name: F.count_if(F.col("admission_status") == name)
     minutes = F.lit(duration_seconds / 60.0)
-    ms = rnd(F.col("total_duration_ms").cast("double"), 2)
+    ms = F.col("total_duration_ms").cast("double")
     terminal = F.col("terminal_status")
     stats = records.groupBy().agg(
         F.count(F.lit(1)).alias("requested"), admitted("accepted").alias("accepted"), admitted("rejected").alias("rejected"), admitted("error").alias("errors"),
         F.count_if(terminal.isin("completed", "completed_with_warnings")).alias("successful"),
-        F.count_if(terminal.isin(*TERMINAL_STATUSES, "timeout")).alias("terminal"), F.count(ms).alias("latency_count"), F.min(ms).alias("latency_min"),
-        rnd(stable_mean(ms, 2), 2).alias("latency_average"), F.percentile(ms, F.array(F.lit(0.5), F.lit(0.95))).alias("q"), F.max(ms).alias("latency_max"),
+        F.count_if(terminal.isin(*TERMINAL_STATUSES, "timeout")).alias("terminal"), F.count(ms).alias("latency_count"), rnd(F.min(ms), 2).alias("latency_min"),
+        rnd(F.avg(ms), 2).alias("latency_average"), rnd(F.max(ms), 2).alias("latency_max"),
     )
+    # percentiles of the latencies as they are stored, over ranges of them and not in one state
+    levels = order.quantiles(records.select(ms.alias("ms")), [], "ms", {"p50": 0.5, "p95": 0.95})
+    stats = stats.join(F.broadcast(levels), F.lit(True), "left")
     return stats.select(
         "requested", "accepted", "rejected", "errors", rnd(ratio(F.col("accepted"), F.col("requested"), None), 4).alias("acceptance_rate"),
         rnd(ratio(F.col("rejected"), F.col("requested"), None), 4).alias("rejection_rate"), rnd(F.col("accepted") / minutes, 2).alias("accepted_per_minute"),
         rnd(F.col("terminal") / minutes, 2).alias("terminal_per_minute"), rnd(F.col("successful") / minutes, 2).alias("successful_terminal_per_minute"),
-        "latency_count", "latency_min", "latency_average", rnd(F.col("q")[0], 2).alias("latency_p50"), rnd(F.col("q")[1], 2).alias("latency_p95"), "latency_max",
+        "latency_count", "latency_min", "latency_average", rnd(F.col("p50"), 2).alias("latency_p50"), rnd(F.col("p95"), 2).alias("latency_p95"), "latency_max",
     )
 
 
@@ -316,10 +320,15 @@ def backlog_totals(samples: DataFrame) -> DataFrame:
     )
 
 
-def worker_utilization(samples: DataFrame) -> DataFrame:
-    """Mean and peak utilisation overall and per profile: rollup per sample first, then over samples."""
-    workers = samples.select("sample_id", F.explode("workers").alias("w")).select("sample_id", F.coalesce("w.profile", F.lit("unassigned")).alias("profile"), "w.active_tasks", "w.concurrency")
-    per_sample = workers.rollup("sample_id", "profile").agg(
+def sample_workers(samples: DataFrame) -> DataFrame:
+    """One row per worker of samples that list their workers in an array."""
+    return samples.select("sample_id", F.explode("workers").alias("w")).select("sample_id", "w.profile", "w.active_tasks", "w.concurrency")
+
+
+def worker_utilization(workers: DataFrame) -> DataFrame:
+    """Mean and peak utilisation overall and per profile, from one row per sample and worker: per sample first, then over samples."""
+    named = workers.select("sample_id", F.coalesce("profile", F.lit("unassigned")).alias("profile"), "active_tasks", "concurrency")
+    per_sample = named.rollup("sample_id", "profile").agg(
         F.grouping_id().alias("gid"), F.sum("active_tasks").alias("active"), F.sum("concurrency").alias("capacity")
     ).filter(F.col("gid") <= 1)
     scoped = per_sample.select(F.when(F.col("gid") == 1, "overall").otherwise(F.concat(F.lit("profile:"), "profile")).alias("scope"), "active", "capacity")

@@ -586,6 +586,79 @@ def audit_features(rows: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataF
     return complete.drop(*[c for c in complete.columns if c.startswith("_")], "html", "text", "document", "response_headers", "redirect_chain")
 
 
+CORE_COLUMNS = (
+    "query_core_term_count", "query_core_term_matches", "query_core_keyword_coverage_ratio", "query_core_phrase_count", "query_core_phrase_present",
+    "query_intent_modifier_count", "query_intent_modifier_matches", "query_intent_modifier_coverage_ratio",
+)
+
+
+def query_core_dataset(rows: DataFrame, snapshots: DataFrame, key: str = "artifact_id", lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
+    """``rows`` with the query-core columns, measured on all the words known of a page, and ``fallback``.
+
+    Those are the words of its snapshot (``text``, ``document.title``), if
+    there is one, and of the row's title, snippet, URL and domain.
+    ``fallback`` marks rows whose snapshot is missing or says nothing.
+    """
+    said = F.concat_ws(" ", *[F.nullif(tx.strip(_text(c)), F.lit("")) for c in ("text", "document.title")])
+    known = snapshots.select(F.col(key).alias("_key"), said.alias("_said"))
+    joined = rows.join(known, F.col(key) == F.col("_key"), "left").drop("_key")
+    parts = [F.nullif(tx.strip(_text(c)), F.lit("")) for c in ("_said", "title", "snippet", "url", "domain")]
+    phrase = F.lower(F.trim(_text("query")))
+    measured = joined.select(
+        *rows.columns, flag(F.length(tx.strip(_text("_said"))) == 0).alias("fallback"), tx.stemmed_tokens(F.concat_ws(" ", *parts)).alias("_tokens"), tx.stemmed_tokens(phrase).alias("_terms"),
+    )
+    return query_core_counts(measured, lexicon).select(*rows.columns, "fallback", *CORE_COLUMNS)
+
+
+def query_core_counts(rows: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
+    """The core and intent counts of ``_terms`` in ``_tokens``, without the aliases that page features allow."""
+    base = rows.select(
+        "*", F.filter("_terms", lambda t: ~tx.member(t, lexicon.non_core_terms)).alias("_core"), F.filter("_terms", lambda t: tx.member(t, lexicon.intent_terms)).alias("_intent"),
+        F.filter("_tokens", lambda t: F.array_contains("_terms", t)).alias("_hits"),
+    )
+    total = lambda terms: F.aggregate(F.transform(terms, lambda t: tx.count_of(F.col("_hits"), t)), F.lit(0), lambda a, b: a + b)
+    found = lambda terms: F.size(F.filter(terms, lambda t: F.array_contains("_hits", t)))
+    share = lambda terms: F.when(F.size(terms) > 0, found(terms) / F.size(terms)).otherwise(F.lit(0.0))
+    needle = F.when(F.size("_core") > 0, F.col("_core")).otherwise(F.col("_terms"))
+    base = base.select("*", needle.alias("_needle")).select("*", tx.phrase_count(F.col("_needle"), F.col("_tokens")).alias("_phrases"))
+    values = {
+        "query_core_term_count": total(F.col("_core")), "query_core_term_matches": found(F.col("_core")), "query_core_keyword_coverage_ratio": rnd(share(F.col("_needle")), 6),
+        "query_core_phrase_count": F.col("_phrases"), "query_core_phrase_present": flag(F.col("_phrases") > 0), "query_intent_modifier_count": total(F.col("_intent")),
+        "query_intent_modifier_matches": found(F.col("_intent")), "query_intent_modifier_coverage_ratio": rnd(share(F.col("_intent")), 6),
+    }
+    own = [c for c in rows.columns if c not in values]
+    return base.select(*own, *[v.cast("double").alias(n) for n, v in values.items()])
+
+
+def enrich_dataset(rows: DataFrame, snapshots: DataFrame, key: str = "artifact_id") -> DataFrame:
+    """``rows`` with the heavy-analysis columns of their snapshot and the intent columns of their query, and ``artifact_found``.
+
+    Rows without a snapshot have 0 in the heavy columns. Alignment reads the
+    row's own features.
+    """
+    heavy = heavy_analysis(snapshots).select(F.col(key).alias("_key"), *[F.col(c).cast("double").alias(f"_h_{c}") for c in HEAVY_COLUMNS])
+    joined = rows.drop(*HEAVY_COLUMNS, *ALIGNMENT_COLUMNS).join(heavy, F.col(key) == F.col("_key"), "left")
+    filled = joined.select(
+        *[c for c in joined.columns if not c.startswith("_h_") and c != "_key"], flag(F.col("_key").isNotNull()).alias("artifact_found"),
+        *[F.coalesce(F.col(f"_h_{c}"), F.lit(0.0)).alias(c) for c in HEAVY_COLUMNS],
+    )
+    return intent_alignment(query_intent(filled)).drop("intent_label")
+
+
+def enrichment_counts() -> dict[str, Column]:
+    """What the report says of enriched rows: aggregates to observe while they are written."""
+    return {
+        "rows_count": F.count(F.lit(1)), "source_artifacts_found": F.count_if(F.col("artifact_found") == 1), "source_artifacts_missing": F.count_if(F.col("artifact_found") == 0),
+        "rows_with_heavy_features": F.count_if(reduce(lambda a, b: a | b, [F.col(c) != 0 for c in HEAVY_COLUMNS])),
+        "rows_with_intent_alignment": F.count_if(F.col("intent_alignment_score") > 0),
+    }
+
+
+def core_counts() -> dict[str, Column]:
+    """What the report says of a query-core dataset, besides its coverage percentiles."""
+    return {"rows_count": F.count(F.lit(1)), "fallback_rows_count": F.count_if(F.col("fallback") == 1), "rows_with_core_phrase": F.count_if(F.col("query_core_phrase_present") == 1)}
+
+
 def feature_matrix(rows: DataFrame, features: Sequence[str], target: str, keys: Sequence[str] = ()) -> DataFrame:
     """Ordered feature vector with absent values as 0, next to the target."""
     from pyspark.ml.feature import VectorAssembler

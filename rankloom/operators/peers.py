@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.functions import urls
+from rankloom.functions import order, urls
 from rankloom.functions.numeric import clip, flag, present_mean, ratio, rnd, stable_mean, stable_sum, tie_percentile, value_histogram
 
 # --- fixed values -----------------------------------------------------------
@@ -421,16 +421,19 @@ def unpivot(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> Dat
 def peer_benchmark(peers: DataFrame, lower_is_better: Sequence[str], higher_is_better: Sequence[str], neutral: Sequence[str], key: str = "query") -> DataFrame:
     """Per (key, metric): upper quartile, lower quartile or mean, by the metric's direction.
 
-    The exact percentile aggregate merges value counts map-side; metrics are
-    rounded to 4 digits so a group holds a bounded number of distinct values.
+    Quartiles are those of the values as they are stored, from ordered counts
+    that cut a large key into ranges.
     """
     metrics = [*higher_is_better, *lower_is_better, *neutral]
-    long = unpivot(peers, [key], metrics).filter(F.col("value").isNotNull()).withColumn("value", rnd(F.col("value"), 4))
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)))
-    stats = long.groupBy(key, "metric").agg(q.alias("q"), F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"))
+    long = unpivot(peers, [key], metrics).filter(F.col("value").isNotNull())
+    ordered = order.ordered_counts(long, [key, "metric"], "value")
+    stats = ordered.groupBy(key, "metric").agg(
+        order.interpolated("value", 0.25).alias("low"), order.interpolated("value", 0.75).alias("high"),
+        (F.sum(F.col("value") * F.col("n_equal")) / F.max("n_total")).alias("mean"), F.max("n_total").alias("n"),
+    )
     value = (
-        F.when(F.col("metric").isin(*higher_is_better), F.col("q")[1])
-        .when(F.col("metric").isin(*lower_is_better), F.col("q")[0])
+        F.when(F.col("metric").isin(*higher_is_better), F.col("high"))
+        .when(F.col("metric").isin(*lower_is_better), F.col("low"))
         .otherwise(F.col("mean"))
     )
     return stats.select(key, "metric", rnd(value, 4).alias("benchmark"), "n")

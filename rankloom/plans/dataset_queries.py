@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import datasets, preferences, rubric
 from rankloom.operators import final_labels as labelling
+from rankloom.operators import hard_negatives as negatives
+from rankloom.operators import page_features as pf
 from rankloom.plans import evaluation_queries as eq
+from rankloom.plans import page_queries as pq
 from rankloom.plans import relevance_queries as rq
 from rankloom.plans.oracle_text import big, clip, mean, rnd
 from rankloom.plans.registry import Catalog
@@ -282,22 +285,62 @@ def partition_histograms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # --- hard negatives and final labels ----------------------------------------
-@CATALOG.query("hard_negatives", view_cte("v_rows", "v_targets") + f""",
-cat AS (SELECT category, count(*) AS n FROM v_rows GROUP BY category),
-rn AS (SELECT query, url, category, target_score, row_number() OVER (PARTITION BY category ORDER BY md5(query || '|' || url)) - 1 AS pos FROM v_rows),
-sd AS (SELECT query, category, row_number() OVER (ORDER BY md5(query)) - 1 AS i FROM v_targets),
-oc AS (SELECT sd.query, sd.i, cat.category, cat.n, row_number() OVER (PARTITION BY sd.query ORDER BY cat.category) - 1 AS j, count(*) OVER (PARTITION BY sd.query) AS m FROM sd JOIN cat ON cat.category <> sd.category),
-dr AS (SELECT oc.*, d FROM oc, (VALUES (0), (1)) t(d) WHERE d < m AND j = (i * 2 + d) % m)
-SELECT dr.query, sd.category, rn.url, 1 AS hard_negative, rn.query AS hard_negative_source_query, rn.category AS hard_negative_source_category, rn.target_score
-FROM dr JOIN sd ON dr.query = sd.query JOIN rn ON rn.category = dr.category AND rn.pos = (dr.i + d) % n""")
+# Pages play the dataset: ten share a query, their group names the category; some have no snapshot, one category has none at all.
+_PAGE_ROW = {
+    "category": "CONCAT('c', CAST(CAST(floor(page_id / 1e1) AS BIGINT) % 7 AS STRING))", "intent": "CASE WHEN page_id % 2 = 0 THEN 'commercial' ELSE 'informational' END", "city": "''",
+    "rank": "CAST(page_id % 10 + 1 AS INT)", "serp_page": "0", "label_source": "'weak'", "target_score": "CAST(page_id * 7 % 101 AS DOUBLE)",
+    "artifact_id": "CASE WHEN page_id % 4 = 3 OR CAST(floor(page_id / 1e1) AS BIGINT) % 7 = 5 THEN CAST(NULL AS BIGINT) ELSE page_id END",
+}
+_NEG_FEATURES = tuple(pq._MATCH)
+
+
+def page_dataset(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with their features, and the snapshots by ``artifact_id``."""
+    pages = pq.page_query(spark, folder)
+    rows = pf.query_match(pf.text_stats(pages)).select(
+        "page_id", "query", F.col("requested_url").alias("url"), *[F.expr(e).alias(n) for n, e in _PAGE_ROW.items()], *[F.col(f).cast("double").alias(f) for f in _NEG_FEATURES]
+    )
+    kept = pq.snapshots(spark, folder).withColumnRenamed("page_id", "artifact_id").filter("artifact_id % 4 <> 3")
+    return rows, kept.withColumn("semantic_similarity", (F.col("artifact_id") % 11) / 10.0)
+
+
+_NEG_SQL = pq._PQ_SQL + ",\nrw AS (SELECT page_id, query, requested_url AS url, " + ", ".join(f"{e} AS {n}" for n, e in _PAGE_ROW.items()) + f""" FROM q1),
+cat AS (SELECT category, count(*) AS n, count(artifact_id) AS u FROM rw GROUP BY category),
+rn AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY md5(query || '|' || url)) - 1 AS pos FROM rw),
+sd AS (SELECT query, category, intent, city, row_number() OVER (ORDER BY md5(query)) - 1 AS i FROM (SELECT query, category, '' AS city, min(intent) AS intent FROM sq GROUP BY query, category QUALIFY row_number() OVER (PARTITION BY query ORDER BY category) = 1)),
+oc AS (SELECT sd.query, sd.category AS own, sd.intent, sd.i, cat.category, cat.n, cat.u, row_number() OVER (PARTITION BY sd.query ORDER BY cat.category) - 1 AS j, count(*) OVER (PARTITION BY sd.query) AS m FROM sd JOIN cat ON cat.category <> sd.category),
+od AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY (j - i * 2 % m + m) % m) - 1 AS d FROM oc WHERE u > 0),
+dw AS (SELECT od.query, od.own, od.intent AS si, od.d, rn.page_id, rn.query AS src, rn.category AS srccat, rn.url, rn.label_source FROM od JOIN rn ON rn.category = od.category AND rn.artifact_id IS NOT NULL WHERE od.d < 2
+  QUALIFY row_number() OVER (PARTITION BY od.query, od.d ORDER BY (rn.pos - (od.i + od.d) % od.n + od.n) % od.n) = 1),
+al AS (SELECT page_id, query, url, category, intent, rank, serp_page, label_source, target_score, 0 AS hard_negative, '' AS src, '' AS srccat, '' AS srcurl FROM rw
+  UNION ALL SELECT page_id, query, url, own, si, 999, -1, 'hard_negative_v7', NULL, 1, src, srccat, url FROM dw),
+q0n AS (SELECT ts.* EXCLUDE (lang), al.* EXCLUDE (page_id), lower(al.query) AS ph, {pq._STEMS('al.query')} AS q, {pq._STEMS('text')} AS b, {pq._STEMS('title')} AS ti, {pq._STEMS('descr')} AS me, {pq._STEMS("h1 || ' ' || h2 || ' ' || h3")} AS hd FROM ts JOIN al ON ts.page_id = al.page_id),
+q1n AS ({pq._MATCHED.replace('FROM q0', 'FROM q0n')})"""
+_NEG_SQL = _NEG_SQL.replace("\nrw AS", "\nsq AS (SELECT query, category, intent FROM (SELECT query, " + ", ".join(f"{_PAGE_ROW[n]} AS {n}" for n in ("category", "intent")) + ", page_id FROM q1) WHERE page_id % 10 < 3),\nrw AS")
+
+
+def _with_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows, kept = page_dataset(spark, folder)
+    seeds = rows.filter("page_id % 10 < 3").select("query", "category", "intent", F.lit("").alias("city"))
+    return negatives.hard_negatives(rows, seeds, kept, _NEG_FEATURES)
+
+
+@CATALOG.query("hard_negatives", _NEG_SQL + " SELECT page_id, query, url, category, intent, rank, serp_page, label_source, target_score, hard_negative, src AS hard_negative_source_query, srccat AS hard_negative_source_category, srcurl AS hard_negative_source_url, "
+               + ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in pq._MATCH.items()) + " FROM q1n")
 def hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
-    rows = load_view(spark, folder, "v_rows").select("query", "url", "category", "intent", "city", "rank", "serp_page", "target_score")
-    seeds = load_view(spark, folder, "v_targets").select("query", "category", F.lit("commercial").alias("intent"), F.lit("").alias("city"))
-    return datasets.hard_negatives(rows, seeds).select(
-        "query", "category", "url", "hard_negative", "hard_negative_source_query", "hard_negative_source_category", "target_score"
+    """The dataset with two pages of other categories for each query, measured against it."""
+    return _with_negatives(spark, folder).select(
+        "page_id", "query", "url", "category", "intent", "rank", "serp_page", "label_source", "target_score", "hard_negative", "hard_negative_source_query",
+        "hard_negative_source_category", "hard_negative_source_url", *_NEG_FEATURES,
     )
 
 
+@CATALOG.query("hard_negative_report", _NEG_SQL + f""" SELECT CASE hard_negative WHEN 1 THEN 'hard_negative_rows' ELSE 'source_rows' END AS kind, '' AS category, {big('count(*)')} AS rows FROM al GROUP BY 1
+UNION ALL SELECT 'source_category', srccat, {big('count(*)')} FROM al WHERE hard_negative = 1 GROUP BY ALL UNION ALL SELECT 'target_category', category, {big('count(*)')} FROM al WHERE hard_negative = 1 GROUP BY ALL""")
+def hard_negative_report(spark: SparkSession, folder: str) -> DataFrame:
+    return negatives.hard_negative_report(_with_negatives(spark, folder))
+
+
 def _wsum(parts: tuple[tuple[str, str], ...]) -> str:
     return clip(" + ".join(f"{n} * {w}" for n, w in parts), "0e0", "1e0")
 
@@ -458,7 +501,7 @@ SELECT {big('a')} AS train_queries, {big('b')} AS validation_queries, {big('c')}
   {big('g')} AS focus_represented, {big('m.n')} AS focus_missing, {big('i')} AS train_preferences, {big('j')} AS validation_preferences, {big('k')} AS usable_preferences, {big('l')} AS uncertain_preferences, d = 0 AND e = 0 AND m.n = 0 AS passed FROM c, m""")
 def preference_split_check(spark: SparkSession, folder: str) -> DataFrame:
     focus = load_view(spark, folder, "v_rows").filter(F.col("category") == "Brand#1").select("query")
-    return preferences.preference_split_check(eq.pairs(spark, folder), _tampered(spark, folder), focus)
+    return preferences.preference_split_check(preferences.label_pair_counts(eq.labels(spark, folder)), _tampered(spark, folder), focus)
 
 
 _POLICY = ("word_count", "text_length_chars", "sentence_count", "paragraph_count", "heading_count", "link_count", "image_count", "h1_count", "text_to_html_ratio", "title_present")

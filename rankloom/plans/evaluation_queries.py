@@ -228,7 +228,7 @@ FROM o_pref f JOIN p w ON w.query = f.query AND w.url = f.winner_url JOIN p z ON
 
 @CATALOG.query("preference_accuracy", _ACC_SQL)
 def preference_accuracy(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluation.preference_accuracy(pairs(spark, folder), predictions(spark, folder))
+    return evaluation.label_preference_accuracy(labels(spark, folder), predictions(spark, folder))
 
 
 _ATTACH = "SELECT r.query, r.url, r.target_score, coalesce(l.page_target_score, r.target_score) AS page_target_score, coalesce(l.ranking_target_score, r.target_score) AS ranking_target_score, CASE WHEN l.url IS NULL THEN 0 ELSE 1 END AS labelled FROM v_rows r LEFT JOIN l ON l.query = r.query AND l.url = r.url AND l.quality_band <> 'blocked'"
@@ -251,9 +251,9 @@ def _two(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@CATALOG.query("prediction_delta", view_cte("v_rows") + f""", d AS (SELECT {rnd(f'{_CAND} - {_REF}', 6)} AS d, {_CAND} AS c FROM v_rows)
-SELECT {big('count(*)')} AS rows, {rnd(mean('d', 6), 6)} AS mean_delta, {rnd(mean('abs(d)', 6), 6)} AS mean_abs_delta, {rnd('quantile_cont(abs(d), 95e-2)', 6)} AS p95_abs_delta,
-  max(abs(d)) AS max_abs_delta, {big('count(*) FILTER (c < 0)')} AS below_zero, {big('count(*) FILTER (c > 100)')} AS above_hundred FROM d""")
+@CATALOG.query("prediction_delta", view_cte("v_rows") + f""", d AS (SELECT {_CAND} - {_REF} AS d, {_CAND} AS c FROM v_rows)
+SELECT {big('count(*)')} AS rows, {rnd('avg(d)', 6)} AS mean_delta, {rnd('avg(abs(d))', 6)} AS mean_abs_delta, {rnd('quantile_cont(abs(d), 95e-2)', 6)} AS p95_abs_delta,
+  {rnd('max(abs(d))', 6)} AS max_abs_delta, {big('count(*) FILTER (c < 0)')} AS below_zero, {big('count(*) FILTER (c > 100)')} AS above_hundred FROM d""")
 def prediction_delta(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.prediction_delta(_two(spark, folder), "primary", "candidate")
 

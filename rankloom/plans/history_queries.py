@@ -199,11 +199,11 @@ def execution_alerts(spark: SparkSession, folder: str) -> DataFrame:
 _LOAD = "CASE WHEN id % 13 = 0 THEN 'rejected' WHEN id % 29 = 0 THEN 'error' ELSE 'accepted' END"
 
 
-@CATALOG.query("load_summary", _AUD + f""", r AS (SELECT {_LOAD} AS a, CASE WHEN {_LOAD} = 'accepted' THEN CASE WHEN status IN ('queued', 'processing') THEN 'timeout' ELSE status END END AS t, CASE WHEN {_LOAD} = 'accepted' THEN {rnd('score * 37e0', 2)} END AS ms FROM au),
+@CATALOG.query("load_summary", _AUD + f""", r AS (SELECT {_LOAD} AS a, CASE WHEN {_LOAD} = 'accepted' THEN CASE WHEN status IN ('queued', 'processing') THEN 'timeout' ELSE status END END AS t, CASE WHEN {_LOAD} = 'accepted' THEN score * 37e0 END AS ms FROM au),
 s AS (SELECT count(*) AS n, count(*) FILTER (a = 'accepted') AS ac, count(*) FILTER (a = 'rejected') AS re, count(*) FILTER (a = 'error') AS er, count(*) FILTER (t IN ('completed', 'completed_with_warnings')) AS su, count(t) AS te FROM r)
 SELECT {big('n')} AS requested, {big('ac')} AS accepted, {big('re')} AS rejected, {big('er')} AS errors, {rnd('ac * 1e0 / n', 4)} AS acceptance_rate, {rnd('re * 1e0 / n', 4)} AS rejection_rate, {rnd('ac / 6e1', 2)} AS accepted_per_minute,
-  {rnd('te / 6e1', 2)} AS terminal_per_minute, {rnd('su / 6e1', 2)} AS successful_terminal_per_minute, {big('(SELECT count(ms) FROM r)')} AS latency_count, (SELECT min(ms) FROM r) AS latency_min, (SELECT {rnd(mean('ms', 2), 2)} FROM r) AS latency_average,
-  (SELECT {rnd('quantile_cont(ms, 5e-1)', 2)} FROM r) AS latency_p50, (SELECT {rnd('quantile_cont(ms, 95e-2)', 2)} FROM r) AS latency_p95, (SELECT max(ms) FROM r) AS latency_max FROM s""")
+  {rnd('te / 6e1', 2)} AS terminal_per_minute, {rnd('su / 6e1', 2)} AS successful_terminal_per_minute, {big('(SELECT count(ms) FROM r)')} AS latency_count, (SELECT {rnd('min(ms)', 2)} FROM r) AS latency_min, (SELECT {rnd('avg(ms)', 2)} FROM r) AS latency_average,
+  (SELECT {rnd('quantile_cont(ms, 5e-1)', 2)} FROM r) AS latency_p50, (SELECT {rnd('quantile_cont(ms, 95e-2)', 2)} FROM r) AS latency_p95, (SELECT {rnd('max(ms)', 2)} FROM r) AS latency_max FROM s""")
 def load_summary(spark: SparkSession, folder: str) -> DataFrame:
     accepted = F.expr(_LOAD) == "accepted"
     records = _audits(spark, folder).select(
@@ -220,21 +220,25 @@ sq AS (SELECT date_trunc('hour', created_at) AS sample_id, {_STAGE_SQL} AS queue
 sp AS (SELECT *, CASE WHEN fa > 0 AND st = 0 THEN 'stuck' WHEN depth >= 3 THEN 'backlogged' WHEN st > 0 THEN 'draining' ELSE 'waiting' END AS pressure_status FROM sq)"""
 
 
+def _hours(spark: SparkSession, folder: str) -> DataFrame:
+    return load_view(spark, folder, "v_events").withColumn("sample_id", F.date_trunc("hour", "created_at")).withColumn("queue", history.logical_stage(F.col("stage")))
+
+
 def _samples(spark: SparkSession, folder: str) -> DataFrame:
-    events = load_view(spark, folder, "v_events").withColumn("sample_id", F.date_trunc("hour", "created_at")).withColumn("queue", history.logical_stage(F.col("stage")))
+    events = _hours(spark, folder)
     per_queue = events.groupBy("sample_id", "queue").agg(
         F.count(F.lit(1)).alias("depth"), F.count_if(F.col("event") == "started").alias("st"), F.count_if(F.col("event") == "failed").alias("fa")
     )
     status = F.when((F.col("fa") > 0) & (F.col("st") == 0), "stuck").when(F.col("depth") >= 3, "backlogged").when(F.col("st") > 0, "draining").otherwise("waiting")
-    queues = per_queue.groupBy("sample_id").agg(
+    return per_queue.groupBy("sample_id").agg(
         F.map_from_entries(F.collect_list(F.struct("queue", F.struct(F.col("depth"), status.alias("pressure_status"))))).alias("queues"),
         F.flatten(F.collect_list(F.when(F.col("fa") > 1, F.array(F.lit("failures"), F.col("queue"))).otherwise(F.array().cast("array<string>")))).alias("alerts"),
     )
-    workers = events.groupBy("sample_id", "audit_id").agg(F.count_if(F.col("event") == "started").alias("active_tasks"), F.count_if(F.col("event") != "dispatched").alias("concurrency"))
-    listed = workers.groupBy("sample_id").agg(
-        F.collect_list(F.struct(F.when(F.col("audit_id") % 4 > 0, F.concat(F.lit("p"), (F.col("audit_id") % 4).cast("string"))).alias("profile"), "active_tasks", "concurrency")).alias("workers")
-    )
-    return queues.join(listed, "sample_id")
+
+
+def _workers(spark: SparkSession, folder: str) -> DataFrame:
+    workers = _hours(spark, folder).groupBy("sample_id", "audit_id").agg(F.count_if(F.col("event") == "started").alias("active_tasks"), F.count_if(F.col("event") != "dispatched").alias("concurrency"))
+    return workers.withColumn("profile", F.when(F.col("audit_id") % 4 > 0, F.concat(F.lit("p"), (F.col("audit_id") % 4).cast("string"))))
 
 
 @CATALOG.query("backlog_summary", _E + "," + _SAMPLES + f" SELECT queue, pressure_status, {big('count(*)')} AS samples, {big('max(depth)')} AS max_depth FROM sp GROUP BY ALL")
@@ -252,7 +256,7 @@ def backlog_totals(spark: SparkSession, folder: str) -> DataFrame:
 p AS (SELECT sample_id, CASE WHEN audit_id % 4 > 0 THEN 'profile:p' || (audit_id % 4) ELSE 'profile:unassigned' END AS scope, sum(a) AS a, sum(c) AS c FROM w GROUP BY ALL UNION ALL SELECT sample_id, 'overall', sum(a), sum(c) FROM w GROUP BY ALL)
 SELECT scope, {big('count(*)')} AS sample_count, {rnd('avg(a)', 2)} AS average_active_tasks, {rnd('avg(c)', 2)} AS average_estimated_concurrency, {rnd('avg(a * 1e0 / nullif(c, 0))', 2)} AS average_active_utilization_ratio, {rnd('coalesce(max(a * 1e0 / nullif(c, 0)), 0e0)', 2)} AS peak_active_utilization_ratio FROM p GROUP BY scope""")
 def worker_utilization(spark: SparkSession, folder: str) -> DataFrame:
-    return history.worker_utilization(_samples(spark, folder))
+    return history.worker_utilization(_workers(spark, folder))
 
 
 @CATALOG.query("alert_counts", _E + "," + _SAMPLES + f""" SELECT 'failures' AS code, {big('count(*)')} AS n FROM sp WHERE fa > 1 UNION ALL SELECT queue, {big('count(*)')} FROM sp WHERE fa > 1 GROUP BY queue

@@ -7,7 +7,7 @@ from the same rules.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as tx
@@ -282,20 +282,22 @@ _QUERY_TAIL = "' the price Moscow'"
 
 
 def page_query(spark: SparkSession, folder: str) -> DataFrame:
-    rows = snapshots(spark, folder)
-    leads = rows.filter(F.col("page_id") % 10 == 0).select(
-        (F.col("page_id") / 10).cast("bigint").alias("grp"), F.concat(F.array_join(F.slice(tx.tokens(F.col("document.title")), 1, 3), " "), F.lit(" the price Moscow")).alias("query")
-    )
-    return rows.withColumn("grp", F.floor(F.col("page_id") / 10)).join(leads, "grp").withColumn("semantic_similarity", (F.col("page_id") % 11) / 10.0)
+    """Snapshots with the query of their group of ten pages; every page is parsed once, the lead hands its title to the group."""
+    rows = snapshots(spark, folder).withColumn("grp", F.floor(F.col("page_id") / 10))
+    lead = F.max(F.when(F.col("page_id") % 10 == 0, F.col("document.title"))).over(Window.partitionBy("grp"))
+    named = rows.withColumn("_lead", lead).filter(F.col("_lead").isNotNull())
+    query = F.concat(F.array_join(F.slice(tx.tokens(F.col("_lead")), 1, 3), " "), F.lit(" the price Moscow"))
+    return named.withColumn("query", query).drop("_lead").withColumn("semantic_similarity", (F.col("page_id") % 11) / 10.0)
 
 
 _STEMS = lambda text: _STEM_SQL(f"lower({text})")
+_MATCHED = """SELECT *, list_sum(list_transform(q, lambda t: len(list_filter(b, lambda x: x = t)))) AS tc, len(list_filter(q, lambda t: list_contains(b, t))) AS tm, list_sum(list_transform(q, lambda t: len(list_filter(ti, lambda x: x = t)))) AS tt,
+  list_sum(list_transform(q, lambda t: len(list_filter(hd, lambda x: x = t)))) AS th, list_sum(list_transform(q, lambda t: len(list_filter(b[1:200], lambda x: x = t)))) AS te,
+  len(list_filter(q, lambda t: list_contains(ti, t))) * 1e0 / len(q) AS tcov, len(list_filter(q, lambda t: list_contains(hd, t))) * 1e0 / len(q) AS hcov, len(q) AS ql FROM q0"""
 _PQ_SQL = _STATS_SQL + f""",
 ql AS (SELECT page_id // 10 AS grp, array_to_string({_TOKENS('title')}[1:3], ' ') || {_QUERY_TAIL} AS query FROM pg WHERE page_id % 10 = 0),
 q0 AS (SELECT ts.*, ql.query, lower(ql.query) AS ph, {_STEMS('ql.query')} AS q, {_STEMS('text')} AS b, {_STEMS('title')} AS ti, {_STEMS('descr')} AS me, {_STEMS("h1 || ' ' || h2 || ' ' || h3")} AS hd, (page_id % 11) / 1e1 AS sim FROM ts JOIN ql ON ts.page_id // 10 = ql.grp),
-q1 AS (SELECT *, list_sum(list_transform(q, lambda t: len(list_filter(b, lambda x: x = t)))) AS tc, len(list_filter(q, lambda t: list_contains(b, t))) AS tm, list_sum(list_transform(q, lambda t: len(list_filter(ti, lambda x: x = t)))) AS tt,
-  list_sum(list_transform(q, lambda t: len(list_filter(hd, lambda x: x = t)))) AS th, list_sum(list_transform(q, lambda t: len(list_filter(b[1:200], lambda x: x = t)))) AS te,
-  len(list_filter(q, lambda t: list_contains(ti, t))) * 1e0 / len(q) AS tcov, len(list_filter(q, lambda t: list_contains(hd, t))) * 1e0 / len(q) AS hcov, len(q) AS ql FROM q0)"""
+q1 AS ({_MATCHED})"""
 _MATCH = {
     "query_term_count": big("tc"), "query_term_matches": big("tm"), "title_query_term_count": big("tt"), "query_terms_in_headings": big("th"), "first_200_words_query_term_count": big("te"),
     "keyword_coverage_ratio": rnd("tm * 1e0 / ql", 6), "title_keyword_coverage_ratio": rnd("tcov", 6), "heading_query_coverage_ratio": rnd("hcov", 6), "query_density": rnd("tc * 1e0 / word_count", 6),
@@ -383,13 +385,14 @@ def _boost(score: str, words, by: str) -> str:
 
 from rankloom.functions import lexicons as _lx  # noqa: E402
 
-_INTENT_SQL = f"""q AS (SELECT p_partkey, {_INTENT_QUERY} AS query FROM part), t AS (SELECT *, {_TOKENS('query')} AS t FROM q),
+_INTENT_STEPS = f"""t AS (SELECT *, {_TOKENS('query')} AS t FROM q),
 k AS (SELECT *, {_kw(DEFAULT_LEXICON.commercial)} AS c, {_kw((*DEFAULT_LEXICON.local, *DEFAULT_LEXICON.geo_terms))} AS l, {_kw((*DEFAULT_LEXICON.helper, *DEFAULT_LEXICON.informational))} AS i, {_kw(DEFAULT_LEXICON.navigational)} AS n FROM t),
 s AS (SELECT * REPLACE ({_boost('c', _lx.COMMERCIAL_BOOST, '2e-1')} AS c, {_boost('l', _lx.LOCAL_BOOST, '25e-2')} AS l, {_boost('i', _lx.INFORMATIONAL_BOOST, '2e-1')} AS i, {_boost('n', _lx.NAVIGATIONAL_BOOST, '2e-1')} AS n) FROM k),
 o AS (SELECT *, list_reverse_sort([{rnd('c', 6)}, {rnd('l', 6)}, {rnd('i', 6)}, {rnd('n', 6)}]) AS o FROM s),
 it AS (SELECT p_partkey, query, CASE WHEN c >= 2e-1 AND l >= 2e-1 THEN 'local_commercial' WHEN greatest(c, i, n) < 15e-2 THEN 'other' WHEN c >= i AND c >= n THEN 'commercial' WHEN i >= n THEN 'informational' ELSE 'navigational' END AS intent_label,
   {rnd('o[1] - o[2]', 6)} AS intent_confidence, {rnd('c', 6)} AS commercial_intent_score, {rnd('l', 6)} AS local_intent_score, {rnd('i', 6)} AS informational_intent_score, {rnd('n', 6)} AS navigational_intent_score,
   CASE WHEN l >= 2e-1 THEN 1 ELSE 0 END AS query_local_modifier, CASE WHEN c >= 2e-1 THEN 1 ELSE 0 END AS query_commercial_modifier, CASE WHEN i >= 2e-1 THEN 1 ELSE 0 END AS query_informational_modifier, CASE WHEN n >= 2e-1 THEN 1 ELSE 0 END AS query_navigational_modifier FROM o)"""
+_INTENT_SQL = f"q AS (SELECT p_partkey, {_INTENT_QUERY} AS query FROM part), " + _INTENT_STEPS
 
 
 def _intents(spark: SparkSession, folder: str) -> DataFrame:
@@ -403,13 +406,18 @@ def query_intent(spark: SparkSession, folder: str) -> DataFrame:
 
 _W = lambda table: "(" + " + ".join(f"{n} * {w}" for n, w in table.items()) + ")"
 _E = lambda table: _W({n: f"CAST({w} AS DOUBLE)" for n, w in table.items()})
-_ALIGN_SQL = view_cte("v_rows") + "," + _INTENT_SQL + f""",
-a0 AS (SELECT r.*, intent_label, {_E(pf.COMMON_ALIGNMENT)} AS cm, {_E(pf.COMMERCIAL_SUPPORT)} AS co, {_E(pf.LOCAL_SUPPORT)} AS lo, {_E(pf.TECHNICAL_SUPPORT)} AS te,
+_ALIGNED = f"""
+a0 AS (SELECT r.*, it.* EXCLUDE (query, p_partkey), {_E(pf.COMMON_ALIGNMENT)} AS cm, {_E(pf.COMMERCIAL_SUPPORT)} AS co, {_E(pf.LOCAL_SUPPORT)} AS lo, {_E(pf.TECHNICAL_SUPPORT)} AS te,
   content_depth_semantic_score * 35e-2 + semantic_content_richness * 3e-1 + least(heading_count / 6e0, 1e0) * 2e-1 + faq_present * 15e-2 AS inf FROM v_rows r JOIN it ON r.query = CAST(it.p_partkey AS VARCHAR)),
 a1 AS (SELECT *, {clip('cm * 45e-2 + co * 4e-1 + te * 15e-2', '0e0', '1e0')} AS ac, {clip('cm * 3e-1 + co * 25e-2 + lo * 3e-1 + te * 15e-2', '0e0', '1e0')} AS al, {clip('cm * 45e-2 + inf * 4e-1 + te * 15e-2', '0e0', '1e0')} AS ai,
-  {clip('cm * 35e-2 + te * 45e-2 + co * 2e-1', '0e0', '1e0')} AS an, {clip('(cm + te) / 2e0', '0e0', '1e0')} AS ao FROM a0)
-SELECT query, url, CASE WHEN intent_label = 'commercial' THEN 1 ELSE 0 END AS intent_is_commercial, CASE WHEN intent_label = 'navigational' THEN 1 ELSE 0 END AS intent_is_navigational, {rnd('ac', 6)} AS commercial_intent_alignment, {rnd('al', 6)} AS local_intent_alignment,
-  {rnd('ai', 6)} AS informational_intent_alignment, {rnd('an', 6)} AS navigational_intent_alignment, {rnd("CASE intent_label WHEN 'commercial' THEN ac WHEN 'local_commercial' THEN al WHEN 'informational' THEN ai WHEN 'navigational' THEN an ELSE ao END", 6)} AS intent_alignment_score FROM a1"""
+  {clip('cm * 35e-2 + te * 45e-2 + co * 2e-1', '0e0', '1e0')} AS an, {clip('(cm + te) / 2e0', '0e0', '1e0')} AS ao FROM a0)"""
+_ALIGNMENT = {
+    **{f"intent_is_{n}": f"CASE WHEN intent_label = '{n}' THEN 1 ELSE 0 END" for n in ("commercial", "local_commercial", "informational", "navigational")},
+    "commercial_intent_alignment": rnd("ac", 6), "local_intent_alignment": rnd("al", 6), "informational_intent_alignment": rnd("ai", 6), "navigational_intent_alignment": rnd("an", 6),
+    "intent_alignment_score": rnd("CASE intent_label WHEN 'commercial' THEN ac WHEN 'local_commercial' THEN al WHEN 'informational' THEN ai WHEN 'navigational' THEN an ELSE ao END", 6),
+}
+_SHOWN = ("intent_is_commercial", "intent_is_navigational", "commercial_intent_alignment", "local_intent_alignment", "informational_intent_alignment", "navigational_intent_alignment", "intent_alignment_score")
+_ALIGN_SQL = view_cte("v_rows") + "," + _INTENT_SQL + "," + _ALIGNED + " SELECT query, url, " + ", ".join(f"{_ALIGNMENT[n]} AS {n}" for n in _SHOWN) + " FROM a1"
 
 
 @CATALOG.query("intent_alignment", _ALIGN_SQL)
@@ -543,6 +551,38 @@ def analysis_text(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("query", "position", "url", pf.analysis_text(text, F.col("title"), F.col("snippet"), F.col("url")).alias("analysis_text"))
 
 
-@CATALOG.query("audit_features")
+# All feature families of a page for its query, from the steps above.
+_TECH_HEAD, _TECH_TAIL = _TECH_SQL.split("\nSELECT page_id, ", 1)
+_TRUST_HEAD, _TRUST_TAIL = _TRUST_SQL.split("\nSELECT page_id, ", 1)
+_HEAVY = {
+    **_SD, "structured_data_score": "sd", "mobile_viewport_present": "vp", "mobile_readiness_score": "mobile_readiness_score", "rendering_browser_fetch_used": "br", "rendering_js_dependency_risk": "rendering_js_dependency_risk",
+    "rendering_text_html_ratio": rnd("ra", 6), "rendering_score": "rendering_score", "performance_html_size_kb": "kb", "performance_dom_node_count": "dom_node_count", "performance_script_count": "script_count",
+    "performance_stylesheet_count": "stylesheet_count", "performance_image_count": "ni", "performance_response_time_ms": "ms", "performance_resource_complexity_score": "performance_resource_complexity_score",
+    "performance_proxy_score": "performance_proxy_score", "heavy_analysis_overall_score": "heavy_analysis_overall_score", "heavy_analysis_available": "1", "structured_data_json_ld_count": "njson",
+}
+_EXTRA = {
+    "semantic_similarity": "sim", "title_semantic_alignment": rnd("sim * tcov", 6), "heading_semantic_alignment": rnd("sim * hcov", 6),
+    "cta_semantic_score": rnd(f"{_COMP['conversion_signal_score']} * sim", 6), "page_query": "query",
+}
+_INTENTS = ("intent_confidence", "commercial_intent_score", "local_intent_score", "informational_intent_score", "navigational_intent_score", "query_local_modifier")
+_AUDIT_STEPS = _CORE_SQL + "," + _TECH_HEAD[len(SNAP_SQL) + 1:] + "," + _TRUST_HEAD[len(SNAP_SQL) + 1:] + "," + _HEAVY_SQL[len(SNAP_SQL) + 1:] + f""",
+f1 AS (SELECT page_id, {', '.join(f'{e} AS {n}' for n, e in {**_STATS, **_MATCH, **_CORE, **_COMP, **_EXTRA}.items())} FROM q4),
+f2 AS (SELECT page_id, {_TECH_TAIL}), f3 AS (SELECT page_id, {_TRUST_TAIL}), f4 AS (SELECT page_id, {', '.join(f'{e} AS {n}' for n, e in _HEAVY.items())} FROM h3),
+v_rows AS (SELECT CAST(page_id AS VARCHAR) AS query, * FROM f1 JOIN f2 USING (page_id) JOIN f3 USING (page_id) JOIN f4 USING (page_id)),
+q AS (SELECT page_id AS p_partkey, query FROM q4), {_INTENT_STEPS},{_ALIGNED}"""
+AUDIT_COLUMNS = tuple(dict.fromkeys([
+    *_STATS, *_MATCH, *_CORE, *_COMP, *[n for n in _EXTRA if n != "page_query"], "http_status_code", "redirect_count", "canonical_present", "canonical_matches_final_url", "robots_noindex", "robots_nofollow", "page_indexable",
+    "viewport_present", "hreflang_count", "url_depth", "url_parameter_count", "redirect_efficiency_score", "url_hygiene_score", "technical_metadata_score", "canonical_signal_score", "technical_seo_score",
+    *pf.COMMERCIAL_COLUMNS, *_HEAVY, *_INTENTS, *_ALIGNMENT,
+]))
+AUDIT_SQL = _AUDIT_STEPS + f", au AS (SELECT page_id, page_query AS query, {', '.join(f'CAST({_ALIGNMENT.get(c, c)} AS DOUBLE) AS {c}' for c in AUDIT_COLUMNS)} FROM a1)"
+
+
+def audited(spark: SparkSession, folder: str) -> DataFrame:
+    rows = pf.audit_features(page_query(spark, folder))
+    return rows.select("page_id", "query", *[F.col(c).cast("double").alias(c) for c in AUDIT_COLUMNS])
+
+
+@CATALOG.query("audit_features", AUDIT_SQL + " SELECT * FROM au")
 def audit_features(spark: SparkSession, folder: str) -> DataFrame:
-    return pf.audit_features(page_query(spark, folder))
+    return audited(spark, folder)

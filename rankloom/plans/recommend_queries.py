@@ -34,7 +34,7 @@ def prepared(spark: SparkSession, folder: str) -> DataFrame:
 _HEAD, _TAIL = _TARGET_ORACLE.split("\nSELECT query AS audit_id", 1)
 _BASE = _HEAD + ",\nrel AS (SELECT query AS audit_id" + _TAIL + ")," + rq.TM_SQL + f""",
 ow AS (SELECT t3.*, target_score AS page_score, high AND kw >= 99e-2 AS sure, rel.* EXCLUDE (audit_id) FROM t3 JOIN o_own o ON t3.query = o.query AND t3.url = o.own_url JOIN rel ON rel.audit_id = t3.query),
-bn AS (SELECT v.query, count(*) AS pc, CASE WHEN count(*) >= 2 THEN avg(target_score) END AS ca, {', '.join(f"CASE WHEN count(*) >= 2 THEN quantile_cont({rnd(m, 4)}, {'75e-2' if recommend.METRICS[m][0] == 'up' else '25e-2'}) END AS b_{m}" for m in _HAVE)}
+bn AS (SELECT v.query, count(*) AS pc, CASE WHEN count(*) >= 2 THEN avg(target_score) END AS ca, {', '.join(f"CASE WHEN count(*) >= 2 THEN quantile_cont(CAST({m} AS DOUBLE), {'75e-2' if recommend.METRICS[m][0] == 'up' else '25e-2'}) END AS b_{m}" for m in _HAVE)}
   FROM v_rows v JOIN o_own o ON v.query = o.query AND v.url <> o.own_url GROUP BY v.query),
 pp AS (SELECT ow.*, coalesce(pc, 0) AS pc, ca, {', '.join(f'b_{m}' for m in _HAVE)} FROM ow LEFT JOIN bn ON ow.query = bn.query)"""
 

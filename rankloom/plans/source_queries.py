@@ -7,6 +7,7 @@ them back through the same typing code the file readers use.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +17,12 @@ from rankloom.operators import page_features as pf
 from rankloom.plans import dataset_queries as dq
 from rankloom.plans import evaluation_queries as eq
 from rankloom.plans import page_queries as pq
+from rankloom.functions.numeric import rnd as rnd_column
 from rankloom.plans.oracle_text import big, rnd
 from rankloom.plans.registry import Catalog
-from rankloom.session import shared_folder
+from rankloom.session import kept, shared_folder
 from rankloom.sources import scans
+from rankloom.sources.tables import read_table
 from rankloom.sources.views import FEATURES, load_view, view_cte
 from rankloom.streaming import events as stream_events
 from rankloom.streaming.ingest import ingest, read_ingested
@@ -32,15 +35,26 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/rankloom-{name}-{uuid.uuid4().hex}"
 
 
+# Files as crawlers and people leave them: quotes, commas and line breaks in quoted cells, byte order marks, numbers that are none.
 _TEXTUAL = {
-    "query": "query", "url": "url", "fetch_status": "CASE WHEN rank % 4 = 0 THEN '' ELSE fetch_status END", "word_count": "CASE WHEN rank % 6 = 0 THEN '' WHEN rank % 7 = 0 THEN 'n/a' ELSE CAST(CAST(word_count AS BIGINT) AS STRING) END",
+    "query": "query", "url": "url", "title": "CASE WHEN rank % 5 = 0 THEN CONCAT(title, chr(10), '\"quoted\", ', query) WHEN rank % 5 = 1 THEN '' ELSE title END",
+    "fetch_status": "CASE WHEN rank % 4 = 0 THEN '' ELSE fetch_status END", "word_count": "CASE WHEN rank % 6 = 0 THEN '' WHEN rank % 7 = 0 THEN 'n/a' ELSE CAST(CAST(word_count AS BIGINT) AS STRING) END",
 }
 
 
-@CATALOG.query("scan_dataset", view_cte("v_rows") + f" SELECT query, url, CASE WHEN rank % 6 = 0 OR rank % 7 = 0 THEN 0e0 ELSE word_count END AS word_count FROM v_rows WHERE rank % 4 = 0 OR fetch_status <> 'failed'")
+def _write_csv(rows: DataFrame, target: str, mark: bool = False) -> None:
+    """CSV with a header in every file; ``mark`` puts a byte order mark in front of it."""
+    first = rows.columns[0]
+    named = rows.withColumnRenamed(first, f"\ufeff{first}") if mark else rows
+    named.write.csv(target, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+@CATALOG.query("scan_dataset", view_cte("v_rows") + f""" SELECT query, url, {_TEXTUAL['title']} AS title, CASE WHEN rank % 6 = 0 OR rank % 7 = 0 THEN 0e0 ELSE word_count END AS word_count FROM v_rows WHERE rank % 4 = 0 OR fetch_status <> 'failed'""")
 def scan_dataset(spark: SparkSession, folder: str) -> DataFrame:
+    target = _scratch(spark, "dataset")
     raw = load_view(spark, folder, "v_rows").select(*[F.expr(e).alias(n) for n, e in _TEXTUAL.items()])
-    return scans.typed_dataset(raw, ["word_count"]).select("query", "url", "word_count")
+    _write_csv(raw, target)
+    return scans.scan_dataset(spark, target, raw.schema, ["word_count"]).select("query", "url", F.coalesce("title", F.lit("")).alias("title"), "word_count")
 
 
 _SEED_TEXT = {
@@ -49,87 +63,176 @@ _SEED_TEXT = {
     "region_code": "CASE WHEN p_partkey % 5 = 0 THEN '' ELSE CAST(p_size AS STRING) END", "top_n": "CASE WHEN p_partkey % 6 = 0 THEN '' WHEN p_partkey % 6 = 1 THEN '0' ELSE CAST(p_size AS STRING) END",
     "pages_to_scan": "CASE WHEN p_partkey % 7 = 0 THEN '-2' WHEN p_partkey % 7 = 1 THEN '' ELSE '3' END",
 }
-_SEED_TEXT["query"] = _SEED_TEXT["query"].replace("U&", "'﻿'")
+_SEED_TEXT["query"] = _SEED_TEXT["query"].replace("U&", "'\ufeff'")
 
 
 @CATALOG.query("scan_seeds", f"""SELECT p_name || ' ' || p_partkey AS query, p_brand AS category, CASE WHEN p_partkey % 3 = 0 THEN 'commercial' ELSE lower(p_type) END AS intent, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE 'Kazan' END AS city,
   CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_size END AS region_code, CASE WHEN p_partkey % 6 < 2 THEN 10 ELSE p_size END AS top_n, CASE WHEN p_partkey % 7 < 2 THEN 1 ELSE 3 END AS pages_to_scan FROM part WHERE p_partkey % 50 <> 0""")
 def scan_seeds(spark: SparkSession, folder: str) -> DataFrame:
-    from rankloom.sources.tables import read_table
-
-    raw = read_table(spark, folder, "part").select(*[F.expr(e).alias(n) for n, e in _SEED_TEXT.items()])
-    return scans.typed_seeds(raw)
+    target = _scratch(spark, "seeds")
+    _write_csv(read_table(spark, folder, "part").select(*[F.expr(e).alias(n) for n, e in _SEED_TEXT.items()]), target, mark=True)
+    return scans.scan_seeds(spark, target)
 
 
-@CATALOG.query("scan_labels", view_cte("v_doc_labels") + f""", r AS (SELECT query, url, line_no, line_no % 50 AS k, CASE WHEN line_no % 9 = 0 THEN NULL ELSE expert_target_score END AS s FROM v_doc_labels), m AS (SELECT query, 'u' || k AS url, line_no, s FROM r WHERE s IS NOT NULL)
-SELECT query, url, arg_max(s, line_no) AS expert_target_score FROM m GROUP BY query, url""")
+@CATALOG.query("scan_labels", view_cte("v_doc_labels") + f""", r AS (SELECT query, 'u' || (line_no % 50) AS url, 1 AS file, line_no, CASE WHEN line_no % 9 = 0 THEN NULL ELSE expert_target_score END AS s FROM v_doc_labels
+  UNION ALL SELECT query, 'u' || (line_no % 50), 2, line_no, expert_target_score / 2e0 FROM v_doc_labels WHERE line_no % 3 = 0)
+SELECT query, url, arg_max(s, (file, line_no)) AS expert_target_score FROM r WHERE s IS NOT NULL GROUP BY query, url""")
 def scan_labels(spark: SparkSession, folder: str) -> DataFrame:
-    raw = load_view(spark, folder, "v_doc_labels").select(
-        F.concat(F.lit(" "), "query").alias("query"), F.concat(F.lit("u"), (F.col("line_no") % 50).cast("string"), F.lit(" ")).alias("url"), "line_no",
-        F.when(F.col("line_no") % 9 == 0, "bad").otherwise(F.col("expert_target_score").cast("string")).alias("expert_target_score"),
+    """Two label files, the later one correcting the earlier; some scores are no numbers."""
+    target = _scratch(spark, "labels")
+    rows = load_view(spark, folder, "v_doc_labels").select(
+        F.concat(F.lit(" "), "query").alias("query"), F.concat(F.lit("u"), (F.col("line_no") % 50).cast("string"), F.lit(" ")).alias("url"), "line_no", "expert_target_score"
     )
-    return scans.typed_labels(raw, "line_no").select("query", "url", "expert_target_score")
+    score = lambda value: [value.alias("expert_target_score"), F.lit("expert").alias("label_source"), F.lit("").alias("labeler"), F.lit("a, b").alias("notes")]
+    first = F.when(F.col("line_no") % 9 == 0, "bad").otherwise(F.col("expert_target_score").cast("string"))
+    _write_csv(rows.orderBy("line_no").select("query", "url", *score(first)), f"{target}/1", mark=True)
+    _write_csv(rows.filter("line_no % 3 = 0").orderBy("line_no").select("query", "url", *score((F.col("expert_target_score") / 2).cast("string"))), f"{target}/2")
+    return scans.scan_labels(spark, f"{target}/*").select("query", "url", "expert_target_score")
 
 
-@CATALOG.query("scan_snapshots")
-def scan_snapshots(spark: SparkSession, folder: str) -> DataFrame:
-    """Snapshots written as JSON lines, read back with their file name and joined to the rows that cite them."""
-    target = _scratch(spark, "snapshots")
-    pages = pq.snapshots(spark, folder).select("requested_url", "final_url", "status_code", "text")
-    pages.write.mode("overwrite").json(target)
-    found = scans.scan_snapshots(spark, target, pages.schema, multi_line=False)
-    return found.select("snapshot.requested_url", "snapshot.status_code", F.length("snapshot.text").alias("text_length"))
+_ARTIFACT = "CASE WHEN page_id % 13 = 5 THEN CAST(NULL AS STRING) WHEN page_id % 17 = 4 THEN CONCAT('store/gone-', CAST(page_id AS STRING), '.json') ELSE CONCAT('store/snap-', CAST(page_id AS STRING), '.json') END"
 
 
-@CATALOG.query("append_new_rows", view_cte("v_raw_serp") + " SELECT DISTINCT query, url FROM v_raw_serp WHERE trim(url) <> '' AND (query, url) NOT IN (SELECT query, url FROM v_raw_serp WHERE position % 3 = 0)")
+@CATALOG.query("scan_snapshots", pq.SNAP_SQL + """ SELECT page_id, CASE WHEN found THEN fin END AS final_url, CASE WHEN found THEN status_code END AS status_code, CASE WHEN found THEN title END AS title, CASE WHEN found THEN length(text) END AS text_length
+FROM (SELECT *, page_id % 13 <> 5 AND page_id % 17 <> 4 AND page_id % 11 <> 3 AS found FROM pg)""")
+def scan_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """One JSON file a page, some of them cut off, attached to rows of which some cite no file or one that is not there."""
+    target = _scratch(spark, "snapshots")
+    pages = pq.snapshots(spark, folder)
+    body = pages.select("page_id", "requested_url", "final_url", "status_code", "text", F.struct("document.title", "document.lang").alias("document"))
+    text = F.to_json(F.struct(*[c for c in body.columns if c != "page_id"]), {"pretty": "true"})
+    cut_off = F.when(F.col("page_id") % 11 == 3, F.substring(text, 1, 40)).otherwise(text)
+    named = body.select(cut_off.alias("value"), F.concat(F.lit("snap-"), F.col("page_id").cast("string"), F.lit(".json")).alias("artifact"))
+    named.repartition("artifact").write.partitionBy("artifact").text(target)
+    found = scans.scan_snapshots(spark, target, body.drop("page_id").schema, name="artifact=([^/]+)/")
+    rows = read_table(spark, folder, "pages").select("page_id", F.expr(_ARTIFACT).alias("artifact_path"))
+    attached = scans.attach_snapshots(rows, found)
+    return attached.select("page_id", "snapshot.final_url", "snapshot.status_code", "snapshot.document.title", F.length("snapshot.text").cast("bigint").alias("text_length"))
+
+
+@CATALOG.query("append_new_rows", view_cte("v_raw_serp") + f""" SELECT query, url, CASE WHEN bool_or(position % 3 = 0) THEN 'first' ELSE 'second' END AS run_id, {big('1')} AS copies FROM v_raw_serp WHERE trim(url) <> '' GROUP BY query, url""")
 def append_new_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """A part of the rows is stored by a first run, all by a second one that is written twice, again all by a third."""
+    target = _scratch(spark, "appended")
     rows = load_view(spark, folder, "v_raw_serp").select("query", "url", "position")
-    return datasets.append_new(rows, rows.filter(F.col("position") % 3 == 0)).select("query", "url")
+    for run_id, batch in (("first", rows.filter(F.col("position") % 3 == 0)), ("second", rows), ("second", rows), ("third", rows)):
+        scans.append_new_rows(batch, spark, target, run_id)
+    return scans.read_stored(spark, target).groupBy("query", "url", "run_id").agg(F.count(F.lit(1)).alias("copies"))
 
 
-@CATALOG.query("rewrite_version", view_cte("v_rows") + f" SELECT 'dataset-v4' AS dataset_version, 'v3' AS feature_schema_version, category, {big('count(*)')} AS rows FROM v_rows GROUP BY category")
+@CATALOG.query("rewrite_version", view_cte("v_rows") + f" SELECT version AS dataset_version, 'v3' AS feature_schema_version, category, {big('count(*)')} AS rows FROM v_rows, (VALUES ('dataset-v3'), ('dataset-v4')) z(version) GROUP BY ALL")
 def rewrite_version(spark: SparkSession, folder: str) -> DataFrame:
-    rows = scans.rewrite_version(load_view(spark, folder, "v_rows"), "dataset-v4", feature_schema_version="v3")
-    return rows.groupBy("dataset_version", "feature_schema_version", "category").agg(F.count(F.lit(1)).alias("rows"))
+    """Two versions side by side, the second one written twice."""
+    target = _scratch(spark, "versions")
+    rows = load_view(spark, folder, "v_rows").select("query", "url", "category")
+    for version in ("dataset-v3", "dataset-v4", "dataset-v4"):
+        scans.rewrite_version(rows, version, target, feature_schema_version="v3")
+    return scans.read_stored(spark, target).groupBy("dataset_version", "feature_schema_version", "category").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@CATALOG.query("write_manifest")
+@CATALOG.query("write_manifest", dq.CATALOG.oracles["dataset_manifest"])
 def write_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    return scans.manifest_json(dq._manifest(spark, folder))
+    """The manifest as a JSON file, written twice, beside that of an earlier run, and read back."""
+    target = _scratch(spark, "manifest")
+    manifest = dq.CATALOG.queries["dataset_manifest"](spark, folder)
+    for run_id, table in (("earlier", manifest.limit(0)), ("now", manifest), ("now", manifest)):
+        scans.write_manifest(table, target, run_id)
+    return scans.read_manifest(spark, target, "now", manifest.schema)
 
 
 # --- dataset features ---------------------------------------------------------
-_CORE_COLUMNS = (
-    "query_core_term_count", "query_core_term_matches", "query_core_keyword_coverage_ratio", "query_core_phrase_count", "query_core_phrase_present",
-    "query_intent_modifier_count", "query_intent_modifier_matches", "query_intent_modifier_coverage_ratio",
-)
+# Pages play labelled rows; some have no snapshot, and the result's own words stand in.
+_LABELLED = {
+    "url": "requested_url", "title": "CONCAT('Result ', CAST(page_id % 3 AS STRING), ' Moscow price')", "snippet": "CASE WHEN page_id % 4 = 0 THEN '  ' ELSE 'the best price' END", "domain": "CONCAT('shop', CAST(page_id % 5 AS STRING), '.example')",
+    "artifact_id": "CASE WHEN page_id % 10 = 9 THEN CAST(NULL AS BIGINT) WHEN page_id % 10 = 8 THEN -page_id ELSE page_id END",
+}
+_CORE_STEPS = pq._PQ_SQL + f""",
+lb AS (SELECT page_id, query, {', '.join(f'{e} AS {n}' for n, e in _LABELLED.items())} FROM q1),
+sn AS (SELECT page_id AS artifact_id, concat_ws(' ', nullif(trim(text), ''), nullif(trim(title), '')) AS said FROM pg),
+cx AS (SELECT lb.page_id, lb.query, lb.url, coalesce(said, '') AS said, {pq._STEMS('lb.query')} AS q,
+  {pq._STEMS("concat_ws(' ', nullif(said, ''), lb.title, nullif(trim(snippet), ''), lb.url, lb.domain)")} AS b FROM lb LEFT JOIN sn USING (artifact_id)),
+cy AS (SELECT *, list_filter(q, lambda t: NOT list_contains({pq._words(pq.DEFAULT_LEXICON.non_core_terms)}, t)) AS core, list_filter(q, lambda t: list_contains({pq._words(pq.DEFAULT_LEXICON.intent_terms)}, t)) AS it FROM cx),
+cz AS (SELECT *, CASE WHEN len(core) > 0 THEN core ELSE q END AS nd FROM cy),
+cw AS (SELECT *, CASE WHEN len(nd) = 0 OR len(nd) > len(b) THEN 0 ELSE len(list_filter(generate_series(1, len(b) - len(nd) + 1), lambda i: b[i:i + len(nd) - 1] = nd)) END AS pc FROM cz),
+co AS (SELECT page_id, query, url, CASE WHEN said = '' THEN 1 ELSE 0 END AS fallback, CAST(coalesce(list_sum(list_transform(core, lambda t: len(list_filter(b, lambda x: x = t)))), 0) AS DOUBLE) AS query_core_term_count,
+  CAST(len(list_filter(core, lambda t: list_contains(b, t))) AS DOUBLE) AS query_core_term_matches, {rnd("CASE WHEN len(nd) > 0 THEN len(list_filter(nd, lambda t: list_contains(b, t))) * 1e0 / len(nd) ELSE 0e0 END", 6)} AS query_core_keyword_coverage_ratio,
+  CAST(pc AS DOUBLE) AS query_core_phrase_count, CASE WHEN pc > 0 THEN 1e0 ELSE 0e0 END AS query_core_phrase_present, CAST(coalesce(list_sum(list_transform(it, lambda t: len(list_filter(b, lambda x: x = t)))), 0) AS DOUBLE) AS query_intent_modifier_count,
+  CAST(len(list_filter(it, lambda t: list_contains(b, t))) AS DOUBLE) AS query_intent_modifier_matches, {rnd("CASE WHEN len(it) > 0 THEN len(list_filter(it, lambda t: list_contains(b, t))) * 1e0 / len(it) ELSE 0e0 END", 6)} AS query_intent_modifier_coverage_ratio FROM cw)"""
+
+
+def _core_rows(spark: SparkSession, folder: str) -> DataFrame:
+    labelled = pq.page_query(spark, folder).select("page_id", "query", *[F.expr(e).alias(n) for n, e in _LABELLED.items()])
+    snapshots = pq.snapshots(spark, folder).withColumnRenamed("page_id", "artifact_id")
+    return pf.query_core_dataset(labelled, snapshots).select("page_id", "query", "url", "fallback", *pf.CORE_COLUMNS)
+
+
+@CATALOG.query("query_core_dataset", _CORE_STEPS + " SELECT * FROM co")
+def query_core_dataset(spark: SparkSession, folder: str) -> DataFrame:
+    return _core_rows(spark, folder)
 
 
-@CATALOG.query("query_core_dataset")
-def query_core_dataset(spark: SparkSession, folder: str) -> DataFrame:
-    rows = pq.page_query(spark, folder).withColumn("text", F.concat_ws(" ", "text", "document.title", "final_url"))
-    return pf.query_core(pf.query_match(pf.text_stats(rows)), use_aliases=False).select("page_id", "query", *_CORE_COLUMNS)
+_FLOOR = lambda f: f"(SELECT {rnd('query_core_keyword_coverage_ratio', 4)} FROM (SELECT query_core_keyword_coverage_ratio, row_number() OVER (ORDER BY query_core_keyword_coverage_ratio) AS rn, count(*) OVER () AS n FROM co) WHERE rn = least(n, floor(n * {f}) + 1))"
+
+
+@CATALOG.query("query_core_report", _CORE_STEPS + f""" SELECT {big('count(*)')} AS rows_count, {big('sum(fallback)')} AS fallback_rows_count, {big('count(*) FILTER (query_core_phrase_present = 1)')} AS rows_with_core_phrase,
+  {rnd('min(query_core_keyword_coverage_ratio)', 4)} AS coverage_min, {_FLOOR('25e-2')} AS coverage_p25, {_FLOOR('5e-1')} AS coverage_p50, {_FLOOR('75e-2')} AS coverage_p75, {_FLOOR('9e-1')} AS coverage_p90, {rnd('max(query_core_keyword_coverage_ratio)', 4)} AS coverage_max FROM co""")
+def query_core_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts taken while the rows are written; coverage percentiles from what was written."""
+    target = _scratch(spark, "query-core")
+    counts = scans.write_observed(_core_rows(spark, folder), target, pf.core_counts())
+    levels = datasets.coverage_levels(spark.read.parquet(target), "query_core_keyword_coverage_ratio")
+    return counts.join(F.broadcast(levels), F.lit(True))
 
 
-@CATALOG.query("enrich_dataset")
+# Rows carry the features of the training table; their snapshot is a page by number, which some do not have.
+_ENRICH_STEPS = pq._HEAVY_SQL + ",\n" + view_cte("v_rows")[5:] + "," + pq._INTENT_SQL + "," + pq._ALIGNED + f""",
+hv AS (SELECT page_id, {', '.join(f'{pq._HEAVY[c]} AS {c}' for c in pf.HEAVY_COLUMNS)} FROM h3),
+en AS (SELECT a1.query, a1.url, CASE WHEN hv.page_id IS NULL THEN 0 ELSE 1 END AS artifact_found, {', '.join(f'CAST(coalesce(hv.{c}, 0) AS DOUBLE) AS {c}' for c in pf.HEAVY_COLUMNS)},
+  {', '.join(f'{pq._ALIGNMENT.get(c, "a1." + c)} AS {c}' for c in pf.ALIGNMENT_COLUMNS)} FROM a1 LEFT JOIN hv ON hv.page_id = CAST(a1.query AS BIGINT) % 300)"""
+
+
+def _enriched(spark: SparkSession, folder: str) -> DataFrame:
+    wording = pq._intents(spark, folder).select(F.col("p_partkey").cast("string").alias("number"), F.col("query").alias("wording"))
+    rows = load_view(spark, folder, "v_rows").withColumnRenamed("query", "number").join(wording, "number").withColumnRenamed("wording", "query")
+    cited = rows.withColumn("artifact_id", F.col("number").cast("bigint") % 300)
+    snapshots = pq.snapshots(spark, folder).withColumnRenamed("page_id", "artifact_id")
+    return pf.enrich_dataset(cited, snapshots).select(F.col("number").alias("query"), "url", "artifact_found", *pf.HEAVY_COLUMNS, *pf.ALIGNMENT_COLUMNS)
+
+
+@CATALOG.query("enrich_dataset", _ENRICH_STEPS + " SELECT * FROM en")
 def enrich_dataset(spark: SparkSession, folder: str) -> DataFrame:
-    """Labelled rows with the heavy and intent columns of their snapshot; rows without one keep nulls."""
-    rows = pq.page_query(spark, folder)
-    labelled = rows.select("page_id", "query", F.when(F.col("page_id") % 10 < 9, F.col("page_id")).alias("artifact_id"))
-    wanted = pf.audit_features(rows).select(F.col("page_id").alias("artifact_id"), *pf.HEAVY_COLUMNS, *pf.ALIGNMENT_COLUMNS)
-    return labelled.join(wanted, "artifact_id", "left").drop("artifact_id")
+    return _enriched(spark, folder)
 
 
-_MATRIX = ("keyword_coverage_ratio", "semantic_similarity", "technical_seo_score", "word_count", "query_core_keyword_coverage_ratio", "commercial_trust_score", "title_present", "link_count")
+@CATALOG.query("enrich_report", _ENRICH_STEPS + f""" SELECT {big('count(*)')} AS rows_count, {big('sum(artifact_found)')} AS source_artifacts_found, {big('count(*) - sum(artifact_found)')} AS source_artifacts_missing,
+  {big('count(*) FILTER (' + ' OR '.join(f'{c} <> 0' for c in pf.HEAVY_COLUMNS) + ')')} AS rows_with_heavy_features, {big('count(*) FILTER (intent_alignment_score > 0)')} AS rows_with_intent_alignment FROM en""")
+def enrich_report(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.write_observed(_enriched(spark, folder), _scratch(spark, "enriched"), pf.enrichment_counts())
 
 
-@CATALOG.query("feature_matrix", view_cte("v_rows") + " SELECT query, url, target_score AS label, " + " || ',' || ".join(f"CAST(CAST(round_even(coalesce(CAST({f} AS DOUBLE), 0e0) * 1e6, 0) AS BIGINT) AS VARCHAR)" for f in _MATRIX) + " AS vector FROM v_rows")
-def feature_matrix(spark: SparkSession, folder: str) -> DataFrame:
+def _vector_sql(features) -> str:
+    return " || ',' || ".join(f"CAST(CAST(round_even(coalesce(CAST({f} AS DOUBLE), 0e0) * 1e6, 0) AS BIGINT) AS VARCHAR)" for f in features)
+
+
+def _vectors(rows: DataFrame, features, keys: list[str]) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
-    rows = pf.feature_matrix(load_view(spark, folder, "v_rows"), _MATRIX, "target_score", ["query", "url"])
+    matrix = pf.feature_matrix(rows, features, "target_score", keys)
     parts = F.transform(vector_to_array("features"), lambda v: F.rint(v * 1e6).cast("bigint").cast("string"))
-    return rows.select("query", "url", "label", F.array_join(parts, ",").alias("vector"))
+    return matrix.select(*keys, "label", F.array_join(parts, ",").alias("vector"))
+
+
+@CATALOG.query("feature_matrix", view_cte("v_rows") + f" SELECT query, url, target_score AS label, {_vector_sql(FEATURES)} AS vector FROM v_rows")
+def feature_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    """Every feature column of the training view."""
+    return _vectors(load_view(spark, folder, "v_rows"), FEATURES, ["query", "url"])
+
+
+@CATALOG.query("feature_matrix_pages", pq.AUDIT_SQL + f" SELECT page_id, query, CAST(page_id * 7 % 101 AS DOUBLE) AS label, {_vector_sql(pq.AUDIT_COLUMNS)} AS vector FROM au")
+def feature_matrix_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every feature that is measured on a page."""
+    rows = pq.audited(spark, folder).withColumn("target_score", (F.col("page_id") * 7 % 101).cast("double"))
+    return _vectors(rows, pq.AUDIT_COLUMNS, ["page_id", "query"])
 
 
 # --- models -------------------------------------------------------------------
@@ -150,13 +253,35 @@ def train_pointwise(spark: SparkSession, folder: str) -> DataFrame:
 
 @CATALOG.query("train_pairwise")
 def train_pairwise(spark: SparkSession, folder: str) -> DataFrame:
-    """Fitted and scaled on training queries, measured on the pairs of validation queries."""
+    """The boosted ranker, its blend with a pointwise forest and the linear ranker, fitted on training queries, measured on the pairs of validation queries."""
     train, validation = _split_rows(spark, folder)
-    pairs = eq.pairs(spark, folder)
-    held = pairs.join(validation.select("query").distinct(), "query", "left_semi")
-    _, scored = models.train_pairwise(pairs, train, validation, FEATURES)
-    ranked = scored.select("query", "url", F.lit("pairwise").alias("model"), F.col("ranker_score").alias("prediction"))
-    return evaluation.preference_accuracy(held, ranked)
+    pairs, labels = eq.pairs(spark, folder), eq.labels(spark, folder)
+    ranker = models.train_pairwise(pairs, train, FEATURES, keep=lambda df: kept(df))
+    scored = ranker.score(validation)
+    _, linear = models.train_linear_pairwise(pairs, train, validation, FEATURES)
+    pointwise = models.predict(models.train_forest(train, FEATURES), validation, FEATURES, "pointwise").select("query", "url", "prediction")
+    blended = scored.join(pointwise, ["query", "url"]).select("query", "url", F.lit("hybrid").alias("model"), models.hybrid_score(F.col("prediction"), F.col("ranker_score")).alias("prediction"))
+    named = lambda rows, name: rows.select("query", "url", F.lit(name).alias("model"), F.col("ranker_score").alias("prediction"))
+    return evaluation.label_preference_accuracy(labels, named(scored, "pairwise").unionByName(named(linear, "linear")).unionByName(blended))
+
+
+_RAW = "semantic_similarity * 7e0 - technical_seo_score * 3e0 + word_count / 1e3"
+_POINT = "target_score * 12e-1 - 5e0"
+
+
+@CATALOG.query("ranker_blend", dq._V + "," + dq._SPLIT_SQL + f""", b AS (SELECT min({_RAW}) AS lo, max({_RAW}) AS hi FROM v_rows v JOIN split s ON v.query = s.query AND s.partition = 'train'),
+r AS (SELECT query, url, least(greatest(({_RAW} - lo) / (hi - lo) * 1e2, 0e0), 1e2) AS ranker, least(greatest({_POINT}, 0e0), 1e2) AS point FROM v_rows, b)
+SELECT query, url, {rnd('ranker', 6)} AS ranker_score, {rnd('least(greatest(point * 82e-2 + ranker * 18e-2, 0e0), 1e2)', 6)} AS hybrid_score FROM r""")
+def ranker_blend(spark: SparkSession, folder: str) -> DataFrame:
+    rows = load_view(spark, folder, "v_rows").select("query", "url", F.expr(_RAW).alias("raw"), F.expr(_POINT).alias("pointwise"))
+    train = rows.join(datasets.group_split(rows).filter("partition = 'train'").select("query"), "query", "left_semi")
+    blended = models.blended_ranking(rows, train, "pointwise", "raw")
+    return blended.select("query", "url", rnd_column(F.col("ranker_score"), 6).alias("ranker_score"), rnd_column(F.col("hybrid_score"), 6).alias("hybrid_score"))
+
+
+@CATALOG.query("best_model", eq._MODEL_SQL + " SELECT model AS selected_candidate FROM o_mm ORDER BY spearman_mean DESC, ndcg_at_10 DESC, top_3_hit_rate DESC, mae LIMIT 1")
+def best_model(spark: SparkSession, folder: str) -> DataFrame:
+    return models.select_best(evaluation.model_metrics(eq.predictions(spark, folder)))
 
 
 @CATALOG.query("feature_importance")
@@ -177,8 +302,6 @@ w AS (SELECT model, arg_min(feature, place) AS top_feature, arg_min(grp, place)
 SELECT model, top_feature, top_group, critical, important, supporting, {rnd('supporting / (critical + important + supporting)', 6)} AS supporting_share, top_group <> 'supporting' AS top_feature_not_supporting, supporting / (critical + important + supporting) <= 35e-2 AS supporting_share_within_limit,
   s5 <= 2 AS supporting_top5_within_limit, c5 > 0 AS critical_signal_in_top5, critical + important >= supporting AS critical_plus_important_at_least_supporting FROM w""")
 def feature_dominance(spark: SparkSession, folder: str) -> DataFrame:
-    from rankloom.sources.tables import read_table
-
     listed = spark.sql(_IMPORTANCE.replace("FROM part", "FROM {part}"), part=read_table(spark, folder, "part"))
     summed = listed.groupBy("model", "feature").agg(F.sum("importance").cast("double").alias("importance"))
     return models.feature_dominance(summed)
@@ -214,6 +337,18 @@ def _event_stream(spark: SparkSession, folder: str, markers: int = 0) -> DataFra
     return spark.readStream.schema(rows.schema).parquet(target)
 
 
+@contextmanager
+def _large_state(spark: SparkSession):
+    """Streams started inside keep their state in RocksDB, on disk and in the checkpoint, instead of memory."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _run(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     target = _scratch(spark, name)
     query = stream.writeStream.format("parquet").option("path", f"{target}/out").option("checkpointLocation", f"{target}/state").outputMode(mode).trigger(availableNow=True).start()
@@ -242,22 +377,21 @@ def stream_dedupe(spark: SparkSession, folder: str) -> DataFrame:
 SELECT audit_id, last_event_at, last_event FROM l WHERE last_event NOT IN ('completed', 'failed', 'aborted')""")
 def stream_stuck_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Two later marker events close the log, so the watermark passes every open run."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with _large_state(spark):
         found = _run(spark, stream_events.stuck_runs_stream(_event_stream(spark, folder, markers=3), _LATENESS), "stuck")
         return found.filter(F.col("audit_id") >= 0)
-    finally:
-        spark.conf.set(key, before)
 
 
-@CATALOG.query("stream_ingest", view_cte("v_raw_serp") + f" SELECT query, {big('count(DISTINCT url)')} AS urls FROM v_raw_serp WHERE trim(url) <> '' GROUP BY query")
+@CATALOG.query("stream_ingest", view_cte("v_raw_serp") + f""", k AS (SELECT query, url, min(position % 3) AS batch FROM v_raw_serp WHERE trim(url) <> '' GROUP BY query, url)
+SELECT query, {big('batch')} AS batch, {big('count(*)')} AS urls FROM k GROUP BY ALL""")
 def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """Three batches, each by a stream started anew from the checkpoint; what an earlier batch stored is not stored again."""
     source, target = _scratch(spark, "crawl"), _scratch(spark, "stored")
     rows = load_view(spark, folder, "v_raw_serp").select("query", "url", "position")
-    rows.write.mode("overwrite").parquet(source)
-    stream = spark.readStream.schema(rows.schema).parquet(source)
-    ingest(stream, f"{target}/rows", f"{target}/state").trigger(availableNow=True).start().awaitTermination()
+    with _large_state(spark):
+        for part in range(3):
+            rows.filter(F.col("position") % 3 == part).write.mode("append").parquet(source)
+            stream = spark.readStream.schema(rows.schema).parquet(source)
+            ingest(stream, f"{target}/rows", f"{target}/state").trigger(availableNow=True).start().awaitTermination()
     stored = read_ingested(spark, f"{target}/rows")
-    return stored.groupBy("query").agg(F.count(F.lit(1)).alias("urls"))
+    return stored.groupBy("query", F.col("batch_id").cast("bigint").alias("batch")).agg(F.count(F.lit(1)).alias("urls"))

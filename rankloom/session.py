@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 # Feature rows are wide, and the JVM does not compile methods above 8,000
 # bytes. Past that size Spark should split the work instead of fusing it.
-TUNING = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+# Pages and texts have any length, so what Python gets at once is bounded by
+# bytes (16 MB, or one row) and not by rows alone.
+TUNING = {"spark.sql.codegen.hugeMethodLimit": "8000", "spark.sql.execution.arrow.maxBytesPerBatch": "16777216"}
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -43,9 +45,19 @@ def shared_folder(spark: SparkSession) -> str:
     Executors on other hosts cannot read a scratch folder of the driver, so
     only a session on one machine may go without the setting.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return tempfile.mkdtemp(prefix="rankloom-shared-")
+    folder = tempfile.mkdtemp(prefix="rankloom-shared-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read from there on: the lineage ends, and a lost executor costs no recomputation."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)

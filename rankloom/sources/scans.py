@@ -81,8 +81,8 @@ def scan_labels(spark: SparkSession, path: str, strict: bool = False) -> DataFra
     return typed_labels(raw, "line_no", strict)
 
 
-def scan_snapshots(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
-    """Snapshot JSON files with their file name; a broken file gives a row without a snapshot."""
+def scan_snapshots(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True, name: str = "([^/]+)$") -> DataFrame:
+    """Snapshot JSON files with their artifact name, ``name``'s group in the path; a broken file gives a row without a snapshot."""
     read = T.StructType([*schema.fields, T.StructField("_broken", T.StringType())])
     rows = (
         spark.read.schema(read).option("multiLine", multi_line).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken")
@@ -90,7 +90,7 @@ def scan_snapshots(spark: SparkSession, path: str, schema: T.StructType, multi_l
     )
     intact = F.col("_broken").isNull()
     return rows.select(
-        F.regexp_extract("_file", "([^/]+)$", 1).alias("artifact_name"), F.when(intact, F.struct(*[f.name for f in schema.fields])).alias("snapshot")
+        F.regexp_extract("_file", name, 1).alias("artifact_name"), F.when(intact, F.struct(*[f.name for f in schema.fields])).alias("snapshot")
     )
 
 
@@ -112,36 +112,55 @@ def read_stored(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def append_new_rows(results: DataFrame, spark: SparkSession, target: str, failures: str | None = None) -> int:
-    """Append results whose (query, url) is in neither target; a second run with the same input adds nothing.
+def write_run(rows: DataFrame, target: str, run: Column, name: str = "run_id") -> None:
+    """Write rows under their run's partition and replace just that partition, so a retried write leaves one copy."""
+    rows.withColumn(name, run).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(target)
 
-    Returns how many rows were new. The new rows are written once and counted
-    from what was written.
+
+def write_observed(rows: DataFrame, path: str, counts: dict[str, Column]) -> DataFrame:
+    """Write ``rows`` and return the counts as one row, taken in the pass that writes them."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    rows.observe(seen, *[c.alias(n) for n, c in counts.items()]).write.mode("overwrite").parquet(path)
+    found = seen.get
+    return rows.sparkSession.createDataFrame([tuple(found[n] for n in counts)], ", ".join(f"{n} long" for n in counts))
+
+
+def append_new_rows(results: DataFrame, spark: SparkSession, target: str, run_id: str, failures: str | None = None) -> int:
+    """Add results whose (query, url) is in neither target; returns how many rows of the run are new.
+
+    Rows go under their run's id. A run that is written again sees what other
+    runs stored and replaces its own rows, so nothing is added twice; a new run
+    over the same input adds nothing. The rows are counted from what was
+    written for the run alone.
     """
-    stored = _existing(spark, target)
+    stored = _existing(spark, target, run_id)
     if failures is not None:
-        failed = _existing(spark, failures)
+        failed = _existing(spark, failures, None)
         stored = failed if stored is None else (stored if failed is None else stored.unionByName(failed))
     fresh = results.filter(F.trim("url") != "").dropDuplicates(["query", "url"]) if stored is None else append_new(results, stored)
-    before = 0 if _existing(spark, target) is None else spark.read.parquet(target).count()
-    fresh.write.mode("append").parquet(target)
-    return spark.read.parquet(target).count() - before
+    write_run(fresh, target, F.lit(run_id))
+    written = read_stored(spark, target)
+    return 0 if written is None else written.filter(F.col("run_id") == run_id).count()
 
 
-def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+def _existing(spark: SparkSession, path: str, run_id: str | None) -> DataFrame | None:
     stored = read_stored(spark, path)
+    if stored is not None and run_id is not None and "run_id" in stored.columns:
+        stored = stored.filter(F.col("run_id").cast("string") != run_id)
     return None if stored is None else stored.select("query", "url")
 
 
 def rewrite_version(rows: DataFrame, dataset_version: str, path: str | None = None, feature_schema_version: str | None = None, label_schema_version: str | None = None) -> DataFrame:
-    """Copy with new version columns; written partitioned by version when a path is given."""
+    """Copy with new version columns; written under its version when a path is given, replacing that version only."""
     changed = rows.withColumn("dataset_version", F.lit(dataset_version))
     if feature_schema_version is not None:
         changed = changed.withColumn("feature_schema_version", F.lit(feature_schema_version))
     if label_schema_version is not None:
         changed = changed.withColumn("label_schema_version", F.lit(label_schema_version))
     if path is not None:
-        changed.write.mode("append").partitionBy("dataset_version").parquet(path)
+        write_run(changed.drop("dataset_version"), path, F.lit(dataset_version), "dataset_version")
     return changed
 
 
@@ -150,8 +169,15 @@ def manifest_json(manifest: DataFrame) -> DataFrame:
     return manifest.select(F.to_json(F.struct("*")).alias("value"))
 
 
-def write_manifest(manifest: DataFrame, path: str) -> None:
-    manifest_json(manifest).coalesce(1).write.mode("overwrite").text(path)
+def write_manifest(manifest: DataFrame, path: str, run_id: str) -> None:
+    """The summary of a run as JSON text under its id; a retried write replaces it, other runs' stay."""
+    named = manifest_json(manifest).withColumn("run_id", F.lit(run_id))
+    named.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").text(path)
+
+
+def read_manifest(spark: SparkSession, path: str, run_id: str, schema: T.StructType) -> DataFrame:
+    rows = spark.read.text(path).filter(F.col("run_id") == run_id)
+    return rows.select(F.from_json("value", schema).alias("m")).select("m.*")
 
 
 def recent_audits(audits: DataFrame, since: str | None = None, limit: int | None = None) -> DataFrame:

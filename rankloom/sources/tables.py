@@ -10,10 +10,16 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Deal out the rows of an input that is one single split.
+    """Deal out the rows of a table that has less than one full split per core.
 
-    A file of one row group is one task, and everything up to the first
-    exchange would run in it. Any input of two splits or more is left alone,
-    whatever the cluster's size, so large tables pay nothing.
+    Splits are not row groups: a file of one row group is read by one task,
+    however many splits it is offered in, and everything up to the first
+    exchange would run there. The size is what the plan's statistics say, so
+    nothing is read and no plan is made for it. Layout only; a table of at
+    least one full split per core is left alone, so large ones pay nothing.
     """
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if rows.rdd.getNumPartitions() == 1 else rows
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return rows.repartition(cores) if size < cores * split else rows

@@ -12,20 +12,19 @@ from rankloom.sources.scans import read_stored
 def ingest(stream: DataFrame, target: str, checkpoint: str) -> DataStreamWriter:
     """Append each micro-batch's new (query, url) rows to ``target``.
 
-    Every batch writes its own folder, so a batch replayed after a failure
-    overwrites what it wrote before instead of adding it again. Keys stored
-    by earlier batches are removed by an anti join.
+    Keys seen so far are the state of the stream's own deduplication: it is
+    partitioned by key, kept in the checkpoint and read only for the keys of a
+    batch, so a batch's work follows its own rows and not what is stored (use
+    the RocksDB state store where keys outgrow memory). Every batch writes its
+    own folder, so a batch replayed after a failure overwrites what it wrote
+    before; state and files then agree again.
     """
+    keyed = stream.filter(F.trim("url") != "").dropDuplicates(["query", "url"])
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.filter(F.trim("url") != "").dropDuplicates(["query", "url"])
-        earlier = read_ingested(batch.sparkSession, target)
-        if earlier is not None:
-            stored = earlier.filter(F.col("batch_id") != batch_id).select("query", "url")
-            fresh = fresh.join(stored, ["query", "url"], "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+
+    return keyed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
 def read_ingested(spark, target: str) -> DataFrame | None:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,11 +164,47 @@ def test_domain_cap_counts_stored_rows(spark):
     assert sorted(r["rank"] for r in datasets.domain_cap(fresh, stored, cap=12).collect()) == list(range(7))
 
 
-def test_hard_negatives_come_from_other_categories(spark):
-    rows = spark.createDataFrame([(f"q{i % 6}", f"u{i}", f"c{i % 3}", "", "", 1, 0) for i in range(30)], "query string, url string, category string, intent string, city string, rank int, serp_page int")
-    seeds = spark.createDataFrame([(f"s{i}", f"c{i % 3}", "x", "y") for i in range(9)], "query string, category string, intent string, city string")
-    got = datasets.hard_negatives(rows, seeds, k=2).collect()
-    assert len(got) == 18 and all(r.hard_negative_source_category != r.category for r in got)
+def plain_draws(rows, seeds, k):
+    """Seed by seed, category by category, row by row."""
+    digest = lambda text: hashlib.md5(text.encode()).hexdigest()
+    by_category = {}
+    for row in sorted(rows, key=lambda r: digest(f"{r[0]}|{r[1]}")):
+        by_category.setdefault(row[2], []).append(row)
+    out = set()
+    for i, (query, own) in enumerate(sorted(seeds, key=lambda s: digest(s[0]))):
+        ring = [c for c in sorted(by_category) if c != own]
+        taken = 0
+        for step in range(len(ring)):
+            pool = by_category[ring[(i * k + step) % len(ring)]]
+            found = next((r for r in (pool[(i + taken + j) % len(pool)] for j in range(len(pool))) if r[3]), None)
+            if found and taken < k:
+                out.add((query, taken, found[0], found[1]))
+                taken += 1
+    return out
+
+
+@pytest.mark.parametrize("k", [1, 2, 4])
+def test_hard_negatives_equal_plain_walk(spark, k):
+    from rankloom.operators import hard_negatives as hn
+
+    draw = random.Random(k)
+    rows = [(f"q{i % 9}", f"u{i}", f"c{draw.randrange(6)}", draw.random() < 0.4 and i % 6 != 3) for i in range(90)] + [(f"z{i}", f"w{i}", "none", False) for i in range(4)]
+    seeds = [(f"s{i}", draw.choice(["c0", "c1", "c5", "elsewhere", "none"])) for i in range(30)]
+    table = spark.createDataFrame(rows, "query string, url string, category string, ok boolean")
+    asked = spark.createDataFrame([(*s, "x", "y") for s in seeds] + [(" ", "c1", "", "")], "query string, category string, intent string, city string")
+    got = hn.drawn_rows(table, asked, F.col("ok"), k).select("seed_query", "draw", "query", "url").collect()
+    assert {tuple(r) for r in got} == plain_draws(rows, seeds, k) and len(got) == len(set(got))
+
+
+def test_next_marked_goes_round_in_blocks(spark):
+    from rankloom.functions.order import next_marked
+
+    draw = random.Random(5)
+    marks = {g: [draw.random() < 0.1 for _ in range(n)] for g, n in (("a", 200), ("b", 7), ("c", 1))} | {"d": [False] * 9}
+    table = spark.createDataFrame([(g, i, m) for g, flags in marks.items() for i, m in enumerate(flags)], "g string, at long, mark boolean")
+    for r in next_marked(table, ["g"], "at", "mark", "found", block=8).collect():
+        flags = marks[r.g]
+        assert r.found == next((p % len(flags) for p in range(r["at"], r["at"] + len(flags)) if flags[p % len(flags)]), None)
 
 
 def test_transitions_across_buckets(spark):
@@ -190,7 +229,8 @@ def test_append_is_idempotent_and_broken_snapshots_are_null(spark, tmp_path):
 
     rows = spark.createDataFrame([("q", "u1"), ("q", "u2"), ("q", "u1")], "query string, url string")
     target = str(tmp_path / "rows")
-    assert append_new_rows(rows, spark, target) == 2 and append_new_rows(rows, spark, target) == 0
+    assert append_new_rows(rows, spark, target, "a") == 2 and append_new_rows(rows, spark, target, "a") == 2
+    assert append_new_rows(rows, spark, target, "b") == 0 and spark.read.parquet(target).count() == 2
     folder = tmp_path / "snaps"
     folder.mkdir()
     (folder / "a.json").write_text('{"requested_url": "x"}')
@@ -223,7 +263,7 @@ def test_model_queries_fit_all_features_with_defaults(spark, monkeypatch, name):
         pass
 
     def fit(*args, **options):
-        assert tuple(args[-1]) == FEATURES and not options and set(FEATURES) <= set(args[-2].columns)
+        assert tuple(args[-1]) == FEATURES and set(options) <= {"keep"} and set(FEATURES) <= set(args[-2].columns)
         raise Fitted
 
     monkeypatch.setattr(models, "train_pairwise" if name == "train_pairwise" else "train_pointwise", fit)
