@@ -1,9 +1,12 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Texts are cut into units that no piece crosses. The distinct units are
+Texts are cut into units that no piece crosses: between two characters that no
+run of up to four characters of any piece joins. The distinct units are
 exploded into substrings of bounded length, equi-joined to the piece table and
 grouped again: one row per unit with its edges (start, stop, piece). A higher-
-order aggregate folds the edges into the unit's segmentation.
+order aggregate folds the edges into the unit's segmentation. Single characters
+are edges of their own; they need no join and get their ids when texts are
+spelt.
 
 The fold is the merge order of byte-pair models and not a best path: pieces of
 such a model carry ranks, not log probabilities, and the path with the best
@@ -15,7 +18,6 @@ left.
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,8 +30,9 @@ from rankloom.llm.common import let, limit_batches, partitions, row_hash
 
 SPACE = "▁"
 LONGEST_UNIT = 60
-_UNITS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-_BUCKET_CHARS = 8 << 20
+_BUCKET_CHARS = 16 << 20
+_GROUP_CHARS = 1 << 20
+_GRAM_BITS = 24
 
 
 @lru_cache(maxsize=2)
@@ -46,9 +49,67 @@ def vocabulary(path: str) -> tuple[dict[str, tuple[int, float]], list[str], list
     return known, names, [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], model.unk_id()
 
 
-def units(text: str) -> list[str]:
-    """Units of a text: a dummy space in front, spaces as signs, words with the spaces before them; none for an empty text."""
-    return _UNITS.findall(SPACE + text.replace(" ", SPACE)) if text else []
+def prepared(text: str) -> str:
+    """The text as the model sees it: a space in front, spaces as signs; an empty text stays empty."""
+    return SPACE + text.replace(" ", SPACE) if text else ""
+
+
+class Cutter:
+    """Cuts prepared texts into units that no piece of the vocabulary crosses.
+
+    A place is crossed if the characters around it are a piece of two or three
+    characters or part of a run of four that some piece has. Runs are looked up
+    by hash; two runs that share one can only join units, never cut a piece.
+    """
+
+    def __init__(self, pieces) -> None:
+        self.number = np.zeros(0x110000, np.uint32)
+        letters = sorted({c for p in pieces for c in p})
+        self.number[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1, dtype=np.uint32)
+        self.grams = {}
+        for size in (2, 3, 4):
+            found = {p[i : i + size] for p in pieces if len(p) == size or size == 4 < len(p) for i in range(len(p) - size + 1)}
+            table = np.zeros(1 << _GRAM_BITS, bool)
+            if found:
+                table[self._hashes(self.number[np.array([[ord(c) for c in g] for g in sorted(found)], np.int64)].T)] = True
+            self.grams[size] = table
+
+    @staticmethod
+    def _hashes(columns) -> np.ndarray:
+        total = np.zeros(len(columns[0]), np.uint32)
+        for column in columns:
+            total = (total ^ column) * np.uint32(0x9E3779B1)
+            total ^= total >> np.uint32(15)
+        return total >> np.uint32(32 - _GRAM_BITS)
+
+    def starts(self, whole: str) -> np.ndarray:
+        """Where units begin in a text that is not empty."""
+        codes = self.number[np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        size = len(codes)
+        crossed = np.zeros(size, bool)  # at k: a piece may cover characters k - 1 and k
+        for width, table in self.grams.items():
+            count = size - width + 1
+            if count <= 0:
+                continue
+            hit = table[self._hashes([codes[k : k + count] for k in range(width)])]
+            for k in range(1, width):
+                crossed[k : k + count] |= hit
+        return np.flatnonzero(~crossed)
+
+    def units(self, whole: str, first: np.ndarray | None = None) -> tuple[list[str], np.ndarray]:
+        """Units of a prepared text and where they begin; ``first`` are places where a unit begins in any case."""
+        if not whole:
+            return [], np.empty(0, np.int64)
+        starts = self.starts(whole)
+        if first is not None:
+            starts = np.union1d(starts, first)
+        places = starts.tolist()
+        return [whole[a:b] for a, b in zip(places, [*places[1:], len(whole)], strict=True)], starts
+
+
+@lru_cache(maxsize=2)
+def cutter(path: str) -> Cutter:
+    return Cutter(vocabulary(path)[0])
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
@@ -57,20 +118,17 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """``words`` (word and other columns, words distinct) with edges: array of (rank, start, stop, id), best rank first.
+    """``words`` (distinct ``word``, ``some``) with edges: array of (rank, start, stop, id) of two characters or more, best rank first.
 
     The piece table is a vocabulary, so its broadcast is bounded by it.
     """
-    carried = [c for c in words.columns if c != "word"]
     size = F.length("word")
-    ends = words.withColumn("start", F.explode(F.sequence(F.lit(0), size - 1)))
-    spans = ends.withColumn("stop", F.explode(F.sequence(F.col("start") + 1, F.least(size, F.col("start") + longest))))
-    found = spans.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("stop") - F.col("start"))).join(F.broadcast(pieces), "piece", "left")
-    # single characters stay without a piece too, so that every unit comes back
-    edges = found.filter(F.col("id").isNotNull() | (F.col("stop") == 1) & (F.col("start") == 0))
-    return edges.groupBy("word").agg(
-        F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("rank", "start", "stop", "id")))).alias("edges"), *[F.first(c).alias(c) for c in carried]
-    )
+    # a span of no length brings every unit back, also one without edges
+    starts = words.withColumn("start", F.explode(F.sequence(F.lit(-1), F.greatest(size - 2, F.lit(-1)))))
+    stops = F.when(F.col("start") < 0, F.array(F.lit(-1))).otherwise(F.sequence(F.col("start") + 2, F.greatest(F.col("start") + 2, F.least(size, F.col("start") + longest))))
+    spans = starts.withColumn("stop", F.explode(stops)).withColumn("piece", F.when(F.col("start") >= 0, F.substring("word", F.col("start") + 1, F.col("stop") - F.col("start"))))
+    found = spans.join(F.broadcast(pieces), "piece", "left").filter(F.col("id").isNotNull() | (F.col("start") < 0))
+    return found.groupBy("word").agg(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("rank", "start", "stop", "id")))).alias("edges"), F.first("some").alias("some"))
 
 
 def _bit(place: Column) -> Column:
@@ -83,10 +141,7 @@ def merged(edges: Column, size: Column) -> Column:
     An edge can be applied if both its ends are boundaries and exactly one
     boundary is left inside it.
     """
-    masks = F.transform(
-        F.filter(edges, lambda e: e["stop"] - e["start"] > 1),
-        lambda e: F.struct((_bit(e["start"]) + _bit(e["stop"])).alias("ends"), (_bit(e["stop"]) - _bit(e["start"] + 1)).alias("inside")),
-    )
+    masks = F.transform(edges, lambda e: F.struct((_bit(e["start"]) + _bit(e["stop"])).alias("ends"), (_bit(e["stop"]) - _bit(e["start"] + 1)).alias("inside")))
 
     def fold(masks: Column) -> Column:
         def step(bits: Column, _: Column) -> Column:
@@ -95,32 +150,23 @@ def merged(edges: Column, size: Column) -> Column:
 
         every = _bit(size + 1) - 1
         # no merge is left after as many steps as there are edges or inner boundaries
-        return F.when(F.size(masks) == 0, every).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), every, step))
+        return F.when(F.size(masks) == 0, every).otherwise(F.aggregate(F.sequence(F.lit(1), F.least(F.size(masks), F.greatest(size - 1, F.lit(1)))), every, step))
 
     return let(masks, fold)
 
 
 def encoded_words(words: DataFrame, path: str) -> DataFrame:
-    """``words`` with ids: array of piece ids, bytes for characters that have no piece."""
-    spark = words.sparkSession
-    known, _, byte_ids, _ = vocabulary(path)
-    longest = max(map(len, known))
-    latticed = lattice(words, piece_table(spark, path), longest)
+    """``words`` (distinct ``word``, and ``some`` number that stays) with codes: ids of their pieces in order, a single character as -1 less its code point."""
+    known = vocabulary(path)[0]
+    latticed = lattice(words, piece_table(words.sparkSession, path), max(map(len, known)))
     cuts = let(merged(F.col("edges"), F.length("word")), lambda bits: F.filter(F.sequence(F.lit(0), F.length("word")), lambda k: bits.bitwiseAND(_bit(k)) != 0))
-    table = F.array(*[F.lit(i) for i in byte_ids])
 
-    def as_bytes(text: Column) -> Column:
-        shown = F.hex(F.encode(text, "UTF-8"))
-        return F.transform(F.sequence(F.lit(0), F.octet_length(text) - 1), lambda k: F.get(table, F.conv(F.substring(shown, 2 * k + 1, F.lit(2)), 16, 10).cast("int")))
+    def segment(k: Column, stop: Column) -> Column:
+        single = -F.lit(1) - F.ascii(F.substring("word", k + 1, F.lit(1)))
+        return F.when(stop - k == 1, single).otherwise(F.get(F.filter("edges", lambda e: (e["start"] == k) & (e["stop"] == stop)), F.lit(0))["id"])
 
-    def segment(k: Column, i: Column, cuts: Column) -> Column:
-        stop = F.get(cuts, i + 1)
-        match = F.get(F.filter("edges", lambda e: (e["start"] == k) & (e["stop"] == stop)), F.lit(0))["id"]
-        return let(match, lambda m: F.when(m.isNotNull(), F.array(m)).otherwise(as_bytes(F.substring("word", k + 1, stop - k))))
-
-    carried = [c for c in words.columns if c != "word"]
-    ids = let(cuts, lambda c: F.flatten(F.transform(F.slice(c, 1, F.size(c) - 1), lambda k, i: segment(k, i, c))))
-    return latticed.select("word", *carried, ids.alias("ids"))
+    codes = let(cuts, lambda c: F.transform(F.slice(c, 1, F.size(c) - 1), lambda k, i: segment(k, F.get(c, i + 1))))
+    return latticed.select("word", "some", codes.alias("codes"))
 
 
 def merge_unit(word: str, known: dict[str, tuple[int, float]], byte_ids: list[int]) -> list[int]:
@@ -152,14 +198,89 @@ def merge_unit(word: str, known: dict[str, tuple[int, float]], byte_ids: list[in
     return out
 
 
-def decode_ids(ids: list[int], path: str) -> str:
-    """Text of piece ids; the dummy space in front is taken off."""
+@lru_cache(maxsize=2)
+def _spelling(path: str) -> list[bytes]:
+    """What every id stands for, as UTF-8 bytes."""
     _, names, byte_ids, _ = vocabulary(path)
     of_byte = {i: bytes([b]) for b, i in enumerate(byte_ids)}
-    text = b"".join(of_byte[i] if i in of_byte else names[i].encode() for i in ids).decode("utf-8", "replace").replace(SPACE, " ")
+    return [of_byte[i] if i in of_byte else name.replace(SPACE, " ").encode() for i, name in enumerate(names)]
+
+
+def decode_ids(ids: list[int], path: str) -> str:
+    """Text of piece ids; the dummy space in front is taken off."""
+    text = b"".join(map(_spelling(path).__getitem__, ids)).decode("utf-8", "replace")
     return text[1:] if text.startswith(" ") else text
 
 
+class _Speller:
+    """Ids of the units of one bucket: one flat array and where each unit's ids stand in it."""
+
+    def __init__(self, words: list[str], codes: np.ndarray, offsets: np.ndarray, path: str) -> None:
+        self.path, self.place = path, dict(zip(words, range(len(words)), strict=True))
+        self.known, _, self.byte_ids, _ = vocabulary(path)
+        single = codes < 0
+        sizes = np.ones(len(codes), np.int64)
+        ids = codes.astype(np.int32)
+        rest = []
+        for code in np.unique(codes[single]).tolist():
+            found = self.known.get(chr(-1 - code))
+            if found:
+                ids[codes == code] = found[0]
+            else:  # a character without a piece becomes its bytes
+                spelt = [self.byte_ids[b] for b in chr(-1 - code).encode("utf-8", "surrogatepass")]
+                sizes[codes == code] = len(spelt)
+                rest.append((code, spelt))
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        self.flat = np.repeat(ids, sizes)
+        for code, spelt in rest:
+            at = ends[:-1][codes == code]
+            for k, i in enumerate(spelt):
+                self.flat[at + k] = i
+        self.offsets = ends[offsets]
+        self.more: dict[str, np.ndarray] = {}
+
+    def _long(self, unit: str) -> np.ndarray:
+        if unit not in self.more:
+            self.more[unit] = np.array(merge_unit(unit, self.known, self.byte_ids), np.int32)
+        return self.more[unit]
+
+    def texts(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of every text; texts are cut together, each begins a unit."""
+        whole = [prepared(t) for t in texts]
+        ends = np.cumsum([len(t) for t in whole])
+        firsts = np.concatenate([[0], ends[:-1]])
+        joined = "".join(whole)
+        units, starts = cutter(self.path).units(joined, firsts[firsts < ends])
+        places = np.array([self.place.get(u, -1) for u in units], np.int64)
+        lows, highs = self.offsets[places], self.offsets[places + 1]
+        long = np.flatnonzero(places < 0)
+        sizes = np.where(places < 0, 0, highs - lows)
+        for k in long.tolist():
+            sizes[k] = len(self._long(units[k]))
+        stops = np.cumsum(sizes)
+        befores = stops - sizes
+        source = np.repeat(np.where(places < 0, 0, lows) - befores, sizes) + np.arange(int(stops[-1]) if len(stops) else 0)
+        out = self.flat[np.minimum(source, max(0, len(self.flat) - 1))] if len(self.flat) else np.zeros(len(source), np.int32)
+        for k in long.tolist():
+            out[befores[k] : stops[k]] = self._long(units[k])
+        # units of a text are those that begin inside it
+        bounds = np.concatenate([[0], stops])[np.concatenate([np.searchsorted(starts, firsts), [len(units)]])]
+        return [out[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
+def _groups(texts: list[str]) -> Iterator[list[str]]:
+    """Neighbouring texts of about ``_GROUP_CHARS`` characters together."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text)
+        size += len(text)
+        if size >= _GROUP_CHARS:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """One row per document: doc_id, ids, n_pieces, ids_crc32 (of the ids as little-endian 32-bit integers), round_trip.
 
@@ -168,49 +289,62 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     equal rows; extra columns are ignored.
 
     Documents are dealt into buckets of a bounded number of characters. Each
-    bucket asks for its distinct units once, so that a frequent word is asked for once a
-    bucket; units of all buckets are encoded together and go back
-    to the buckets that asked. Longer units than the fold's bits are merged in
-    the bucket itself.
+    bucket asks once for each of its distinct units; units of all buckets are
+    encoded together, and the codes go back to the buckets that asked. Longer
+    units than the fold's bits are merged in the bucket itself.
     """
     spark = docs.sparkSession
     limit_batches(spark)
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     wanted = max(partitions(spark), int(chars // _BUCKET_CHARS) + 1)
     bucketed = docs.select(F.pmod(row_hash("doc_id", "text"), F.lit(wanted)).cast("int").alias("bucket"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    dealt = bucketed.mapInArrow(_pack, "bucket int, packet binary").repartition(partitions(spark), "bucket")
+    dealt = bucketed.mapInArrow(_pack, "bucket int, packet binary").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
 
     def ask(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        def asked(bucket, found):
+            words = [u for u in found if len(u) <= LONGEST_UNIT]
+            for start in range(0, len(words), 1 << 16):
+                part = words[start : start + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(part), pa.int32()), pa.array(part, pa.string())], ["bucket", "word"])
+
+        cut, now, found = cutter(path).units, None, set()
         for batch in batches:
             for bucket, packet in zip(batch.column("bucket").to_pylist(), batch.column("packet"), strict=True):
-                found = {u for text in _unpack(packet.as_py()).column("text").to_pylist() for u in set(units(text)) if len(u) <= LONGEST_UNIT}
-                yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(found), pa.int32()), pa.array(list(found), pa.string())], ["bucket", "word"])
-
-    asked = dealt.mapInArrow(ask, "bucket int, word string").groupBy("word").agg(F.collect_set("bucket").alias("buckets"))
-    answers = encoded_words(asked, path).select(F.explode("buckets").alias("bucket"), "word", "ids")
+                if bucket != now:
+                    yield from asked(now, found)
+                    now, found = bucket, set()
+                for group in _groups(_unpack(packet.as_py()).column("text").to_pylist()):
+                    found.update(cut("".join(map(prepared, group)))[0])
+        yield from asked(now, found)
+
+    # asks are placed by unit once; the distinct units and the way back to the buckets read the same exchange,
+    # which they would not if the distinct units could do without the bucket
+    asks = dealt.mapInArrow(ask, "bucket int, word string").repartition(partitions(spark), "word")
+    codes = encoded_words(asks.groupBy("word").agg(F.max("bucket").alias("some")), path)
+    answers = asks.join(codes.filter("some is not null").hint("shuffle_hash"), "word").drop("some")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def spell(packets, words):
         import pyarrow as pa
 
-        known, _, byte_ids, _ = vocabulary(path)
-        spelt = dict(zip(words.column("word").to_pylist(), words.column("ids").to_pylist(), strict=True))
+        listed = words.column("codes").combine_chunks()
+        speller = _Speller(words.column("word").to_pylist(), listed.values.to_numpy(zero_copy_only=False), listed.offsets.to_numpy(), path) if words.num_rows else _Speller([], np.empty(0, np.int32), np.zeros(1, np.int32), path)
         tables = []
         for packet in packets.column("packet"):
             texts = _unpack(packet.as_py())
             rows, crcs, trips = [], [], []
-            for text in texts.column("text").to_pylist():
-                ids: list[int] = []
-                for u in units(text):
-                    ids += spelt[u] if len(u) <= LONGEST_UNIT else merge_unit(u, known, byte_ids)
-                rows.append(np.array(ids, np.int32))
-                crcs.append(zlib.crc32(rows[-1].astype("<u4").tobytes()))
-                trips.append(decode_ids(ids, path) == text)
+            for group in _groups(texts.column("text").to_pylist()):
+                for text, ids in zip(group, speller.texts(group), strict=True):
+                    rows.append(ids)
+                    crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
+                    trips.append(decode_ids(ids.tolist(), path) == text)
+            sizes = np.array([len(r) for r in rows], np.int64)
+            flat = pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32), pa.int32())
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat)
             tables.append(pa.Table.from_arrays(
-                [texts.column("doc_id"), pa.array(rows, pa.list_(pa.int32())), pa.array([len(r) for r in rows], pa.int64()), pa.array(crcs, pa.int64()), pa.array(trips)],
-                ["doc_id", "ids", "n_pieces", "ids_crc32", "round_trip"],
+                [texts.column("doc_id"), lists, pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64()), pa.array(trips, pa.bool_())], ["doc_id", "ids", "n_pieces", "ids_crc32", "round_trip"],
             ))
         return pa.concat_tables(tables)
 

@@ -351,3 +351,16 @@ def test_word_fields_with_recurring_values(spark):
     left = [k for k in range(len(texts)) if got[100 + k]["n_dropped"] == 0]
     assert left == [0, len(lines)]
     assert all(got[100 + k]["text"] == prose(2000 + k, 12) for k in range(len(texts)) if k not in left)
+
+
+def test_no_piece_crosses_units():
+    """Plain rule: a place between two characters is cut only if no piece lies over it."""
+    known = pieces.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))[0]
+    cut = pieces.cutter(public_tokenizers.path("piece_bpe_32k.model"))
+    for text in ("Die Straße, ñandú  x\n\nein éècnu 12.5€ über", "aaaa bb ccc", "日本語 ☃☃", "z", prose(3, 60)):
+        whole = pieces.prepared(text)
+        found, starts = cut.units(whole)
+        assert "".join(found) == whole and all(found)
+        covered = {k for i in range(len(whole)) for n in range(2, 17) if whole[i : i + n] in known and i + n <= len(whole) for k in range(i + 1, i + n)}
+        assert not covered & set(starts.tolist())
+    assert cut.units("") [0] == []
