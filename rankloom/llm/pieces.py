@@ -30,8 +30,8 @@ from rankloom.llm.common import let, limit_batches, partitions, row_hash
 
 SPACE = "▁"
 LONGEST_UNIT = 60
-_BUCKET_CHARS = 16 << 20
-_GROUP_CHARS = 1 << 20
+_BUCKET_CHARS = 32 << 20
+_GROUP_CHARS = 4 << 20
 _GRAM_BITS = 24
 
 
@@ -66,6 +66,7 @@ class Cutter:
         self.number = np.zeros(0x110000, np.uint32)
         letters = sorted({c for p in pieces for c in p})
         self.number[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1, dtype=np.uint32)
+        self.space = self.number[ord(SPACE)] or np.uint32(1 << 30)
         self.grams = {}
         for size in (2, 3, 4):
             found = {p[i : i + size] for p in pieces if len(p) == size or size == 4 < len(p) for i in range(len(p) - size + 1)}
@@ -82,8 +83,8 @@ class Cutter:
             total ^= total >> np.uint32(15)
         return total >> np.uint32(32 - _GRAM_BITS)
 
-    def starts(self, whole: str) -> np.ndarray:
-        """Where units begin in a text that is not empty."""
+    def starts(self, whole: str, first: np.ndarray | None = None) -> np.ndarray:
+        """Where units begin in a text that is not empty; at ``first`` in any case."""
         codes = self.number[np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)]
         size = len(codes)
         crossed = np.zeros(size, bool)  # at k: a piece may cover characters k - 1 and k
@@ -94,17 +95,27 @@ class Cutter:
             hit = table[self._hashes([codes[k : k + count] for k in range(width)])]
             for k in range(1, width):
                 crossed[k : k + count] |= hit
+        # spaces stand at the beginning of pieces only: a space after anything else begins a unit, whatever the hashes say
+        space = codes == self.space
+        crossed[1:] &= space[:-1] | ~space[1:]
+        if first is not None:
+            crossed[first] = False
         return np.flatnonzero(~crossed)
 
-    def units(self, whole: str, first: np.ndarray | None = None) -> tuple[list[str], np.ndarray]:
-        """Units of a prepared text and where they begin; ``first`` are places where a unit begins in any case."""
+    def units(self, whole: str, first: np.ndarray | None = None):
+        """Units of a prepared text as an Arrow array over its bytes, where they begin, and their characters.
+
+        ``first`` are places where a unit begins in any case.
+        """
+        import pyarrow as pa
+
         if not whole:
-            return [], np.empty(0, np.int64)
-        starts = self.starts(whole)
-        if first is not None:
-            starts = np.union1d(starts, first)
-        places = starts.tolist()
-        return [whole[a:b] for a, b in zip(places, [*places[1:], len(whole)], strict=True)], starts
+            return pa.array([], pa.string()), np.empty(0, np.int64), np.empty(0, np.int64)
+        starts = self.starts(whole, first)
+        data = whole.encode()
+        heads = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)  # bytes that begin a character
+        offsets = np.append(heads[starts], len(data)).astype(np.int32)
+        return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data)), starts, np.diff(np.append(starts, len(whole)))
 
 
 @lru_cache(maxsize=2)
@@ -208,15 +219,39 @@ def _spelling(path: str) -> list[bytes]:
 
 def decode_ids(ids: list[int], path: str) -> str:
     """Text of piece ids; the dummy space in front is taken off."""
-    text = b"".join(map(_spelling(path).__getitem__, ids)).decode("utf-8", "replace")
-    return text[1:] if text.startswith(" ") else text
+    return _without_dummy(b"".join(map(_spelling(path).__getitem__, ids))).decode("utf-8", "replace")
+
+
+def _without_dummy(data: bytes) -> bytes:
+    return data[1:] if data[:1] == b" " else data
+
+
+@lru_cache(maxsize=2)
+def _spelling_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all ids in one array, where each id's begin and how many they are."""
+    spelt = _spelling(path)
+    sizes = np.array([len(s) for s in spelt], np.int64)
+    return np.frombuffer(b"".join(spelt), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+def decode_many(rows: list[np.ndarray], path: str) -> list[bytes]:
+    """UTF-8 of many rows of ids at once, as ``decode_ids`` gives it."""
+    table, begins, sizes = _spelling_table(path)
+    ids = np.concatenate(rows) if rows else np.empty(0, np.int32)
+    counts = sizes[ids]
+    ends = np.cumsum(counts)
+    source = np.repeat(begins[ids] - (ends - counts), counts)
+    source += np.arange(len(source))
+    data = table[source].tobytes()
+    bounds = np.append(0, ends)[np.cumsum([0, *map(len, rows)])].tolist()
+    return [_without_dummy(data[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 class _Speller:
     """Ids of the units of one bucket: one flat array and where each unit's ids stand in it."""
 
-    def __init__(self, words: list[str], codes: np.ndarray, offsets: np.ndarray, path: str) -> None:
-        self.path, self.place = path, dict(zip(words, range(len(words)), strict=True))
+    def __init__(self, words, codes: np.ndarray, offsets: np.ndarray, path: str) -> None:
+        self.path, self.words = path, words
         self.known, _, self.byte_ids, _ = vocabulary(path)
         single = codes < 0
         sizes = np.ones(len(codes), np.int64)
@@ -237,6 +272,7 @@ class _Speller:
             for k, i in enumerate(spelt):
                 self.flat[at + k] = i
         self.offsets = ends[offsets]
+        self.sizes = np.append(np.diff(self.offsets), 0)  # the last one stands for units that were not asked for
         self.more: dict[str, np.ndarray] = {}
 
     def _long(self, unit: str) -> np.ndarray:
@@ -246,23 +282,25 @@ class _Speller:
 
     def texts(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text; texts are cut together, each begins a unit."""
+        import pyarrow.compute as pc
+
         whole = [prepared(t) for t in texts]
         ends = np.cumsum([len(t) for t in whole])
         firsts = np.concatenate([[0], ends[:-1]])
         joined = "".join(whole)
-        units, starts = cutter(self.path).units(joined, firsts[firsts < ends])
-        places = np.array([self.place.get(u, -1) for u in units], np.int64)
-        lows, highs = self.offsets[places], self.offsets[places + 1]
-        long = np.flatnonzero(places < 0)
-        sizes = np.where(places < 0, 0, highs - lows)
-        for k in long.tolist():
-            sizes[k] = len(self._long(units[k]))
+        units, starts, _ = cutter(self.path).units(joined, firsts[firsts < ends])
+        places = pc.fill_null(pc.index_in(units, value_set=self.words), -1).to_numpy(zero_copy_only=False)
+        long = np.flatnonzero(places < 0).tolist()
+        sizes = self.sizes[places]
+        for k in long:
+            sizes[k] = len(self._long(units[k].as_py()))
         stops = np.cumsum(sizes)
         befores = stops - sizes
-        source = np.repeat(np.where(places < 0, 0, lows) - befores, sizes) + np.arange(int(stops[-1]) if len(stops) else 0)
-        out = self.flat[np.minimum(source, max(0, len(self.flat) - 1))] if len(self.flat) else np.zeros(len(source), np.int32)
-        for k in long.tolist():
-            out[befores[k] : stops[k]] = self._long(units[k])
+        source = np.repeat(self.offsets[places] - befores, sizes)
+        source += np.arange(len(source))
+        out = self.flat.take(source, mode="clip") if len(self.flat) else np.zeros(len(source), np.int32)
+        for k in long:
+            out[befores[k] : stops[k]] = self._long(units[k].as_py())
         # units of a text are those that begin inside it
         bounds = np.concatenate([[0], stops])[np.concatenate([np.searchsorted(starts, firsts), [len(units)]])]
         return [out[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
@@ -296,27 +334,30 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     spark = docs.sparkSession
     limit_batches(spark)
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    wanted = max(partitions(spark), int(chars // _BUCKET_CHARS) + 1)
+    # fewer and larger buckets ask for less; small tables still have one for every core
+    wanted = max(min(partitions(spark), spark.sparkContext.defaultParallelism), int(chars // _BUCKET_CHARS) + 1)
     bucketed = docs.select(F.pmod(row_hash("doc_id", "text"), F.lit(wanted)).cast("int").alias("bucket"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     dealt = bucketed.mapInArrow(_pack, "bucket int, packet binary").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
 
     def ask(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         def asked(bucket, found):
-            words = [u for u in found if len(u) <= LONGEST_UNIT]
+            words = pc.unique(pa.concat_arrays(found)) if found else []
             for start in range(0, len(words), 1 << 16):
                 part = words[start : start + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(part), pa.int32()), pa.array(part, pa.string())], ["bucket", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), bucket, np.int32)), part], ["bucket", "word"])
 
-        cut, now, found = cutter(path).units, None, set()
+        cut, now, found = cutter(path).units, None, []
         for batch in batches:
             for bucket, packet in zip(batch.column("bucket").to_pylist(), batch.column("packet"), strict=True):
                 if bucket != now:
                     yield from asked(now, found)
-                    now, found = bucket, set()
+                    now, found = bucket, []
                 for group in _groups(_unpack(packet.as_py()).column("text").to_pylist()):
-                    found.update(cut("".join(map(prepared, group)))[0])
+                    units, _, sizes = cut("".join(map(prepared, group)))
+                    found.append(pc.unique(units.filter(pa.array(sizes <= LONGEST_UNIT))))
         yield from asked(now, found)
 
     # asks are placed by unit once; the distinct units and the way back to the buckets read the same exchange,
@@ -330,16 +371,17 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         import pyarrow as pa
 
         listed = words.column("codes").combine_chunks()
-        speller = _Speller(words.column("word").to_pylist(), listed.values.to_numpy(zero_copy_only=False), listed.offsets.to_numpy(), path) if words.num_rows else _Speller([], np.empty(0, np.int32), np.zeros(1, np.int32), path)
+        asked = words.column("word").combine_chunks().cast(pa.string())
+        speller = _Speller(asked, listed.values.to_numpy(zero_copy_only=False), listed.offsets.to_numpy(), path) if words.num_rows else _Speller(asked, np.empty(0, np.int32), np.zeros(1, np.int32), path)
         tables = []
         for packet in packets.column("packet"):
             texts = _unpack(packet.as_py())
             rows, crcs, trips = [], [], []
             for group in _groups(texts.column("text").to_pylist()):
-                for text, ids in zip(group, speller.texts(group), strict=True):
-                    rows.append(ids)
-                    crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                    trips.append(decode_ids(ids.tolist(), path) == text)
+                spelt = speller.texts(group)
+                rows += spelt
+                crcs += [zlib.crc32(ids.astype("<u4").tobytes()) for ids in spelt]
+                trips += [back == text.encode() for text, back in zip(group, decode_many(spelt, path), strict=True)]
             sizes = np.array([len(r) for r in rows], np.int64)
             flat = pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32), pa.int32())
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat)
@@ -365,7 +407,7 @@ def _pack(batches: Iterator) -> Iterator:
         for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(buckets)], strict=True) if len(starts) else []:
             sink = pa.BufferOutputStream()
             part = rows.slice(start, stop - start).select(["doc_id", "text"])
-            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as out:
                 out.write_batch(part)
             packets.append(sink.getvalue().to_pybytes())
         yield pa.RecordBatch.from_arrays([pa.array(buckets[starts].astype(np.int32)), pa.array(packets, pa.binary())], ["bucket", "packet"])

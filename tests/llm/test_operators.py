@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -248,6 +249,33 @@ def test_main_text(spark):
     assert pagetext.main_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("html,text", [
+    ("<article><p>one</p><![foo[x]]><p>two</p></article>", "one\ntwo"),
+    ("<article>a<![if IE]>b<![endif]>c<![CDATA[x]]>d</article>", "abcd"),
+    ("<article><p class=ad>buy<p>real text one</p><p>two</p></article>", "real text one\ntwo"),
+    ("<article><ul><li class='share'>Share<li>real item<ul><li>inner</ul><li>last</ul></article>", "real item\ninner\nlast"),
+    ("<article><label>x<p>b</article>", "b"),
+    ("<article><dl><dt class=ad>t<dd>one<dt>two<dd>three</dl></article>", "one\ntwo\nthree"),
+    ("<article><table><tr><td class=ad>a<td>b<tr><td>c</table></article>", "b\nc"),
+    ("<article><h2 id='search'>How search works</h2><p id='header-1'>Text</p><div id='related'>no</div></article>", "How search works\nText"),
+    ("<article><p>This <span class='search'>search</span> stays</p></article>", "This search stays"),
+    ("<article><p>a</b></i> b<p>c</article></article>d", "a b\nc"),
+    ("<article><section class=comments><article><p>no</article></section><p>yes</article>", "yes"),
+])
+def test_blocks_end_as_html_says(html, text):
+    assert "\n".join(t for s, t in pagetext.page_blocks(html) if s == pagetext.CONTENT) == text
+
+
+def test_long_pages_take_time_in_proportion():
+    took = []
+    for size in (20_000, 80_000):
+        page = "<article>" + "<p>x y</b><i>z" * size + "</article>"
+        started = time.perf_counter()
+        assert len(pagetext.page_blocks(page)) == size
+        took.append(time.perf_counter() - started)
+    assert took[1] < 12 * took[0]
+
+
 def main_texts(spark, pages):
     """Texts by page_id of (page_id, url, html)."""
     got = {}
@@ -359,8 +387,8 @@ def test_no_piece_crosses_units():
     cut = pieces.cutter(public_tokenizers.path("piece_bpe_32k.model"))
     for text in ("Die Straße, ñandú  x\n\nein éècnu 12.5€ über", "aaaa bb ccc", "日本語 ☃☃", "z", prose(3, 60)):
         whole = pieces.prepared(text)
-        found, starts = cut.units(whole)
-        assert "".join(found) == whole and all(found)
+        found, starts, sizes = cut.units(whole)
+        assert "".join(found.to_pylist()) == whole and [len(u) for u in found.to_pylist()] == sizes.tolist() and all(sizes)
         covered = {k for i in range(len(whole)) for n in range(2, 17) if whole[i : i + n] in known and i + n <= len(whole) for k in range(i + 1, i + n)}
         assert not covered & set(starts.tolist())
-    assert cut.units("") [0] == []
+    assert len(cut.units("")[0]) == 0
