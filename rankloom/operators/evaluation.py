@@ -12,6 +12,7 @@ from rankloom.functions import order
 from rankloom.functions.numeric import flag, num, ratio, rnd, stable_mean
 from rankloom.functions.urls import is_aggregator
 from rankloom.operators.preferences import STRONG_MARGIN, UNCERTAIN_MARGIN, WEAK_MARGIN, WEIGHTS, preference_summary
+from rankloom.session import kept
 
 # --- fixed values -----------------------------------------------------------
 TEXT_VOLUME_FEATURES = ("word_count", "text_length_chars", "paragraph_count", "sentence_count")
@@ -97,6 +98,8 @@ def top_hit(predictions: DataFrame, k: int = 3, keys: Sequence[str] = QUERY_KEYS
 
 
 def query_metrics(predictions: DataFrame, keys: Sequence[str] = QUERY_KEYS) -> DataFrame:
+    """All metrics of every group; the few columns they read are written once, as each metric reads them in an order of its own."""
+    predictions = kept(predictions.select(*keys, "url", "rank", "target_score", "prediction"))
     counts = predictions.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
     return (
         counts.join(ndcg(predictions, 10, keys), list(keys))

@@ -160,26 +160,20 @@ def competitor_selection(candidates: DataFrame) -> DataFrame:
     )
 
 
-def _histogram_of(selected: DataFrame, label: Column, name: str) -> DataFrame:
-    counts = (
-        selected.filter(F.col("context_status") == "discarded")
-        .groupBy("audit_id", label.alias("_label"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    text = F.concat_ws(",", F.array_sort(F.collect_list(F.concat_ws(":", "_label", F.col("_n").cast("string")))))
-    return counts.groupBy("audit_id").agg(text.alias(name))
+def _labelled_counts(label: str) -> Column:
+    """``label:count`` of discarded entries in label order, over the collected (label, n) entries of one audit."""
+    gone = F.filter("entries", lambda e: e["context_status"] == "discarded")
+    labels = F.array_sort(F.array_distinct(F.transform(gone, lambda e: e[label])))
+    total = lambda name: F.aggregate(F.filter(gone, lambda e: e[label] == name), F.lit(0).cast("bigint"), lambda n, e: n + e["n"])
+    return F.array_join(F.array_sort(F.transform(labels, lambda name: F.concat_ws(":", name, total(name).cast("string")))), ",")
 
 
 def context_quality(audits: DataFrame, selected: DataFrame, min_competitors: int = MIN_COMPETITORS) -> DataFrame:
-    """One row per audit: counts, coverage, status ladder, reason and error-code histograms."""
-    counts = selected.groupBy("audit_id").agg(
-        F.count(F.lit(1)).alias("found"),
-        F.count_if(F.col("context_status") == "accepted").alias("analyzed"),
-        F.count_if(F.col("context_status") == "discarded").alias("failed"),
-        F.count_if(F.col("context_status") == "unused").alias("unused_candidates"),
-        F.sum("replacement_attempt").alias("replacement_attempts"),
-        F.sum("replacement_candidate").alias("replacements_used"),
-    )
+    """One row per audit: counts, coverage, status ladder, reason and error-code histograms.
+
+    The selection is read once: counted by audit, status, reason and code, and
+    those counts (at most one per candidate, so 100 an audit) by audit.
+    """
     filled = lambda name: F.nullif(F.trim(F.coalesce(F.col(name), F.lit(""))), F.lit(""))
     code = F.coalesce(
         filled("fetch_error_code"),
@@ -187,11 +181,19 @@ def context_quality(audits: DataFrame, selected: DataFrame, min_competitors: int
         filled("fetch_status"),
         F.lit("unknown"),
     )
+    entries = selected.groupBy("audit_id", "context_status", "discard_reason", code.alias("code")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("replacement_attempt").alias("attempts"), F.sum("replacement_candidate").alias("used")
+    )
+    of = lambda status: F.sum(F.when(F.col("context_status") == status, F.col("n")).otherwise(0))
+    counts = entries.groupBy("audit_id").agg(
+        F.sum("n").alias("found"), of("accepted").alias("analyzed"), of("discarded").alias("failed"), of("unused").alias("unused_candidates"),
+        F.sum("attempts").alias("replacement_attempts"), F.sum("used").alias("replacements_used"),
+        F.collect_list(F.struct("context_status", "discard_reason", "code", "n")).alias("entries"),
+    )
+    counts = counts.select("*", _labelled_counts("discard_reason").alias("discard_reasons"), _labelled_counts("code").alias("fetch_error_codes")).drop("entries")
     joined = (
         audits.select("audit_id", "requested_top_n")
         .join(counts, "audit_id", "left")
-        .join(_histogram_of(selected, F.col("discard_reason"), "discard_reasons"), "audit_id", "left")
-        .join(_histogram_of(selected, code, "fetch_error_codes"), "audit_id", "left")
         .na.fill(0, ["found", "analyzed", "failed", "unused_candidates", "replacement_attempts", "replacements_used"])
         .na.fill("", ["discard_reasons", "fetch_error_codes"])
     )

@@ -563,15 +563,26 @@ _HEAVY = {
 _EXTRA = {
     "semantic_similarity": "sim", "title_semantic_alignment": rnd("sim * tcov", 6), "heading_semantic_alignment": rnd("sim * hcov", 6),
     "cta_semantic_score": rnd(f"{_COMP['conversion_signal_score']} * sim", 6), "page_query": "query",
+    "h1_count": "1", "h2_count": "CASE WHEN h2 <> '' THEN 1 ELSE 0 END", "h3_count": "CASE WHEN h3 <> '' THEN 1 ELSE 0 END", "title_present": "CASE WHEN title <> '' THEN 1 ELSE 0 END",
+    "meta_description_present": "CASE WHEN descr <> '' THEN 1 ELSE 0 END", "query_in_text": "CASE WHEN contains(lower(text), ph) THEN 1 ELSE 0 END",
+    "meta_query_term_count": "list_sum(list_transform(q, lambda t: len(list_filter(me, lambda x: x = t))))", "meta_keyword_coverage_ratio": rnd("len(list_filter(q, lambda t: list_contains(me, t))) * 1e0 / ql", 6),
+    "link_count": "na", "image_count": "ni", "list_item_count": "nl", "strong_tag_count": "nb", "form_count": "nf", "input_count": "nin",
+    **{f"{n}_density_per_1000_words": rnd(f"{c} * (1e3 / word_count)", 6) for n, c in (("image", "ni"), ("list", "nl"), ("strong", "nb"))},
+    "query_core_phrase_present": "CASE WHEN pc > 0 THEN 1 ELSE 0 END", "query_intent_modifier_matches": "im_n",
+}
+_TECH_EXTRA = {
+    "http_status_ok": "ok", "has_redirect": "CASE WHEN redirect_count > 0 THEN 1 ELSE 0 END", "meta_robots_present": "CASE WHEN page_id % 5 < 3 THEN 1 ELSE 0 END", "x_robots_tag_present": "CASE WHEN page_id % 8 = 0 THEN 1 ELSE 0 END",
+    "lang_present": "CASE WHEN lang <> '' THEN 1 ELSE 0 END", "hreflang_present": "CASE WHEN hreflang_count > 0 THEN 1 ELSE 0 END", "url_has_query_parameters": "CASE WHEN params > 0 THEN 1 ELSE 0 END",
 }
 _INTENTS = ("intent_confidence", "commercial_intent_score", "local_intent_score", "informational_intent_score", "navigational_intent_score", "query_local_modifier")
 _AUDIT_STEPS = _CORE_SQL + "," + _TECH_HEAD[len(SNAP_SQL) + 1:] + "," + _TRUST_HEAD[len(SNAP_SQL) + 1:] + "," + _HEAVY_SQL[len(SNAP_SQL) + 1:] + f""",
 f1 AS (SELECT page_id, {', '.join(f'{e} AS {n}' for n, e in {**_STATS, **_MATCH, **_CORE, **_COMP, **_EXTRA}.items())} FROM q4),
 f2 AS (SELECT page_id, {_TECH_TAIL}), f3 AS (SELECT page_id, {_TRUST_TAIL}), f4 AS (SELECT page_id, {', '.join(f'{e} AS {n}' for n, e in _HEAVY.items())} FROM h3),
-v_rows AS (SELECT CAST(page_id AS VARCHAR) AS query, * FROM f1 JOIN f2 USING (page_id) JOIN f3 USING (page_id) JOIN f4 USING (page_id)),
+f5 AS (SELECT page_id, {', '.join(f'{e} AS {n}' for n, e in _TECH_EXTRA.items())} FROM k2),
+v_rows AS (SELECT CAST(page_id AS VARCHAR) AS query, * FROM f1 JOIN f2 USING (page_id) JOIN f3 USING (page_id) JOIN f4 USING (page_id) JOIN f5 USING (page_id)),
 q AS (SELECT page_id AS p_partkey, query FROM q4), {_INTENT_STEPS},{_ALIGNED}"""
 AUDIT_COLUMNS = tuple(dict.fromkeys([
-    *_STATS, *_MATCH, *_CORE, *_COMP, *[n for n in _EXTRA if n != "page_query"], "http_status_code", "redirect_count", "canonical_present", "canonical_matches_final_url", "robots_noindex", "robots_nofollow", "page_indexable",
+    *_STATS, *_MATCH, *_CORE, *_COMP, *[n for n in _EXTRA if n != "page_query"], *_TECH_EXTRA, "http_status_code", "redirect_count", "canonical_present", "canonical_matches_final_url", "robots_noindex", "robots_nofollow", "page_indexable",
     "viewport_present", "hreflang_count", "url_depth", "url_parameter_count", "redirect_efficiency_score", "url_hygiene_score", "technical_metadata_score", "canonical_signal_score", "technical_seo_score",
     *pf.COMMERCIAL_COLUMNS, *_HEAVY, *_INTENTS, *_ALIGNMENT,
 ]))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rankloom.operators import peers
 from rankloom.plans.oracle_text import big, clip, host, mean, rnd
 from rankloom.plans.registry import Catalog
+from rankloom.session import kept
 from rankloom.sources.views import load_view, view_cte
 
 CATALOG = Catalog()
@@ -174,14 +175,14 @@ def context_quality(spark: SparkSession, folder: str) -> DataFrame:
     return peers.context_quality(load_view(spark, folder, "v_targets"), _selected(spark, folder))
 
 
-def _competitive(spark: SparkSession, folder: str) -> DataFrame:
-    accepted = _selected(spark, folder).filter(F.col("context_status") == "accepted")
+def _competitive(spark: SparkSession, folder: str, selected: DataFrame) -> DataFrame:
+    accepted = selected.filter(F.col("context_status") == "accepted")
     return peers.competitiveness(load_view(spark, folder, "v_targets"), accepted.select("audit_id", "score"))
 
 
 @CATALOG.query("competitiveness", _CHAIN + "," + _COMP + " SELECT * FROM o_competitive")
 def competitiveness(spark: SparkSession, folder: str) -> DataFrame:
-    return _competitive(spark, folder)
+    return _competitive(spark, folder, _selected(spark, folder))
 
 
 @CATALOG.query("comparison_summary", _CHAIN + "," + _QUALITY + "," + _COMP + f""" SELECT audit_id, competitiveness_score AS user_score, primary_page_score, score_basis,
@@ -189,7 +190,10 @@ def competitiveness(spark: SparkSession, folder: str) -> DataFrame:
   {rnd('primary_page_score - competitor_average_score', 4)} AS primary_score_difference, competitors_found, competitors_analyzed, competitors_failed,
   replacement_attempts, status AS competitor_context_status, position_band, score_percentile FROM o_quality JOIN o_competitive USING (audit_id)""")
 def comparison_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return peers.comparison_summary(context_quality(spark, folder), _competitive(spark, folder))
+    # one selection for both sides
+    columns = ("audit_id", "context_status", "discard_reason", "fetch_error_code", "fetch_status", "replacement_attempt", "replacement_candidate", "score")
+    selected = kept(_selected(spark, folder).select(*columns))
+    return peers.comparison_summary(peers.context_quality(load_view(spark, folder, "v_targets"), selected), _competitive(spark, folder, selected))
 
 
 _GROUP_SQL = ", ".join(

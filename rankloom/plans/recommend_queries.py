@@ -12,6 +12,7 @@ from rankloom.plans.oracle_text import big, rnd
 from rankloom.plans.peer_queries import _TARGET_ORACLE, _CHAIN, _QUALITY
 from rankloom.plans.peer_queries import context_quality as quality_query
 from rankloom.plans.registry import Catalog
+from rankloom.session import stored
 from rankloom.sources.views import FEATURES, load_view
 
 CATALOG = Catalog()
@@ -24,7 +25,7 @@ _RELATIVE = [m for m, spec in recommend.METRICS.items() if spec[3] is not None]
 def prepared(spark: SparkSession, folder: str) -> DataFrame:
     rows = load_view(spark, folder, "v_rows").withColumn("audit_id", F.col("query"))
     lead = rows.groupBy("audit_id").agg(F.min_by("url", F.struct("rank", "url")).alias("own_url"))
-    joined = rows.join(lead, "audit_id")
+    joined = stored(rows.join(lead, "audit_id"))  # the view is read once, what follows reads some of its columns
     own, others = joined.filter(F.col("url") == F.col("own_url")), joined.filter(F.col("url") != F.col("own_url"))
     relative = peers.serp_relative_target(own, others).select("audit_id", "serp_relative_context_available", *_RELATIVE)
     pages = own.join(relative, "audit_id").withColumn("page_score", F.col("target_score"))

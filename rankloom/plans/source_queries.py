@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import datasets, evaluation, models
 from rankloom.operators import page_features as pf
+from rankloom.operators.feature_lists import feature_columns
 from rankloom.plans import dataset_queries as dq
 from rankloom.plans import evaluation_queries as eq
 from rankloom.plans import page_queries as pq
@@ -228,11 +229,11 @@ def feature_matrix(spark: SparkSession, folder: str) -> DataFrame:
     return _vectors(load_view(spark, folder, "v_rows"), FEATURES, ["query", "url"])
 
 
-@CATALOG.query("feature_matrix_pages", pq.AUDIT_SQL + f" SELECT page_id, query, CAST(page_id * 7 % 101 AS DOUBLE) AS label, {_vector_sql(pq.AUDIT_COLUMNS)} AS vector FROM au")
+@CATALOG.query("feature_matrix_pages", pq.AUDIT_SQL + f" SELECT page_id, query, CAST(page_id * 7 % 101 AS DOUBLE) AS label, {_vector_sql(feature_columns('v4'))} AS vector FROM au")
 def feature_matrix_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Every feature that is measured on a page."""
+    """All columns of the latest feature schema, measured on pages."""
     rows = pq.audited(spark, folder).withColumn("target_score", (F.col("page_id") * 7 % 101).cast("double"))
-    return _vectors(rows, pq.AUDIT_COLUMNS, ["page_id", "query"])
+    return _vectors(rows, feature_columns("v4"), ["page_id", "query"])
 
 
 # --- models -------------------------------------------------------------------

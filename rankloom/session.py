@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +56,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Written as Parquet to the shared folder and read back: for wide rows of which later steps read some columns or rows."""
+    folder = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """Written to the shared folder and read from there on: the lineage ends, and a lost executor costs no recomputation."""
     context = df.sparkSession.sparkContext
