@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from helpers import FOLDER, shingle_set, words_of
+from helpers import FOLDER, awkward, prose, shingle_set, words_of
 
 from rankloom.llm.common import DOCUMENT_COLUMNS, read
 from rankloom.llm.queries import CATALOG
@@ -32,3 +32,16 @@ def test_stages_hand_on_what_they_keep(spark, tmp_path):
         before = {r["doc_id"]: r["text"] for r in kept} if number < 4 else before
     assert all(r["round_trip"] and r["n_pieces"] == len(r["ids"]) for r in kept)
     assert len(kept) == spark.read.parquet(f"{tmp_path}/3").count()
+
+
+def test_run_hands_tables_from_stage_to_stage(spark, tmp_path):
+    """Awkward rows pass all stages: junk goes, one of equal texts stays, clashing columns change nothing, an empty table gives no rows."""
+    texts = [prose(k, 60) for k in range(12)] + [prose(0, 60), prose(1, 60) + " end"]
+    awkward(spark, texts).write.parquet(f"{tmp_path}/some/documents.parquet")
+    awkward(spark).limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    labels = spark.createDataFrame([(100 + k, 1, 0) for k in range(6)], "doc_id long, quality int, toxic int")
+    for folder in ("some", "none"):
+        labels.write.parquet(f"{tmp_path}/{folder}/labels.parquet")
+    kept = {r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/some").collect()}
+    assert kept and kept <= set(range(100, 112)) and 112 not in kept
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
