@@ -17,6 +17,9 @@ SAMPLE = (
     "preference_pairs", "preference_summary", "label_apply", "group_split", "stratified_split", "hard_negatives", "final_labels", "partition_stats",
     "stage_diagnostics", "run_diagnostics", "model_usage", "transition_violations", "extract_documents", "page_links", "text_stats",
     "query_core_features", "technical_seo", "commercial_trust", "semantic_similarity", "low_score_reason", "score_confidence", "early_stop_summary",
+    "scan_dataset", "scan_seeds", "scan_labels", "scan_snapshots", "append_new_rows", "rewrite_version", "write_manifest", "stream_ingest", "hard_negative_report",
+    "preference_accuracy", "preference_split_check", "prediction_delta", "load_summary", "worker_utilization", "peer_benchmark", "context_quality", "comparison_summary",
+    "query_core_dataset", "query_core_report", "enrich_dataset", "enrich_report", "feature_matrix_pages", "ranker_blend", "best_model",
 )
 
 
