@@ -254,16 +254,14 @@ def train_pointwise(spark: SparkSession, folder: str) -> DataFrame:
 
 @CATALOG.query("train_pairwise")
 def train_pairwise(spark: SparkSession, folder: str) -> DataFrame:
-    """The boosted ranker, its blend with a pointwise forest and the linear ranker, fitted on training queries, measured on the pairs of validation queries."""
-    train, validation = _split_rows(spark, folder)
-    pairs, labels = eq.pairs(spark, folder), eq.labels(spark, folder)
+    """The boosted and the linear ranker, fitted on training queries, measured on the pairs of validation queries."""
+    train, validation = (kept(rows) for rows in _split_rows(spark, folder))
+    pairs, labels = kept(eq.pairs(spark, folder)), eq.labels(spark, folder)
     ranker = models.train_pairwise(pairs, train, FEATURES, keep=lambda df: kept(df))
     scored = ranker.score(validation)
     _, linear = models.train_linear_pairwise(pairs, train, validation, FEATURES)
-    pointwise = models.predict(models.train_forest(train, FEATURES), validation, FEATURES, "pointwise").select("query", "url", "prediction")
-    blended = scored.join(pointwise, ["query", "url"]).select("query", "url", F.lit("hybrid").alias("model"), models.hybrid_score(F.col("prediction"), F.col("ranker_score")).alias("prediction"))
     named = lambda rows, name: rows.select("query", "url", F.lit(name).alias("model"), F.col("ranker_score").alias("prediction"))
-    return evaluation.label_preference_accuracy(labels, named(scored, "pairwise").unionByName(named(linear, "linear")).unionByName(blended))
+    return evaluation.label_preference_accuracy(labels, named(scored, "pairwise").unionByName(named(linear, "linear")))
 
 
 _RAW = "semantic_similarity * 7e0 - technical_seo_score * 3e0 + word_count / 1e3"
