@@ -98,3 +98,22 @@ def test_benchmarks_of_large_and_small_keys_agree(spark, monkeypatch):
             own = [r[2 + names.index(name)] for r in rows if r[0] == key and r[2 + names.index(name)] is not None]
             expected = None if key == "k0" else pytest.approx(np.quantile(own, 0.75 if recommend.METRICS[name][0] == "up" else 0.25), rel=1e-9)
             assert row[f"b_{name}"] == expected and large[key][f"b_{name}"] == expected
+
+
+def test_relative_rows_by_window_and_by_value_agree(spark):
+    from rankloom.operators import peers
+
+    draw = random.Random(6)
+    features = sorted({c for cols in peers.SERP_RELATIVE_GROUPS.values() for c in cols})
+    value = lambda: draw.choice([None, 0.1, 0.5, 0.5, draw.random()])
+    # groups without a value, a group of one, ties at the top, the same page twice
+    rows = [(f"q{q}", f"u{i}", *[value() for _ in features]) for q in range(6) for i in range(1 + q * q)] + [("none", "u", *[None] * len(features)), ("same", "u", *[0.3] * len(features)), ("same", "u", *[0.6] * len(features))]
+    table = spark.createDataFrame(rows, "query string, url string, " + ", ".join(f"{f} double" for f in features)).repartition(3)
+    found = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    by_value = found(peers._relative_long(table, ("query", "url")))
+    assert len(by_value) > 50 and found(peers.serp_relative_all(table)) == by_value
+    assert found(peers.serp_relative_all(table, own=4)) == by_value
+    everyone = found(peers._relative_long(table, ("query", "url"), every=True))
+    assert len(everyone) > len(by_value) and found(peers.serp_relative_all(table, own=4, every=True)) == everyone
+    plan = peers.serp_relative_all(table)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning") == 1 and "Generate" not in plan
