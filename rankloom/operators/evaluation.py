@@ -97,17 +97,65 @@ def top_hit(predictions: DataFrame, k: int = 3, keys: Sequence[str] = QUERY_KEYS
     return both.select(*keys, flag(F.arrays_overlap("p", "a")).cast("double").alias("top3_hit"))
 
 
-def query_metrics(predictions: DataFrame, keys: Sequence[str] = QUERY_KEYS) -> DataFrame:
-    """All metrics of every group; the few columns they read are written once, as each metric reads them in an order of its own."""
-    predictions = kept(predictions.select(*keys, "url", "rank", "target_score", "prediction"))
-    counts = predictions.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+def _metrics_apart(predictions: DataFrame, keys: Sequence[str], extra: Sequence[Column] = ()) -> DataFrame:
+    """``query_metrics`` metric by metric, none of which needs a group in one task."""
+    slim = kept(predictions)
+    counts = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), *extra)
     return (
-        counts.join(ndcg(predictions, 10, keys), list(keys))
-        .join(spearman(predictions, keys), list(keys))
-        .join(top_hit(predictions, 3, keys), list(keys))
+        counts.join(ndcg(slim, 10, keys), list(keys))
+        .join(spearman(slim, keys), list(keys))
+        .join(top_hit(slim, 3, keys), list(keys))
     )
 
 
+def _metrics_together(predictions: DataFrame, keys: Sequence[str], extra: Sequence[Column] = ()) -> DataFrame:
+    """``query_metrics`` of groups that one task holds: all places come from windows that share one shuffle."""
+    group = Window.partitionBy(*keys)
+    of = lambda *by: group.orderBy(*by)
+    every = lambda by: of(by).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    same = lambda by: of(by).rangeBetween(Window.currentRow, Window.currentRow)
+    t, p = F.desc("target_score"), F.desc("prediction")
+    # average ranks count from the other end, which leaves the correlation as it is; each order is sorted once
+    mean_rank = lambda by: F.rank().over(of(by)) + (F.count(F.lit(1)).over(same(by)) - 1) / 2.0
+    known = (F.col("target_score").isNotNull() & F.col("prediction").isNotNull()).cast("int")
+    placed = predictions.withColumns({"target_score": F.col("target_score").cast("double"), "prediction": F.col("prediction").cast("double")})
+    placed = placed.withColumn("ar", F.row_number().over(of(F.asc("rank"), F.asc("url"))))
+    placed = placed.withColumn("tr", F.row_number().over(of(t, F.asc("rank"), F.asc("url")))).withColumn("rt", mean_rank(t))
+    placed = placed.withColumn("pr", F.row_number().over(of(p, F.asc("rank"), F.asc("url")))).withColumn("rp", mean_rank(p))
+    placed = placed.withColumn("total", F.count(F.lit(1)).over(every(p)))
+    centred = lambda name: F.when(known == 1, F.col(name) - (F.col("total") + 1) / 2.0)
+    dt, dp = centred("rt"), centred("rp")
+    gain = F.pow(F.lit(2.0), F.col("target_score") / F.lit(100.0)) - F.lit(1.0)
+    top = lambda place: F.sum(F.when(F.col(place) <= 10, gain / F.log2(F.col(place) + F.lit(1.0))))
+    # a page given twice may be first by one of its rows and predicted by the other: URLs are what is compared, at most three a side
+    urls = lambda place: F.collect_set(F.when(F.col(place) <= 3, F.col("url")))
+    sums = placed.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"), *extra, top("pr").alias("dcg"), top("tr").alias("ideal"), urls("pr").alias("p"), urls("ar").alias("a"),
+        F.sum(dt * dp).alias("tp"), F.sum(dt * dt).alias("tt"), F.sum(dp * dp).alias("pp"),
+    )
+    usable = (F.col("tt") > 0) & (F.col("pp") > 0)
+    others = [c for c in sums.columns if c not in ("dcg", "ideal", "p", "a", "tp", "tt", "pp")]
+    return sums.select(
+        *others, ratio(F.col("dcg"), F.col("ideal")).alias("ndcg"), F.when(usable, F.col("tp") / F.sqrt(F.col("tt") * F.col("pp"))).alias("spearman"),
+        flag(F.arrays_overlap("p", "a")).cast("double").alias("top3_hit"),
+    )
+
+
+def query_metrics(predictions: DataFrame, keys: Sequence[str] = QUERY_KEYS, extra: Sequence[Column] = (), carried: Sequence[str] = (), own: int = order.OWN) -> DataFrame:
+    """All metrics of every group, and ``extra`` aggregates over the ``carried`` columns.
+
+    Rows are dealt once by group. A group of more rows than one task should
+    hold (``order.large_keys``) is measured metric by metric instead.
+    """
+    slim = predictions.select(*keys, *carried, "url", "rank", "target_score", "prediction")
+    large = order.large_keys(slim.select(*keys), keys, own)
+    if large is None:
+        return _metrics_together(slim, keys, extra)
+    cut, on = F.broadcast(large), list(keys)
+    few, many = _metrics_together(slim.join(cut, on, "left_anti"), keys, extra), _metrics_apart(slim.join(cut, on, "left_semi"), keys, extra)
+    return few.unionByName(many)
+
+
 def mean_metrics(per_query: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
     return per_query.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("queries"),
@@ -119,11 +167,10 @@ def mean_metrics(per_query: DataFrame, keys: Sequence[str] = ("model",)) -> Data
 
 def query_breakdown(predictions: DataFrame) -> DataFrame:
     """Metrics per query; the intent is "mixed" where a query has several."""
-    intents = predictions.groupBy(*QUERY_KEYS).agg(
-        F.min(F.coalesce("intent", F.lit("unknown"))).alias("lo"), F.max(F.coalesce("intent", F.lit("unknown"))).alias("hi")
-    )
+    known = F.coalesce("intent", F.lit("unknown"))
+    measured = query_metrics(predictions, extra=[F.min(known).alias("lo"), F.max(known).alias("hi")], carried=["intent"])
     label = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise("mixed")
-    return query_metrics(predictions).join(intents, list(QUERY_KEYS)).select(
+    return measured.select(
         *QUERY_KEYS, label.alias("intent"), "rows",
         F.coalesce(rnd(F.col("spearman"), 6), F.lit(0.0)).alias("spearman_mean"),
         rnd(F.col("ndcg"), 6).alias("ndcg_at_10"), F.col("top3_hit").alias("top_3_hit_rate"),

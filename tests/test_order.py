@@ -117,3 +117,19 @@ def test_relative_rows_by_window_and_by_value_agree(spark):
     assert len(everyone) > len(by_value) and found(peers.serp_relative_all(table, own=4, every=True)) == everyone
     plan = peers.serp_relative_all(table)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning") == 1 and "Generate" not in plan
+
+
+def test_metrics_by_window_and_apart_agree(spark):
+    from pyspark.sql import functions as F
+
+    draw = random.Random(8)
+    rows = [(m, f"q{q}", f"u{i}", draw.randrange(1, 9), draw.choice(["x", "y", None]), draw.choice([10.0, 55.5, draw.uniform(0, 100)]), draw.choice([1.0, 2.0, draw.random()])) for m in ("a", "b") for q in range(7) for i in range(1 + q * q)]
+    rows += [("a", "flat", f"u{i}", i, "x", 0.0, 1.0) for i in range(4)]
+    table = spark.createDataFrame(rows, "model string, query string, url string, rank int, intent string, target_score double, prediction double").repartition(3)
+    extra = {"extra": [F.max("intent").alias("hi")], "carried": ["intent"]}
+    found = lambda df: {(r.model, r.query): (r.rows, r.hi, round(r.ndcg, 10), None if r.spearman is None else round(r.spearman, 10), r.top3_hit) for r in df.collect()}
+    apart = found(evaluation._metrics_apart(table.select("model", "query", "intent", "url", "rank", "target_score", "prediction"), ("model", "query"), extra["extra"]))
+    whole = evaluation.query_metrics(table, **extra)
+    assert len(apart) == 15 and found(whole) == apart
+    assert found(evaluation.query_metrics(table, own=5, **extra)) == apart
+    assert evaluation.query_metrics(table, **extra)._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") == 1
