@@ -321,12 +321,14 @@ def label_preference_accuracy(labels: DataFrame, predictions: DataFrame) -> Data
     ordered alike by the prediction are the hits. Both counts per margin are
     dominance counts, so work grows with the pages and not with their pairs.
     """
-    keys = ["model", "query"]
     scores = predictions.filter(F.col("prediction").isNotNull()).select("model", "query", "url", F.col("prediction").cast("double").alias("prediction"))
-    points = scores.join(labels.select("query", "url", F.rint(F.col("ranking_target_score") * 1e4).cast("bigint").alias("target")), ["query", "url"])
-    # places stand for predictions: order and ties are all that counts
-    places = order.ordered_counts(points, keys, "prediction").select(*keys, "prediction", F.col("n_below").alias("place"))
-    placed = points.join(places, [*keys, "prediction"]).select(*keys, "target", "place")
+    return implied_preference_accuracy(scores.join(labels.select("query", "url", "ranking_target_score"), ["query", "url"]))
+
+
+def implied_preference_accuracy(scored: DataFrame) -> DataFrame:
+    """``label_preference_accuracy`` of rows that carry their label: model, query, ranking_target_score, prediction (not null)."""
+    keys = ["model", "query"]
+    placed = scored.select(*keys, F.rint(F.col("ranking_target_score") * 1e4).cast("bigint").alias("target"), F.col("prediction").cast("double").alias("place"))
     margins = {"strong": STRONG_MARGIN, "weak": WEAK_MARGIN, "uncertain": UNCERTAIN_MARGIN}
     hits = order.dominated(placed, keys, "target", "place", {name: int(m * 1e4) for name, m in margins.items()})
     pairs = preference_summary(placed.select("model", "query", (F.col("target") / 1e4).alias("ranking_target_score")), keys)

@@ -73,6 +73,30 @@ def test_accuracy_without_pairs_equals_accuracy_of_pairs(spark):
     assert counts(preferences.label_pair_counts(labels)) == counts(preferences.pair_counts(pairs))
 
 
+def test_points_of_small_groups_are_shuffled_once(spark):
+    draw = random.Random(5)
+    points = [(f"g{i % 7}", draw.randrange(40), draw.randrange(30) / 7) for i in range(600)]
+    table = spark.createDataFrame(points, "g string, x long, y double").repartition(3)
+    margins = {"near": 1, "far": 20, "wide": 30}
+    found = order.dominated(table, ["g"], "x", "y", margins)
+    got = {(r.g, r.margin): r.hits for r in found.collect()}
+    for g in {g for g, *_ in points}:
+        mine = [(x, y) for a, x, y in points if a == g]
+        for name, margin in margins.items():
+            assert got.get((g, name), 0) == sum(xi - xj >= margin and yi > yj for xi, yi in mine for xj, yj in mine)
+    assert "Generate explode" not in found._jdf.queryExecution().executedPlan().toString()  # a point does not travel once for each margin
+
+
+def test_accuracy_of_rows_that_carry_their_label(spark):
+    draw = random.Random(6)
+    pages = [(f"q{q}", f"u{q}-{i}", i, round(draw.uniform(0, 30), 4)) for q in range(4) for i in range(4 + 9 * q)]
+    labels = spark.createDataFrame([(q, u, r, t, t, t) for q, u, r, t in pages], "query string, url string, rank int, page_target_score double, ranking_target_score double, critical_search_score double")
+    scores = spark.createDataFrame([(m, q, u, draw.choice([t, 30 - t, 5.0, draw.random() * 30])) for m in ("x", "y") for q, u, _, t in pages], "model string, query string, url string, prediction double")
+    expected = sorted(map(tuple, evaluation.preference_accuracy(preferences.preference_pairs(labels), scores).collect()))
+    carried = scores.join(labels, ["query", "url"]).select("model", "query", "ranking_target_score", "prediction")
+    assert sorted(map(tuple, evaluation.implied_preference_accuracy(carried).collect())) == expected
+
+
 def test_spearman_ranks_stored_values(spark):
     rows = [("m", "q", 1.00001, 3.0), ("m", "q", 1.00002, 1.0), ("m", "q", 1.00003, 2.0), ("m", "r", 1.0, 1.0), ("m", "s", 2.0, 1.0), ("m", "s", 2.0, 4.0)]
     got = {r.query: r.spearman for r in evaluation.spearman(spark.createDataFrame(rows, "model string, query string, target_score double, prediction double")).collect()}
