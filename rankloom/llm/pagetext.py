@@ -1,9 +1,10 @@
-"""Main text of web pages: markup where it speaks, repeated runs of the host where it does not.
+"""Main text of web pages: repeated runs of the host, and markup where it speaks.
 
-Markup settles most blocks: what stands in an article (or main) is content,
-what stands in menus, footers, forms, scripts and the like is not. All other
-text of a page, furniture included, joins the token stream of its host. A run
-of ``least`` tokens is boilerplate by its share of the host's different pages
+What stands in an article (or main) is content. All other text of a page,
+furniture included, joins the token stream of its host, and what runs that the
+host repeats cover is cut. What they leave is checked by markup: menus,
+footers, forms, scripts and the like are no content either. A run of ``least``
+tokens is boilerplate by its share of the host's different pages
 and by its place: it goes where only furniture or other such runs lie between
 it and the head or foot of the page. What stands within a page's own text goes
 only if nearly all pages of a larger host have it, and a run on a handful of
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.markup import TolerantParser
-from rankloom.llm.common import bytes_of, cut, limit_batches, runs, windows, word_hashes
+from rankloom.llm.common import bytes_of, limit_batches, runs, stored, windows, word_hashes
 
 # Elements and names of what is not an article's text.
 FURNITURE = frozenset("nav header footer aside form button select option textarea input label dialog menu noscript script style template iframe object svg canvas video audio head title".split())
@@ -192,35 +193,44 @@ def own_text(blocks: list[dict], repeated: dict[int, int], least: int) -> str:
     return "\n".join(t for t in kept if t)
 
 
+def run_tokens(stream: np.ndarray, repeated: set[int], least: int) -> int:
+    """How many tokens of a stream lie in repeated runs."""
+    at = np.flatnonzero([h in repeated for h in stream.tolist()])
+    return int(np.minimum(np.diff(at), least).sum() + least) if len(at) else 0
+
+
 def _parsed(pages: DataFrame, least: int) -> DataFrame:
-    """page_id, url, row, content (what tells pages apart), text (settled pages), open (texts and standing of blocks of the others), runs (hashes of the token stream)."""
+    """page_id, url, content (what tells pages apart), text (of content blocks, null where others are open), open (texts and standing of blocks of such pages), tokens and runs (hashes) of the token stream outside content."""
 
     def parse(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         kinds = pa.struct([("standing", pa.int32()), ("text", pa.string())])
         for batch in batches:
-            contents, texts, opened, found = [], [], [], []
+            contents, texts, opened, sizes, found = [], [], [], [], []
             for data in bytes_of(batch.column("html")):
                 blocks = page_blocks(data.decode("utf-8", "replace"))
                 settled = all(s != OPEN for s, _ in blocks)
                 # copies may differ in markup and furniture; pages of nothing else are told apart by it
                 told = "\n".join([t for s, t in blocks if s != OTHER] or [t for _, t in blocks])
+                outside = [t for s, t in blocks if s != CONTENT]
                 contents.append(xxhash.xxh3_64_intdigest(told.encode()) - (1 << 63))
                 texts.append("\n".join(t for s, t in blocks if s == CONTENT) if settled else None)
                 opened.append(None if settled else [{"standing": s, "text": t} for s, t in blocks])
-                found.append(np.unique(stream_windows([t for s, t in blocks if s != CONTENT], least)))
+                sizes.append(sum(t.count(" ") + 1 for t in outside))
+                found.append(stream_windows(outside, least))
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(batch.column(c) for c in ("page_id", "url", "row")),
-                    pa.array(contents, pa.int64()), pa.array(texts, pa.string()), pa.array(opened, pa.list_(kinds)), pa.array(found, pa.list_(pa.int64())),
+                    *(batch.column(c) for c in ("page_id", "url")), pa.array(contents, pa.int64()), pa.array(texts, pa.string()),
+                    pa.array(opened, pa.list_(kinds)), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64())),
                 ],
-                ["page_id", "url", "row", "content", "text", "open", "runs"],
+                ["page_id", "url", "content", "text", "open", "tokens", "runs"],
             )
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    rows = pages.select("page_id", "url", "html", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("page_id", "url", "html")]).alias("row"))
-    return rows.mapInArrow(parse, f"page_id {kind}, url string, row long, content long, text string, open array<struct<standing:int,text:string>>, runs array<long>")
+    return pages.select("page_id", "url", "html").mapInArrow(
+        parse, f"page_id {kind}, url string, content long, text string, open array<struct<standing:int,text:string>>, tokens long, runs array<long>"
+    )
 
 
 def host_of(url):
@@ -228,44 +238,53 @@ def host_of(url):
 
 
 def repeated_runs(parsed: DataFrame, share: float, nearly_all: float, many: int) -> DataFrame:
-    """host (hashed), run, strength: runs that at least two and ``share`` of a host's different pages have, for hosts with open pages."""
-    rows = parsed.select(F.xxhash64(host_of(F.col("url"))).alias("host"), "content", "runs", F.col("open").isNotNull().alias("waits"))
-    sizes = rows.filter(F.size("runs") > 0).groupBy("host").agg(F.count_distinct("content").alias("of"), F.max("waits").alias("waits")).filter("waits")
+    """host (hashed), run, strength: runs that at least two and ``share`` of a host's different pages have."""
+    rows = parsed.select(F.xxhash64(host_of(F.col("url"))).alias("host"), "content", "runs")
+    sizes = rows.filter(F.size("runs") > 0).groupBy("host").agg(F.count_distinct("content").alias("of"))
     each = rows.select("host", "content", F.explode("runs").alias("run")).distinct()
     counted = each.groupBy("host", "run").agg(F.count("*").alias("pages")).filter(F.col("pages") >= 2)
     part = F.col("pages") / F.col("of")
     strength = F.when(F.col("pages") < many, SOME).when(part < nearly_all, MANY).otherwise(NEARLY_ALL)
-    return counted.join(sizes.select("host", "of"), "host").filter(part >= share).select("host", "run", strength.alias("strength"))
+    return counted.join(sizes, "host").filter(part >= share).select("host", "run", strength.alias("strength"))
 
 
 def main_text(pages: DataFrame, *, least: int = 8, share: float = 0.5, nearly_all: float = 0.9, many: int = 5) -> DataFrame:
-    """One row per page: page_id, url, text, n_chars.
+    """One row per page: page_id, url, text, n_chars, and of the tokens outside content n_run_tokens (in repeated runs) and n_markup_tokens (the others, where markup settles the page).
 
     Null html and pages without content have the empty text. Null urls share
-    the host "". Equal rows get equal rows. Repeated runs are looked up
-    for the pages with open blocks; a run counts once for pages of equal text.
+    the host "". Equal rows get equal rows; a run counts once for pages of
+    equal text. A host has at most ``1 / share`` times as many repeated runs as
+    its mean page has runs, so they travel to its pages as one list.
     """
     limit_batches(pages.sparkSession)
-    parsed = cut(_parsed(pages, least))
-    settled = parsed.filter(F.col("open").isNull()).select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
-    waiting = parsed.filter(F.col("open").isNotNull())
-    if waiting.isEmpty():  # markup has settled every page: no run is asked for, so none is counted
-        return settled.withColumn("n_chars", F.length("text").cast("long"))
-    hits = (
-        waiting.select("row", F.xxhash64(host_of(F.col("url"))).alias("host"), F.explode("runs").alias("run"))
-        .join(repeated_runs(parsed, share, nearly_all, many), ["host", "run"])
-        .groupBy("row").agg(F.collect_set(F.struct("run", "strength")).alias("repeated"))
-    )
+    parsed = stored(_parsed(pages, least))
+    # written first, so that the join knows their size and moves no page for short lists
+    listed = stored(repeated_runs(parsed, share, nearly_all, many).groupBy("host").agg(F.collect_list(F.struct("run", "strength")).alias("repeated")))
 
     def prune(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            texts = []
-            for blocks, repeated in zip(batch.column("open").to_pylist(), batch.column("repeated").to_pylist(), strict=True):
-                texts.append(own_text(blocks, {r["run"]: r["strength"] for r in repeated or ()}, least))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+            texts, by_runs, by_markup = [], [], []
+            kept = {}  # neighbouring pages often share their host's list
+            for k in range(batch.num_rows):
+                host = batch.column("host")[k].as_py()
+                if host not in kept:
+                    kept = {host: {r["run"]: r["strength"] for r in batch.column("repeated")[k].as_py() or ()}}
+                repeated, text = kept[host], batch.column("text")[k].as_py()
+                stream = batch.column("runs")[k].values.to_numpy(zero_copy_only=False)
+                covered = run_tokens(stream, repeated, least)
+                by_runs.append(covered)
+                by_markup.append(batch.column("tokens")[k].as_py() - covered if text is not None else None)
+                texts.append(own_text(batch.column("open")[k].as_py(), repeated, least) if text is None else text)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(by_runs, pa.int64()), pa.array(by_markup, pa.int64())],
+                ["page_id", "url", "text", "n_run_tokens", "n_markup_tokens"],
+            )
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    pruned = waiting.join(hits, "row", "left").select("page_id", "url", "open", "repeated").mapInArrow(prune, f"page_id {kind}, url string, text string")
-    return settled.unionByName(pruned).withColumn("n_chars", F.length("text").cast("long"))
+    placed = parsed.withColumn("host", F.xxhash64(host_of(F.col("url")))).join(listed, "host", "left")
+    pruned = placed.select("page_id", "url", "host", "text", "open", "tokens", "runs", "repeated").mapInArrow(
+        prune, f"page_id {kind}, url string, text string, n_run_tokens long, n_markup_tokens long"
+    )
+    return pruned.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_run_tokens", "n_markup_tokens")

@@ -232,6 +232,17 @@ def test_long_units_merge_like_short_ones():
 
 
 # ---- 8: pages ------------------------------------------------------------------------
+def test_repeated_runs_work_on_pages_that_markup_settles(spark):
+    nav = " ".join(f"menu{k}" for k in range(10))
+    page = lambda k: f"<nav>{nav} own{k}</nav><article><p>Text number {k} of its own.</p></article><footer>note {k}</footer>"
+    pages = [(k, f"https://h.example/{k}", page(k)) for k in range(6)] + [(9, "https://other.example/", page(9))]
+    got = {r.page_id: r for r in pagetext.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for k in range(6):
+        # the menu is a run of the host; what differs from page to page is left to markup
+        assert (got[k].text, got[k].n_run_tokens, got[k].n_markup_tokens) == (f"Text number {k} of its own.", 10, 3)
+    assert (got[9].text, got[9].n_run_tokens, got[9].n_markup_tokens) == ("Text number 9 of its own.", 0, 13)
+
+
 def test_main_text(spark):
     banner = "<div>This very same banner stands on all pages of the host</div>"
     html = {
