@@ -192,3 +192,13 @@ def test_forest_queries_fit_no_other_model(spark, monkeypatch):
     found = sq.feature_importance(spark, "/root/testdata/sf0.001").collect()
     assert [(r.feature, r.importance) for r in found] == [(sq.FEATURES[0], 1.0)]
     assert isinstance(sq.score_response(spark, "/root/testdata/sf0.001"), Forest) and len(asked) == 2
+
+
+def test_relative_target_moves_means_and_not_features(spark):
+    from rankloom.operators import peers
+    from rankloom.plans import peer_queries
+
+    own, others = peer_queries._target_and_peers(spark, "/root/testdata/sf0.001")
+    assert set(own.columns) == set(others.columns) == {"audit_id", "url", "own_url", "_groups"}
+    row = own.first()
+    assert len(row._groups) == len(peers.SERP_RELATIVE_GROUPS) and row.url == row.own_url
