@@ -15,10 +15,13 @@ share of the block's differences fit into.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,7 +36,7 @@ _BLOCK_HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("exceptions", "<u2")])
 
 
 def _bit_lengths(values: np.ndarray) -> np.ndarray:
-    return np.where(values > 0, np.floor(np.log2(np.maximum(values, 1).astype(np.float64))) + 1, 0).astype(np.int64)
+    return np.frexp(values.astype(np.float64))[1].astype(np.uint8)  # the exponent above a half; 0 of 0
 
 
 def pack_blocks(ids: np.ndarray, block: int = BLOCK, percentile: float = 0.9) -> tuple[np.ndarray, bytes]:
@@ -53,7 +56,7 @@ def pack_blocks(ids: np.ndarray, block: int = BLOCK, percentile: float = 0.9) ->
         kept = np.where(outside, 0, apart)
         for width in np.unique(widths):
             rows = np.flatnonzero(widths == width)
-            spread = ((kept[rows][:, :, None] >> np.arange(width)) & 1).astype(np.uint8).reshape(len(rows), -1)
+            spread = np.unpackbits(kept[rows].astype("<u4").view(np.uint8), axis=1, bitorder="little").reshape(-1, 32)[:, :width].reshape(len(rows), -1)
             packed[int(width)] = dict(zip(rows.tolist(), (r.tobytes() for r in np.packbits(spread, axis=1, bitorder="little")), strict=True)) if width else dict.fromkeys(rows.tolist(), b"")
         for k in range(whole):
             places = np.flatnonzero(outside[k])
@@ -75,7 +78,9 @@ def unpack_blocks(area: bytes, offsets: np.ndarray, first: int, last: int, block
         row = out[k - first]
         if width:
             bits = np.unpackbits(np.frombuffer(area, np.uint8, size, at), count=block * width, bitorder="little").reshape(block, width)
-            row[:] = bits @ (1 << np.arange(width, dtype=np.int64))
+            wide = np.zeros((block, 32), np.uint8)
+            wide[:, :width] = bits
+            row[:] = np.packbits(wide, axis=1, bitorder="little").view("<u4")[:, 0]
         else:
             row[:] = 0
         if more:
@@ -129,13 +134,41 @@ class TokenFile:
             k = stop
 
 
+# what a file must say for its words to be cut here: lower-cased, then runs of letters, single digits, runs of the rest
+_CUT_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_CUT_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_CUT_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+# characters whose lower case, class and composed form are the same in every version of Unicode
+_CUT_WORD = "[!-~¡«»¿À-ÖØ-öø-ÿ]+"
+_CUT_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+def _byte_characters() -> list[str]:
+    """The character that byte-level files write for every byte."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(0x100, 0x200))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
+def _cuts_words(path: str) -> bool:
+    """Whether a tokenizers file cuts words as ``_CUT_PIECE`` does and merges every piece by itself."""
+    with open(path, encoding="utf-8") as file:
+        form = json.load(file)
+    plain = form["model"]["type"] == "BPE" and not form["model"].get("dropout")
+    return plain and form["normalizer"] == _CUT_NORMALIZER and form["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [_CUT_SPLIT, _CUT_BYTES]}
+
+
+@lru_cache(maxsize=2)
 def word_encoder(path: str, most: int = 400_000) -> Callable[[list[bytes]], list[np.ndarray]]:
     """Encoder of UTF-8 texts with a tokenizers file whose tokens never span white space.
 
     Pieces between white space repeat: each is encoded once and looked up from
     then on, until ``most`` are known; later ones are encoded with the texts
     that hold them. Pieces go to the tokenizer many at a time, kept apart by
-    one of its special tokens.
+    one of its special tokens. Where the file cuts words in a way known here
+    (``_cuts_words``), the words of common characters are cut first, and the
+    tokenizer's model merges every different piece once. A worker process
+    keeps what it learned for its next task.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core already
     from tokenizers import Tokenizer
@@ -145,8 +178,37 @@ def word_encoder(path: str, most: int = 400_000) -> Callable[[list[bytes]], list
     width = np.dtype(kind).itemsize
     apart = next(((i, t.content) for i, t in tokenizer.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)), None)
     known: dict[bytes, bytes] = {}
+    cuts = _cuts_words(path)
+    special = "".join({t.content[0] for t in tokenizer.get_added_tokens_decoder().values()})
+    cut_here = re.compile(f"(?!.*[{re.escape(special)}]){_CUT_WORD}" if special else _CUT_WORD).fullmatch
+    shown = _byte_characters()
+    table = {c: "".join(shown[b] for b in chr(c).encode()) for c in (*range(0x21, 0x7F), *range(0xA1, 0x100))}
+    merge = tokenizer.model.tokenize
+
+    class Merged(dict):
+        """Ids of every piece the model has merged; the first ``most`` stay."""
+
+        def __missing__(self, piece: str) -> bytes:
+            ids = np.array([t.id for t in merge(piece.translate(table))], kind).tobytes()
+            if len(self) < most:
+                self[piece] = ids
+            return ids
+
+    ids_of = Merged().__getitem__
+
+    def learn_cut(words: list[bytes]) -> tuple[dict[bytes, bytes], list[bytes]]:
+        """Ids of the words that are cut here, and the other words."""
+        texts = b"\n".join(words).decode()
+        out, others = {}, []
+        for word, text, low in zip(words, texts.split("\n"), texts.lower().split("\n"), strict=True):
+            if cut_here(text):
+                out[word] = b"".join(map(ids_of, _CUT_PIECE.findall(low)))
+            else:
+                others.append(word)
+        return out, others
 
     def learn(words: list[bytes]) -> dict[bytes, bytes]:
+        done, words = learn_cut(words) if cuts and words else ({}, words)
         # a piece that may hold a special token itself goes alone
         alone = [w for w in words if not apart or apart[1][0].encode() in w]
         plain = [w for w in words if apart and apart[1][0].encode() not in w]
@@ -157,7 +219,7 @@ def word_encoder(path: str, most: int = 400_000) -> Callable[[list[bytes]], list
             stops = np.flatnonzero(ids == apart[0]) * width
             data = ids.tobytes()
             out.update(zip(group, (data[a:b] for a, b in zip([0, *(stops + width).tolist()], [*stops.tolist(), len(data)], strict=True)), strict=True))
-        return out
+        return {**out, **done}
 
     def encode(texts: list[bytes]) -> list[np.ndarray]:
         split = [t.split() for t in texts]  # of bytes: at the six ASCII blanks only

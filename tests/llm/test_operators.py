@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import time
 import zlib
@@ -155,6 +156,33 @@ def test_blocks_round_trip(percentile):
         assert [d for d, _, _ in file.documents()] == [None, 4]
 
 
+def test_word_encoder_merges_a_piece_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, draw = Tokenizer.from_file(path), random.Random(5)
+    signs = [chr(c) for c in range(0x21, 0x250) if not chr(c).isspace()] + ["'s", "'LL", "e\u0301", "<|endoftext|>", "\u0130", "\u03a3"]
+    texts = ["".join(draw.choices(signs, k=draw.randint(1, 9))) for _ in range(5000)]
+    encode = tokenfiles.word_encoder(path)
+    for text, ids in zip(texts, encode([t.encode() for t in texts]), strict=True):
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    # what a worker process has learned serves its next task, and only words that are not cut go to the tokenizer whole
+    assert tokenfiles.word_encoder(path) is encode
+    asked = []
+    whole = Tokenizer.from_file(path)
+
+    class Counted:
+        model = property(lambda self: self)
+        encode = lambda self, text, **options: asked.append(text) or whole.encode(text, **options)
+        tokenize = lambda self, piece: asked.append(piece) or whole.model.tokenize(piece)
+        __getattr__ = lambda self, name: getattr(whole, name)
+
+    monkeypatch.setattr("tokenizers.Tokenizer.from_file", lambda _: Counted(), raising=False)
+    again = tokenfiles.word_encoder.__wrapped__(path)
+    again([b"Zorvik zorvik, ZORVIK. (zorvik) zorvik!", "zorvik\u2014".encode()])
+    assert sum("orvik" in text for text in asked) == 2
+
+
 def test_token_table(spark):
     from tokenizers import Tokenizer
 
