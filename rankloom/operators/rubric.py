@@ -184,28 +184,38 @@ def rubric_labels(rows: DataFrame) -> DataFrame:
         "important_extremely_thin_content": (words > 0) & (words < 80),
         "supporting_text_insufficient": (words >= 80) & (words < 250),
     }
-    caps = F.array_compact(
-        F.array(*[F.when(condition, F.struct(F.lit(name).alias("reason"), F.lit(CAPS[name]).alias("cap"))) for name, condition in conditions.items()])
+    staged = staged.select(
+        "*", raw.alias("_raw"), *[condition.alias(f"_cap_{name}") for name, condition in conditions.items()], *[rnd(F.col(f"_s_{name}"), 9).alias(f"_r_{name}") for _, name in SIGNALS]
+    )
+    # candidates are columns, so ranking is compiled; nulls sort last, and of equal scores the first signal is the greatest entry
+    scored = [(name, F.col(f"_r_{name}"), F.lit(-i).alias("place")) for i, (_, name) in enumerate(SIGNALS)]
+    listed = lambda order, keep=None: F.slice(
+        F.sort_array(
+            F.array(*[
+                entry if keep is None else F.when(keep(score), entry)
+                for entry, score in ((F.struct(order(score).alias("order"), place, F.lit(name).alias("name")), score) for name, score, place in scored)
+            ]),
+            asc=False,
+        ),
+        1, 3 if keep is None else 4,
     )
-    signals = F.array(
-        *[F.struct(rnd(F.col(f"_s_{name}"), 9).alias("score"), F.lit(i).alias("place"), F.lit(name).alias("name")) for i, (_, name) in enumerate(SIGNALS)]
+    strong, weak = lambda score: score >= 0.78, lambda score: score <= 0.45
+    staged = staged.select(
+        "*", listed(lambda s: s, strong).alias("_strong"), listed(lambda s: s).alias("_best"), listed(lambda s: -s, weak).alias("_weak"), listed(lambda s: -s).alias("_worst"),
     )
-    staged = staged.select("*", caps.alias("_caps"), signals.alias("_signals"), raw.alias("_raw"))
-    down = F.array_sort(F.transform("_signals", lambda s: F.struct((-s["score"]).alias("o"), s["place"].alias("place"), s["name"].alias("name"), s["score"].alias("score"))))
-    up = F.array_sort(F.transform("_signals", lambda s: F.struct(s["score"].alias("o"), s["place"].alias("place"), s["name"].alias("name"), s["score"].alias("score"))))
-    choose = lambda ordered, keep: F.slice(F.when(F.exists(ordered, keep), F.filter(ordered, keep)).otherwise(F.slice(ordered, 1, 3)), 1, 4)
-    names = lambda items: F.concat_ws("|", F.transform(items, lambda s: s["name"]))
-    cap = F.coalesce(F.array_min(F.transform("_caps", lambda c: c["cap"])), F.lit(100.0))
+    names = lambda chosen, others: F.concat_ws("|", F.when(F.col(chosen)[0].isNotNull(), F.col(chosen)["name"]).otherwise(F.col(others)["name"]))
+    raised = lambda value: [F.when(F.col(f"_cap_{name}"), value(name)) for name in sorted(conditions)]
+    cap = F.coalesce(F.least(*raised(lambda name: F.lit(CAPS[name]))), F.lit(100.0))
     staged = staged.withColumn("cap_applied", cap).withColumn("expert_target_score", rnd(clip(F.least(F.col("_raw"), F.col("cap_applied")), 0.0, 100.0), 1))
     score = F.col("expert_target_score")
     return staged.select(
         *rows.columns, "expert_target_score",
         rnd(F.col("_g_critical"), 6).alias("critical_score"), rnd(F.col("_g_important"), 6).alias("important_score"),
         rnd(F.col("_g_supporting"), 6).alias("supporting_score"), rnd(F.col("_rank_prior"), 6).alias("rank_prior_score"), "cap_applied",
-        F.concat_ws("|", F.array_sort(F.transform("_caps", lambda c: c["reason"]))).alias("cap_reasons"),
+        F.concat_ws("|", *raised(F.lit)).alias("cap_reasons"),
         F.when(score >= 85, "high").when(score >= 65, "medium").when(score >= 40, "low").otherwise("blocked").alias("quality_band"),
-        names(choose(down, lambda s: s["score"] >= 0.78)).alias("top_positive_factors"),
-        names(choose(up, lambda s: s["score"] <= 0.45)).alias("top_negative_factors"),
+        names("_strong", "_best").alias("top_positive_factors"),
+        names("_weak", "_worst").alias("top_negative_factors"),
     )
 
 

@@ -11,7 +11,7 @@ def plan(frame) -> str:
     return frame._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["score_explanation"])
+@pytest.mark.parametrize("name", ["score_explanation", "seo_rubric_labels"])
 def test_factors_are_ranked_in_compiled_code(spark, name):
     text = plan(entry_module.queries()[name](spark, FOLDER))
     # functions called for each element are not compiled; what is left of them drops nulls from short lists
