@@ -141,14 +141,15 @@ def _metrics_together(predictions: DataFrame, keys: Sequence[str], extra: Sequen
     )
 
 
-def query_metrics(predictions: DataFrame, keys: Sequence[str] = QUERY_KEYS, extra: Sequence[Column] = (), carried: Sequence[str] = (), own: int = order.OWN) -> DataFrame:
+def query_metrics(predictions: DataFrame, keys: Sequence[str] = QUERY_KEYS, extra: Sequence[Column] = (), carried: Sequence[str] = (), own: int = order.OWN, dealt: bool = False) -> DataFrame:
     """All metrics of every group, and ``extra`` aggregates over the ``carried`` columns.
 
     Rows are dealt once by group. A group of more rows than one task should
-    hold (``order.large_keys``) is measured metric by metric instead.
+    hold (``order.large_keys``) is measured metric by metric instead. ``dealt``:
+    rows lie by one of the keys already, and one task holds those of each.
     """
     slim = predictions.select(*keys, *carried, "url", "rank", "target_score", "prediction")
-    large = order.large_keys(slim.select(*keys), keys, own)
+    large = None if dealt else order.large_keys(slim.select(*keys), keys, own)
     if large is None:
         return _metrics_together(slim, keys, extra)
     cut, on = F.broadcast(large), list(keys)
@@ -156,13 +157,17 @@ def query_metrics(predictions: DataFrame, keys: Sequence[str] = QUERY_KEYS, extr
     return few.unionByName(many)
 
 
-def mean_metrics(per_query: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
-    return per_query.groupBy(*keys).agg(
+def _mean_columns() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("queries"),
         F.coalesce(rnd(F.avg("spearman"), 6), F.lit(0.0)).alias("spearman_mean"),
         rnd(F.avg("ndcg"), 6).alias("ndcg_at_10"),
         rnd(F.avg("top3_hit"), 6).alias("top_3_hit_rate"),
-    )
+    ]
+
+
+def mean_metrics(per_query: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
+    return per_query.groupBy(*keys).agg(*_mean_columns())
 
 
 def query_breakdown(predictions: DataFrame) -> DataFrame:
@@ -195,8 +200,15 @@ def stability(breakdown: DataFrame, scope: str) -> DataFrame:
     )
 
 
-def model_metrics(predictions: DataFrame) -> DataFrame:
-    return regression_metrics(predictions).join(mean_metrics(query_metrics(predictions)), "model")
+def model_metrics(predictions: DataFrame, dealt: bool = False) -> DataFrame:
+    """Errors and ranking metrics of every model; errors are summed by query where the rows lie, and then added up."""
+    error = F.col("prediction") - F.col("target_score")
+    sums = [F.count(error).alias("n_errors"), F.sum(error * error).alias("squares"), F.sum(F.abs(error)).alias("sizes")]
+    measured = query_metrics(predictions, extra=sums, dealt=dealt).filter(F.col("model").isNotNull())
+    mean = lambda name: F.sum(name) / F.nullif(F.sum("n_errors"), F.lit(0))
+    return measured.groupBy("model").agg(
+        F.sum("rows").alias("rows"), rnd(F.sqrt(mean("squares")), 6).alias("rmse"), rnd(mean("sizes"), 6).alias("mae"), *_mean_columns()
+    )
 
 
 def sort_key() -> Column:

@@ -16,3 +16,30 @@ def test_factors_are_ranked_in_compiled_code(spark, name):
     text = plan(entry_module.queries()[name](spark, FOLDER))
     # functions called for each element are not compiled; what is left of them drops nulls from short lists
     assert "sort_array(" in text and "array_sort(" not in text and "transform(" not in text and "aggregate(" not in text
+
+
+def test_views_are_dealt_before_they_are_measured(spark):
+    from rankloom.operators import evaluation
+    from rankloom.plans import evaluation_queries as eq
+    from rankloom.sources.views import load_dealt, load_view
+
+    rows = load_dealt(spark, FOLDER, "v_rows", "query")
+    assert sorted(map(tuple, rows.select("query", "url", "semantic_similarity").collect())) == sorted(
+        map(tuple, load_view(spark, FOLDER, "v_rows").select("query", "url", "semantic_similarity").collect())
+    )
+    # a query that is too large for a task is not dealt
+    assert load_dealt(spark, FOLDER, "v_rows", "query", own=1) is None
+    predictions, dealt = eq.dealt_predictions(spark, FOLDER)
+    metrics = evaluation.model_metrics(predictions, dealt)
+    # what is shuffled on the way to the metrics of a query are columns of the tables, neither URLs nor predictions
+    steps = metrics._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning(")
+    assert any("concat(https://s" in s for s in steps) and "concat(https://s" not in steps[-1]
+    assert sorted(map(tuple, metrics.collect())) == sorted(map(tuple, evaluation.model_metrics(eq.predictions(spark, FOLDER)).collect()))
+    errors = evaluation.regression_metrics(predictions).collect()
+    assert {r["model"]: tuple(r) for r in errors} == {r["model"]: tuple(r) for r in metrics.select("model", "rows", "rmse", "mae").collect()}
+
+
+@pytest.mark.parametrize("name", ["release_decision", "candidate_compare"])
+def test_models_are_measured_once(spark, name):
+    # what is left reads the written table of models, not the rows again for each model
+    assert "row_number" not in plan(entry_module.queries()[name](spark, FOLDER))
