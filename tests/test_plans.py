@@ -43,3 +43,8 @@ def test_views_are_dealt_before_they_are_measured(spark):
 def test_models_are_measured_once(spark, name):
     # what is left reads the written table of models, not the rows again for each model
     assert "row_number" not in plan(entry_module.queries()[name](spark, FOLDER))
+
+
+def test_audits_are_dealt_once_and_not_again(spark):
+    steps = entry_module.queries()["recommendation_rules"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(cast(l_partkey" in steps and "hashpartitioning(audit_id" not in steps
