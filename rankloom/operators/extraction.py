@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from html import unescape
 
 import pyarrow as pa
@@ -26,6 +25,7 @@ COUNTED_TAGS = {
 CAPTURED_TAGS = frozenset({"title", "h1", "h2", "h3", "a", "button"})
 HIDDEN_TAGS = frozenset({"script", "style", "noscript"})
 NAMED_METAS = {"description": "meta_description", "robots": "meta_robots", "viewport": "viewport"}
+PARSED_AT_ONCE = 64
 RENDER_MARKERS = (
     "enable javascript", "javascript required", "please turn javascript on", "please enable cookies", "cf-browser-verification",
     "attention required", "captcha", "access denied", "__next", "__nuxt", 'id="app"', 'id="root"',
@@ -53,7 +53,7 @@ def document_type() -> T.StructType:
 
 
 def _squeeze(value: str) -> str:
-    return re.sub(r"\s+", " ", unescape(value)).strip()
+    return " ".join(unescape(value).split())
 
 
 class _Tape(TolerantParser):
@@ -63,6 +63,10 @@ class _Tape(TolerantParser):
         super().__init__()
         self.events: list[tuple] = []
 
+    def updatepos(self, i, j):
+        """Lines are not counted: nobody asks where a tag stands."""
+        return j
+
     def handle_starttag(self, tag, attrs):
         self.events.append(("open", tag, {str(k).lower(): str(v or "").strip() for k, v in attrs}))
 
@@ -177,7 +181,9 @@ def document_of(html: Column) -> Column:
 
     @F.arrow_udf(kind)
     def parse(pages: pa.Array) -> pa.Array:
-        return pa.array([read_document(page.as_py()) for page in pages], type=arrow)
+        # documents as Python objects take many times their size: only a few of a batch exist at once
+        slices = (pages.slice(at, PARSED_AT_ONCE) for at in range(0, len(pages), PARSED_AT_ONCE))
+        return pa.concat_arrays([pa.array([], type=arrow), *[pa.array([read_document(page.as_py()) for page in part], type=arrow) for part in slices]])
 
     return parse(html)
 

@@ -14,6 +14,7 @@ from rankloom.plans import page_queries as pq
 from rankloom.plans import relevance_queries as rq
 from rankloom.plans.oracle_text import big, clip, mean, rnd
 from rankloom.plans.registry import Catalog
+from rankloom.session import stored
 from rankloom.sources.views import load_view, view_cte
 
 CATALOG = Catalog()
@@ -295,12 +296,17 @@ _NEG_FEATURES = tuple(pq._MATCH)
 
 
 def page_dataset(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Rows with their features, and the snapshots by ``artifact_id``."""
-    pages = pq.page_query(spark, folder)
+    """Rows with their features, and the snapshots by ``artifact_id``.
+
+    Several steps read both, some of them only keys and titles, so pages are
+    parsed once and written.
+    """
+    parsed = stored(pq.snapshots(spark, folder))
+    pages = pq.page_query(spark, folder, parsed)
     rows = pf.query_match(pf.text_stats(pages)).select(
         "page_id", "query", F.col("requested_url").alias("url"), *[F.expr(e).alias(n) for n, e in _PAGE_ROW.items()], *[F.col(f).cast("double").alias(f) for f in _NEG_FEATURES]
     )
-    kept = pq.snapshots(spark, folder).withColumnRenamed("page_id", "artifact_id").filter("artifact_id % 4 <> 3")
+    kept = parsed.withColumnRenamed("page_id", "artifact_id").filter("artifact_id % 4 <> 3")
     return rows, kept.withColumn("semantic_similarity", (F.col("artifact_id") % 11) / 10.0)
 
 

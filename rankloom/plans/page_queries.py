@@ -281,9 +281,9 @@ def text_stats(spark: SparkSession, folder: str) -> DataFrame:
 _QUERY_TAIL = "' the price Moscow'"
 
 
-def page_query(spark: SparkSession, folder: str) -> DataFrame:
+def page_query(spark: SparkSession, folder: str, parsed: DataFrame | None = None) -> DataFrame:
     """Snapshots with the query of their group of ten pages; every page is parsed once, the lead hands its title to the group."""
-    rows = snapshots(spark, folder).withColumn("grp", F.floor(F.col("page_id") / 10))
+    rows = (snapshots(spark, folder) if parsed is None else parsed).withColumn("grp", F.floor(F.col("page_id") / 10))
     lead = F.max(F.when(F.col("page_id") % 10 == 0, F.col("document.title"))).over(Window.partitionBy("grp"))
     named = rows.withColumn("_lead", lead).filter(F.col("_lead").isNotNull())
     query = F.concat(F.array_join(F.slice(tx.tokens(F.col("_lead")), 1, 3), " "), F.lit(" the price Moscow"))

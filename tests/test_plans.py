@@ -48,3 +48,17 @@ def test_models_are_measured_once(spark, name):
 def test_audits_are_dealt_once_and_not_again(spark):
     steps = entry_module.queries()["recommendation_rules"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(cast(l_partkey" in steps and "hashpartitioning(audit_id" not in steps
+
+
+def test_hard_negatives_parse_pages_once(spark):
+    # every page is parsed before the plan of the result, which reads the parsed ones
+    assert "ArrowEvalPython" not in plan(entry_module.queries()["hard_negatives"](spark, FOLDER))
+
+
+def test_documents_of_a_batch_are_parsed_in_slices(spark):
+    from rankloom.operators.extraction import PARSED_AT_ONCE, document_of, read_document
+
+    pages = [(i, None if i % 50 == 3 else f"<title> T{i} &amp; x\x1f </title><p>a\n b<a href='/{i}'>l</a>") for i in range(3 * PARSED_AT_ONCE + 5)]
+    rows = spark.createDataFrame(pages, "i int, html string").coalesce(1).select("i", document_of("html").alias("d")).collect()
+    assert [(r.i, r.d.asDict(recursive=True)) for r in sorted(rows)] == [(i, read_document(h)) for i, h in pages]
+    assert max(len(h or "") for _, h in pages) > 0 and read_document(pages[0][1])["title"] == "T0 & x"
