@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from rankloom.functions.lexicons import TOKEN_SUFFIXES
 
 WORD = r"[\p{L}\p{N}_]"
-_STEM = rf"(?<={WORD}{{4}})(?:{'|'.join(TOKEN_SUFFIXES)})(?!{WORD})"
+# a place is looked at closely only if a suffix can start there
+_STEM = rf"(?=[{''.join(sorted({s[0] for s in TOKEN_SUFFIXES}))}])(?<={WORD}{{4}})(?:{'|'.join(TOKEN_SUFFIXES)})(?!{WORD})"
 
 
 def tokens(text: Column) -> Column:
@@ -53,7 +55,13 @@ def phrase_count(needle: Column, haystack: Column) -> Column:
 def scan_text(*parts: Column) -> Column:
     """Parts joined, whitespace collapsed, lower-cased."""
     joined = F.concat_ws(" ", *parts)
-    return F.lower(F.trim(F.regexp_replace(joined, r"(?U)\s+", " ")))
+    # a single space stays as it is
+    return F.lower(F.trim(F.regexp_replace(joined, r"(?U)\s{2,}|(?! )\s", " ")))
+
+
+def contains_any(text: Column, words: Sequence[str]) -> Column:
+    """Does one of the literals occur? A search of bytes for each, which long texts bear better than a regex of all."""
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
 
 def strip(text: Column) -> Column:

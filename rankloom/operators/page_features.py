@@ -15,14 +15,16 @@ from rankloom.functions.lexicons import (
 )
 from rankloom.functions.numeric import clip, flag, num, ratio, rnd
 from rankloom.functions.urls import literal_alternation
-from rankloom.operators.extraction import key_present, resource_counts, schema_types, type_present
+from rankloom.operators.extraction import key_present, resource_counts, schema_types
 from rankloom.operators.relevance import with_missing
 
 # --- fixed values -----------------------------------------------------------
 PHONE_PATTERN = r"(?U)((?:\+?\d[\d\s\-()]{8,}\d))"
 EMAIL_PATTERN = r"((?i)[A-Z0-9._%+\-]+@[A-Z0-9.\-]+\.[A-Z]{2,})"
 CURRENCY_PATTERN = r"(?:₽|р\.|руб(?:\.|лей)?|€|eur|usd|\$)"
+CURRENCY_MARKS = ("₽", "р.", "руб", "€", "eur", "usd", "$")
 PRICE_PATTERN = r"(?U)(?:от\s+)?\d[\d\s]{1,12}(?:[.,]\d{1,2})?\s?" + CURRENCY_PATTERN
+RATING_WORDS = ("рейтинг", "rating")
 RATING_PATTERN = r"(?U)(?:ratingvalue|рейтинг|rating)\D{0,12}([1-5](?:[.,]\d)?)"
 KEYWORDS = {
     "address": ("адрес", "ул.", "улица", "проспект", "пр-т", "дом ", "офис", "строение", "корпус", "street", "avenue", "suite"),
@@ -171,7 +173,9 @@ def query_core(rows: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON, use_aliases:
     )
     modifiers = F.array_distinct(F.concat(F.flatten("_intent_groups"), F.flatten("_geo_groups")))
     base = base.select("*", modifiers.alias("_modifiers"))
-    base = base.select("*", F.filter("_tokens", lambda t: F.array_contains("_modifiers", t)).alias("_modifier_hits"))
+    # named twice, the list stays a column of its own; named once, the optimizer would build it anew for each token
+    hits = F.when(F.size("_modifiers") > 0, F.filter("_tokens", lambda t: F.array_contains("_modifiers", t))).otherwise(F.array().cast("array<string>"))
+    base = base.select("*", hits.alias("_modifier_hits"))
 
     def grouped(terms: str, groups: str) -> tuple[Column, Column]:
         own = F.zip_with(terms, groups, lambda t, g: F.struct(t.alias("t"), g.alias("g")))
@@ -339,8 +343,11 @@ def commercial_trust(snapshots: DataFrame) -> DataFrame:
     link_texts = F.transform("document.links", lambda l: F.trim(l["text"]))
     base = snapshots.select("*", hrefs.alias("_hrefs"), link_texts.alias("_link_texts"))
     scan = tx.scan_text(_text("text"), F.array_join("_link_texts", " "), F.array_join("document.button_texts", " "), _text("html"))
-    base = base.select("*", scan.alias("_scan"), F.concat_ws(" ", _text("text"), F.array_join("_hrefs", " ")).alias("_contact_text"))
-    says = lambda name: F.col("_scan").rlike(literal_alternation(KEYWORDS[name]))
+    base = base.select("*", scan.alias("_scan"), F.concat_ws(" ", _text("text"), F.array_join("_hrefs", " ")).alias("_contact_text"), schema_types().alias("_schema"))
+    # what a pattern needs is looked for first
+    base = base.select("*", tx.contains_any(F.col("_scan"), CURRENCY_MARKS).alias("_currency"))
+    says = lambda name: tx.contains_any(F.col("_scan"), KEYWORDS[name])
+    typed = lambda *types: F.arrays_overlap("_schema", F.array(*[F.lit(t.lower()) for t in types]))
     digits = F.filter(
         F.transform(F.regexp_extract_all("_contact_text", F.lit(PHONE_PATTERN), F.lit(1)), lambda m: F.regexp_replace(m, r"(?U)\D", "")), lambda d: F.length(d) >= 10
     )
@@ -348,30 +355,30 @@ def commercial_trust(snapshots: DataFrame) -> DataFrame:
     calls = F.size(F.filter(clickable, lambda t: F.lower(t).rlike(literal_alternation(KEYWORDS["cta"]))))
     base = base.select(
         "*", (F.size(F.array_distinct(digits)) + flag(key_present("telephone"))).alias("phone_count"),
-        flag((F.size(F.regexp_extract_all("_contact_text", F.lit(EMAIL_PATTERN), F.lit(1))) > 0) | F.exists("_hrefs", lambda h: h.startswith("mailto:"))).alias("email_present"),
-        flag(says("address") | key_present("address") | type_present("PostalAddress")).alias("address_present"),
+        flag((F.contains("_contact_text", F.lit("@")) & F.col("_contact_text").rlike(EMAIL_PATTERN)) | F.exists("_hrefs", lambda h: h.startswith("mailto:"))).alias("email_present"),
+        flag(says("address") | key_present("address") | typed("PostalAddress")).alias("address_present"),
         flag(says("business_hours") | key_present("openingHours", "openingHoursSpecification")).alias("business_hours_present"),
-        flag(F.col("_scan").rlike(PRICE_PATTERN) | key_present("price", "lowPrice")).alias("price_present"),
-        flag(F.col("_scan").rlike(CURRENCY_PATTERN) | key_present("priceCurrency")).alias("currency_present"),
+        flag((F.col("_currency") & F.col("_scan").rlike(PRICE_PATTERN)) | key_present("price", "lowPrice")).alias("price_present"),
+        flag(F.col("_currency") | key_present("priceCurrency")).alias("currency_present"),
         flag(says("delivery") | key_present("shippingDetails", "availableDeliveryMethod")).alias("delivery_info_present"), flag(says("payment")).alias("payment_info_present"),
         flag(says("warranty") | key_present("warranty")).alias("warranty_info_present"), flag(says("returns") | key_present("hasMerchantReturnPolicy")).alias("returns_info_present"),
         flag(says("reviews") | key_present("review")).alias("reviews_present"),
-        flag(F.col("_scan").rlike(RATING_PATTERN) | key_present("aggregateRating", "ratingValue")).alias("rating_present"),
-        flag(says("faq") | type_present("FAQPage")).alias("faq_present"),
+        flag((tx.contains_any(F.col("_scan"), RATING_WORDS) & F.col("_scan").rlike(RATING_PATTERN)) | key_present("aggregateRating", "ratingValue")).alias("rating_present"),
+        flag(says("faq") | typed("FAQPage")).alias("faq_present"),
         F.when((calls == 0) & (F.col("document.counts.form") > 0), F.lit(1)).otherwise(calls).alias("cta_count"),
         flag(F.exists("_hrefs", lambda h: h.rlike(literal_alternation(KEYWORDS["messenger"]))) | says("messenger")).alias("messenger_present"),
         flag(says("value_proposition")).alias("value_proposition_present"), flag(says("legal") | key_present("taxID", "vatID")).alias("legal_requisites_present"),
     )
     base = base.select(
         "*", flag((F.col("phone_count") > 0) | F.exists("_hrefs", lambda h: h.startswith("tel:"))).alias("phone_present"), flag(F.col("cta_count") > 0).alias("cta_present"),
-        flag((F.col("legal_requisites_present") == 1) | type_present("Organization", "LocalBusiness", "Corporation", "Store")).alias("company_identity_present"),
+        flag((F.col("legal_requisites_present") == 1) | typed("Organization", "LocalBusiness", "Corporation", "Store")).alias("company_identity_present"),
     )
     base = base.select("*", _total(COMMERCIAL_SIGNALS).alias("commercial_signal_count"), _total(TRUST_SIGNALS).alias("trust_signal_count"), (_total(CONTACT_SIGNALS) / 5.0).alias("_contact"))
     commercial, trust = F.col("commercial_signal_count") / 9.0, F.col("trust_signal_count") / 9.0
     return base.select(
         "*", rnd(F.col("_contact"), 6).alias("contact_options_score"), rnd(commercial, 6).alias("commercial_signals_score"), rnd(trust, 6).alias("trust_signals_score"),
         rnd((commercial + trust + F.col("_contact")) / 3.0, 6).alias("commercial_trust_score"),
-    ).drop("_hrefs", "_link_texts", "_scan", "_contact_text", "_contact")
+    ).drop("_hrefs", "_link_texts", "_scan", "_contact_text", "_contact", "_schema", "_currency")
 
 
 COMMERCIAL_COLUMNS = (

@@ -62,3 +62,32 @@ def test_documents_of_a_batch_are_parsed_in_slices(spark):
     rows = spark.createDataFrame(pages, "i int, html string").coalesce(1).select("i", document_of("html").alias("d")).collect()
     assert [(r.i, r.d.asDict(recursive=True)) for r in sorted(rows)] == [(i, read_document(h)) for i, h in pages]
     assert max(len(h or "") for _, h in pages) > 0 and read_document(pages[0][1])["title"] == "T0 & x"
+
+
+def test_page_features_do_no_work_of_a_row_for_each_token(spark):
+    text = plan(entry_module.queries()["feature_matrix_pages"](spark, FOLDER))
+    # a list named once is built anew in the lambda; long texts are searched by bytes, not by a regex of all words
+    assert "array_contains(array_distinct(" not in text and "доставка|shipping" not in text
+
+
+def test_cheaper_searches_find_the_same(spark):
+    from pyspark.sql import functions as F
+
+    from rankloom.functions import text as tx
+    from rankloom.functions.urls import literal_alternation
+    from rankloom.operators import page_features as pf
+
+    texts = ["", " a  b\n", "a\n b \t c", "цены Москвы\nкрасивыми столами и ёлками", "р. 5", "100 руб.", "от 12 000 ₽", "RATING 4.5", "рейтинг: 4,5 из 5", "ul. ул.x", "rating x", "price 5 usd"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = rf"(?<={tx.WORD}{{4}})(?:{'|'.join(tx.TOKEN_SUFFIXES)})(?!{tx.WORD})"
+    low = F.lower("t")
+    pairs = {
+        "scan": (tx.scan_text(F.col("t")), F.lower(F.trim(F.regexp_replace("t", r"(?U)\s+", " ")))),
+        "stems": (tx.stemmed_tokens(F.col("t")), F.regexp_extract_all(F.regexp_replace(F.replace(low, F.lit("ё"), F.lit("е")), plain, ""), F.lit(f"({tx.WORD}+)"), F.lit(1))),
+        "currency": (tx.contains_any(low, pf.CURRENCY_MARKS), low.rlike(pf.CURRENCY_PATTERN)),
+        "price": (tx.contains_any(low, pf.CURRENCY_MARKS) & low.rlike(pf.PRICE_PATTERN), low.rlike(pf.PRICE_PATTERN)),
+        "rating": (tx.contains_any(low, pf.RATING_WORDS) & low.rlike(pf.RATING_PATTERN), low.rlike(pf.RATING_PATTERN)),
+        **{n: (tx.contains_any(low, w), low.rlike(literal_alternation(w))) for n, w in pf.KEYWORDS.items()},
+    }
+    got = rows.select(*[F.struct(a.alias("a"), b.alias("b")).alias(n) for n, (a, b) in pairs.items()]).collect()
+    assert all(r[n].a == r[n].b for r in got for n in pairs) and any(r["rating"].a for r in got) and any(r["price"].a for r in got)
